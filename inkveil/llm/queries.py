@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from inkveil.llm.common import table
 from inkveil.llm.exact_dedup import exact_groups
 from inkveil.llm.quality import STOP_WORDS, quality
+from inkveil.llm.secret_scan import scan
+from inkveil.llm.sharding import document_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +19,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("span_list")
+
+
+def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_shards(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality(table(spark, sf_dir, "documents")).select(*columns)
@@ -24,6 +34,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_uniform_shards": op6_uniform_shards,
     "op9_quality_rules": op9_quality_rules,
 }
 
