@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from inkveil.llm.bpe import round_trip
 from inkveil.llm.common import table
 from inkveil.llm.exact_dedup import exact_groups
+from inkveil.llm.packing import pack
 from inkveil.llm.quality import STOP_WORDS, quality
 from inkveil.llm.secret_scan import scan
 from inkveil.llm.sharding import document_shards
@@ -15,6 +18,10 @@ from inkveil.llm.sharding import document_shards
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -27,15 +34,22 @@ def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality(table(spark, sf_dir, "documents")).select(*columns)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_cutting_stock_packing": op1_cutting_stock_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op6_uniform_shards": op6_uniform_shards,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 
