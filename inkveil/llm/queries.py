@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkveil.llm.bpe import round_trip
 from inkveil.llm.common import table
 from inkveil.llm.exact_dedup import exact_groups
+from inkveil.llm.near_dedup import near_groups
 from inkveil.llm.packing import pack
 from inkveil.llm.quality import STOP_WORDS, quality
 from inkveil.llm.secret_scan import scan
@@ -44,6 +45,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), width=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_cutting_stock_packing": op1_cutting_stock_packing,
     "op3_exact_dedup": op3_exact_dedup,
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op6_uniform_shards": op6_uniform_shards,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
