@@ -15,6 +15,8 @@ from inkveil.llm.packing import pack
 from inkveil.llm.quality import STOP_WORDS, quality
 from inkveil.llm.secret_scan import scan
 from inkveil.llm.sharding import document_shards
+from inkveil.llm.url_filter import judge_urls
+from inkveil.llm.warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,10 @@ def op1_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("span_list")
 
 
+def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages")).drop("error")
+
+
 def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_shards(table(spark, sf_dir, "documents"))
 
@@ -51,8 +61,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_cutting_stock_packing": op1_cutting_stock_packing,
+    "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_warc_zstd": op5_warc_zstd,
     "op6_uniform_shards": op6_uniform_shards,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
@@ -65,6 +77,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)""",
+    "op5_warc_zstd": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        g AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+                     min(page_id) OVER (PARTITION BY body) AS first FROM p),
+        b AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(hex, 5 * k::INT + 1, 5))::BIGINT) AS v FROM g)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), '')
+                   AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM b""",
     "op9_quality_rules": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
