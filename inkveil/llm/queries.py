@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkveil.llm.bpe import round_trip
 from inkveil.llm.common import table
 from inkveil.llm.exact_dedup import exact_groups
+from inkveil.llm.maxent_lm import score
 from inkveil.llm.near_dedup import near_groups
 from inkveil.llm.packing import pack
 from inkveil.llm.quality import STOP_WORDS, quality
@@ -45,6 +46,10 @@ def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_warc_zstd": op5_warc_zstd,
     "op6_uniform_shards": op6_uniform_shards,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
