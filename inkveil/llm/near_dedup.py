@@ -9,14 +9,13 @@ bands of 6 registers a pair at 0.8 is missed with probability 5e-7, and the esti
 deviations adds less.
 
 No bucket of a band is expanded into all pairs. Equal texts are one vertex. In a large bucket every member is
-compared with a few centres; a centre that has been compared with all is done. Members that are already in one
-component need no more comparison with one another, so only buckets that still hold several components go on,
-with centres of many links or of small components first, until a bucket has one component or is small enough to
-compare the rest: no link between components is skipped. Components come from label propagation with pointer
-jumping over verified links; links, labels and buckets stay in tables. Tables that a hot key is joined by are written
-before, so that both sides are exchanged and Spark can split the large partitions.
+compared with a few centres; a centre that has met all leaves. Members that are already in one component need no
+more comparison with one another, so only pairs across components go on, and all of these are compared in the
+end: no link between components is skipped. Components come from label propagation with pointer jumping over
+verified links; links, labels and buckets stay in tables. Tables that a hot key is joined by are written before,
+so that both sides are exchanged and Spark can split the large partitions.
 
-Skew: groups of equal texts and hot centres are joined by (key, salt).
+Skew: groups of equal texts and large buckets are joined by (key, salt).
 
 Defined results: a text without words (null, empty, white space) has an empty set, is linked with nothing and
 is its own component; one with fewer words than a shingle has its whole sequence as its one shingle. Rows
@@ -42,6 +41,8 @@ BANDS, ROWS = 48, 6
 MANTISSA = 11
 #: Buckets up to this size are compared in full.
 SMALL = 24
+#: Most centres of a bucket in a round.
+MOST_CENTRES = 1024
 #: Candidate ids up to this number are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -163,40 +164,36 @@ def estimate_at_least(pairs: DataFrame, threshold: float, count: int) -> DataFra
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def at_vertex(pairs: DataFrame, end: str, rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Joins columns of `rows` (by vertex v) to `pairs` by their vertex `end`, however many pairs share it."""
-    pairs = pairs.withColumn("__s", salt(pairs.sparkSession, "a", "b"))
-    right = rows.select(F.col("v").alias(end), *[F.col(k).alias(v) for k, v in names.items()])
-    return spread(pairs, right, end, "__s").drop("__s")
+def at_ends(pairs: DataFrame, rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Joins columns of the table `rows` (by vertex v) to both ends of `pairs`; both are tables, see above."""
+    for end in "ab":
+        pairs = pairs.join(rows.select(F.col("v").alias(end), *[F.col(k).alias(n + end) for k, n in names.items()]), end)
+    return pairs
 
 
-def verified(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
+def verified(scratch: Scratch, pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
     """The pairs (a, b) of vertices whose full sets have 100 * intersection >= percent * union."""
-    both = at_vertex(pairs, "a", sketched, {"n": "na", "sketch": "sa"})
-    both = at_vertex(both, "b", sketched, {"n": "nb", "sketch": "sb"})
-    close = estimate_at_least(both, percent / 100, count)
-    full = at_vertex(at_vertex(close, "a", sets, {"grams": "ga"}), "b", sets, {"grams": "gb"})
+    close = scratch.table(estimate_at_least(at_ends(pairs, sketched, {"n": "n", "sketch": "s"}), percent / 100, count))
+    full = at_ends(close, sets, {"grams": "g"})
     shared = F.size(F.array_intersect("ga", "gb"))
     full = full.select("a", "b", (F.size("ga") + F.size("gb")).alias("total"), shared.alias("shared"))
     return full.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(v, label) for every vertex of the links (a, b): the least vertex that can be reached."""
+    """(v, label) for every vertex of the links (a, b): the least vertex that can be reached. Labels pass along links
+    and jump to their own label's label, so long chains take a logarithmic number of rounds."""
     arcs = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = scratch.table(arcs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")))
     while True:
         heard = arcs.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         near = labels.join(heard.withColumnRenamed("a", "v"), "v").select("v", "label", F.least("label", "m").alias("next"))
         roots = labels.select(F.col("v").alias("next"), F.col("label").alias("root"))
-        fresh = scratch.table(near.join(roots, "next").select("v", "label", F.least("next", "root").alias("next")))
-        moved = not fresh.where("next < label").isEmpty()
-        scratch.release(labels)
-        labels = fresh.select("v", F.col("next").alias("label"))
+        fresh = scratch.table(near.join(roots, "next").select("v", F.col("label").alias("old"), F.least("next", "root").alias("label")))
+        moved = not fresh.where("label < old").isEmpty()
+        labels = fresh.select("v", "label")
         if not moved:
             return labels
-        labels = scratch.table(labels)
-        scratch.release(fresh)
 
 
 def bucket_members(scratch: Scratch, vertices: DataFrame) -> DataFrame:
@@ -208,51 +205,15 @@ def bucket_members(scratch: Scratch, vertices: DataFrame) -> DataFrame:
 
 
 def pairs_with_centres(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of a bucket's centre and another member in another component. centres: (key, c, c_label);
-    members: (key, v, label). A bucket's centres are few; its members are dealt by salt."""
+    """Distinct pairs a < b of a bucket's centre and another member in another component. centres: (key, c, c_label),
+    at most MOST_CENTRES to a bucket; members: (key, v, label), dealt by salt."""
     rows = members.withColumn("__s", salt(members.sparkSession, "v"))
     gathered = centres.groupBy("key").agg(F.collect_set(F.struct("c", "c_label")).alias("cs"))
-    met = spread(rows, gathered, "key", "__s").select("v", "label", F.explode("cs").alias("x"))
-    met = met.where("label <> x.c_label")
+    others = F.filter("cs", lambda x: x["c_label"] != F.col("label"))
+    met = spread(rows, gathered, "key", "__s").select("v", F.explode(others).alias("x"))
     return met.select(F.least("v", "x.c").alias("a"), F.greatest("v", "x.c").alias("b")).distinct()
 
 
-def near_components(scratch: Scratch, vertices: DataFrame, sets_of, percent: int, registers_: int) -> DataFrame | None:
-    """(v, label) of the vertices that have a link, or None. vertices: (v, n, sketch, keys); sets_of(ids) gives
-    (v, grams) for a table of v."""
-    members = bucket_members(scratch, vertices)
-    ids = scratch.table(members.select("v").distinct())
-    sets = scratch.table(sets_of(ids))
-    sketched = scratch.table(vertices.join(ids, "v", "left_semi").select("v", "n", "sketch"))
-    links: list[DataFrame] = []
-    state = members.select("key", "v", F.col("v").alias("label"), F.lit(0).cast("long").alias("links"))
-    labels, step = None, 0
-    while not state.isEmpty():
-        sizes = state.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        sizes = scratch.table(sizes.where("lo < hi").select("key", "c"))
-        inside = state.join(sizes.where(F.col("c") <= SMALL).select("key"), "key")
-        inside = inside.groupBy("key").agg(F.collect_list(F.struct("v", "label")).alias("m"))
-        cross = inside.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-        cross = cross.where("x.v < y.v and x.label <> y.label").select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-        wide = scratch.table(state.join(sizes.where(F.col("c") > SMALL).select("key"), "key"))
-        centres = scratch.table(pick_centres(wide, step))
-        star = pairs_with_centres(wide.select("key", "v", "label"), centres)
-        pairs = scratch.table(cross.union(star).distinct())
-        links.append(scratch.table(verified(pairs, sketched, sets, percent, registers_)))
-        every = reduce(DataFrame.union, links)
-        labels = components(scratch, every)
-        ends = every.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("links"))
-        # Small buckets are done. A centre has met all others of its bucket and leaves it.
-        rest = wide.select("key", "v").join(centres.select("key", F.col("c").alias("v")), ["key", "v"], "left_anti")
-        state = scratch.table(
-            rest.join(labels, "v", "left")
-            .join(ends, "v", "left")
-            .select("key", "v", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-        )
-        step += 1
-    return labels
-
-
 def pick_centres(wide: DataFrame, step: int) -> DataFrame:
     """(key, c, c_label): up to four members of each bucket: the one of most links, the first and the last by
     component, and one by chance."""
@@ -267,6 +228,56 @@ def pick_centres(wide: DataFrame, step: int) -> DataFrame:
     return picked.select("key", F.explode(F.array_distinct(four)).alias("x")).select("key", "x.c", "x.c_label")
 
 
+def near_components(scratch: Scratch, vertices: DataFrame, sets_of, percent: int, registers_: int) -> DataFrame | None:
+    """(v, label) of the vertices that share a bucket, or None. vertices: (v, n, sketch, keys); sets_of(ids) gives
+    (v, grams) for a table of v.
+
+    A bucket of at most SMALL members is compared in full, once. In a larger one, four centres meet all members first.
+    Then all members outside the bucket's largest component are centres, if they are few: after that no pair of the
+    bucket across components is left. If they are many, four centres go on, and what counts as few grows fourfold."""
+    members = bucket_members(scratch, vertices)
+    if members.isEmpty():
+        return None
+    ids = scratch.table(members.select("v").distinct())
+    sets = scratch.table(sets_of(ids))
+    sketched = scratch.table(vertices.join(ids, "v", "left_semi").select("v", "n", "sketch"))
+    labels = ids.select("v", F.col("v").alias("label"))
+    state = members.select("key", "v", F.col("v").alias("label"), F.lit(0).cast("long").alias("links"))
+    every: list[DataFrame] = []
+    step, few = 0, 0
+    while True:
+        parts = state.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+        parts = parts.agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("n"))
+        parts = scratch.table(parts.where("n > 1").select("key", "size", F.col("top.label").alias("big"), (F.col("size") - F.col("top.c")).alias("minor")))
+        open_ = scratch.table(state.join(parts, "key"))
+        if open_.isEmpty():
+            break
+        small = open_.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("v", "label")).alias("m"))
+        mates = F.filter("m", lambda y: (F.col("x.v") < y["v"]) & (F.col("x.label") != y["label"]))
+        cross = small.select(F.explode("m").alias("x"), "m").select("x.v", F.explode(mates).alias("y")).select(F.col("v").alias("a"), F.col("y.v").alias("b"))
+        large = open_.where(F.col("size") > SMALL)
+        last, going = large.where(F.col("minor") <= few), large.where(F.col("minor") > few)
+        centres = last.where("label <> big").select("key", F.col("v").alias("c"), F.col("label").alias("c_label"))
+        centres = scratch.table(centres.union(pick_centres(going, step)))
+        pairs = scratch.table(cross.union(pairs_with_centres(large.select("key", "v", "label"), centres)).distinct())
+        found = scratch.table(verified(scratch, pairs, sketched, sets, percent, registers_))
+        every.append(found)
+        # Components of the links' labels, a small graph, carry the labels on.
+        at = found
+        for end in "ab":
+            at = at.join(labels.select(F.col("v").alias(end), F.col("label").alias(f"l{end}")), end)
+        joined = components(scratch, at.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
+        labels = labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
+        labels = scratch.table(labels.select("v", F.coalesce("to", "label").alias("label")))
+        ends = reduce(DataFrame.union, every).select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("links"))
+        # A centre has met all others of its bucket and leaves it.
+        rest = going.select("key", "v").join(centres.select("key", F.col("c").alias("v")), ["key", "v"], "left_anti")
+        rest = rest.join(labels, "v").join(scratch.table(ends), "v", "left")
+        state = scratch.table(rest.select("key", "v", "label", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+        step, few = step + 1, min(MOST_CENTRES, 64 << (2 * step))
+    return labels
+
+
 def near_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
