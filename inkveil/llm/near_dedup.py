@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,10 @@ BANDS, ROWS = 48, 6
 MANTISSA = 11
 #: Buckets up to this size are compared in full.
 SMALL = 24
+#: Bands of the first round.
+FIRST_BANDS = 8
+#: Members of a large bucket that are compared with its centres at a time.
+CHUNK = 512
 #: Most centres of a bucket in a round.
 MOST_CENTRES = 1024
 #: Candidate ids up to this number are broadcast to find their texts; more are joined by shuffle.
@@ -141,11 +146,23 @@ def collision_rate(n: float, m: float) -> float:
     return total
 
 
-def estimate_at_least(pairs: DataFrame, threshold: float, count: int) -> DataFrame:
-    """Of (a, b, na, nb, sa, sb), sa and sb sketches, the pairs whose corrected estimate could reach `threshold`."""
+def estimator(threshold: float, count: int):
+    """A function of (shares of equal registers, sizes, sizes): which corrected estimates could reach `threshold`. Sets
+    of too unequal sizes cannot."""
     margin = 5.5 * math.sqrt(threshold * (1 - threshold) / count)
     table = np.array([[collision_rate(2.0**i, 2.0**j) for j in range(33)] for i in range(33)])
 
+    def close(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        chance = table[np.log2(n).astype(int), np.log2(m).astype(int)]
+        return ((equal - chance) / (1 - chance) >= threshold - margin) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+
+    return close
+
+
+def estimate_at_least(pairs: DataFrame, threshold: float, count: int) -> DataFrame:
+    """Of (a, b, na, nb, sa, sb), sa and sb sketches, the pairs whose corrected estimate could reach `threshold`."""
+    close = estimator(threshold, count)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -153,12 +170,7 @@ def estimate_at_least(pairs: DataFrame, threshold: float, count: int) -> DataFra
             sa, sb = (
                 np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, count) for k in ("sa", "sb")
             )
-            na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
-            equal = (sa == sb).mean(axis=1)
-            chance = table[np.log2(na).astype(int), np.log2(nb).astype(int)]
-            keep = (equal - chance) / (1 - chance) >= threshold - margin
-            # sets of too unequal sizes cannot reach it
-            keep &= np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
+            keep = close((sa == sb).mean(axis=1), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -171,10 +183,9 @@ def at_ends(pairs: DataFrame, rows: DataFrame, names: dict[str, str]) -> DataFra
     return pairs
 
 
-def verified(scratch: Scratch, pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of vertices whose full sets have 100 * intersection >= percent * union."""
-    close = scratch.table(estimate_at_least(at_ends(pairs, sketched, {"n": "n", "sketch": "s"}), percent / 100, count))
-    full = at_ends(close, sets, {"grams": "g"})
+    full = at_ends(pairs, sets, {"grams": "g"})
     shared = F.size(F.array_intersect("ga", "gb"))
     full = full.select("a", "b", (F.size("ga") + F.size("gb")).alias("total"), shared.alias("shared"))
     return full.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
@@ -197,21 +208,40 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def bucket_members(scratch: Scratch, vertices: DataFrame) -> DataFrame:
-    """(key, v): the members of band buckets that hold at least two. The keys are written first: Spark then splits
+    """(key, band, v): the members of band buckets that hold at least two. The keys are written first: Spark then splits
     the join's large partitions, should a key be frequent."""
-    every = vertices.select("v", F.explode("keys").alias("key"))
+    every = vertices.select("v", F.posexplode("keys").alias("band", "key"))
     shared = scratch.table(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    return scratch.table(every.join(shared, "key").select("key", "v"))
-
-
-def pairs_with_centres(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of a bucket's centre and another member in another component. centres: (key, c, c_label),
-    at most MOST_CENTRES to a bucket; members: (key, v, label), dealt by salt."""
-    rows = members.withColumn("__s", salt(members.sparkSession, "v"))
-    gathered = centres.groupBy("key").agg(F.collect_set(F.struct("c", "c_label")).alias("cs"))
-    others = F.filter("cs", lambda x: x["c_label"] != F.col("label"))
-    met = spread(rows, gathered, "key", "__s").select("v", F.explode(others).alias("x"))
-    return met.select(F.least("v", "x.c").alias("a"), F.greatest("v", "x.c").alias("b")).distinct()
+    return scratch.table(every.join(shared, "key").select("key", "band", "v"))
+
+
+def pairs_with_centres(members: DataFrame, centres: DataFrame, sketched: DataFrame, threshold: float, count: int) -> DataFrame:
+    """Distinct pairs a < b of a bucket's centre and another member in another component whose estimate could reach the
+    threshold. centres: (key, c, c_label), at most MOST_CENTRES to a bucket; members: (key, v, label, size). A bucket is
+    compared in chunks of about CHUNK members, each with all of the bucket's centres, sketch by sketch in numpy."""
+    parts = F.ceil(F.col("size") / CHUNK).cast("int")
+    rows = members.withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(5)), parts).cast("int")).join(sketched, "v")
+    spans = members.select(F.col("key").alias("k"), parts.alias("parts")).distinct()
+    marks = sketched.select(F.col("v").alias("c"), F.col("n").alias("m"), F.col("sketch").alias("mark"))
+    stars = centres.select(F.col("key").alias("k"), "c", "c_label").join(marks, "c").join(spans, "k")
+    stars = stars.select("k", "c", "c_label", "m", "mark", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    close = estimator(threshold, count)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            v, label, n = (left[k].to_numpy() for k in ("v", "label", "n"))
+            mine = np.frombuffer(b"".join(left["sketch"]), dtype=np.uint16).reshape(-1, count)
+            for c, c_label, m, sketch in zip(right["c"], right["c_label"], right["m"], right["mark"], strict=True):
+                at = np.flatnonzero(label != c_label)
+                equal = (mine[at] == np.frombuffer(sketch, dtype=np.uint16)).mean(axis=1)
+                met = v[at[close(equal, n[at], np.full(len(at), m))]]
+                out.append(np.stack([np.minimum(met, c), np.maximum(met, c)], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
+
+    rows = rows.select("key", "chunk", "v", "label", "n", "sketch")
+    met = rows.groupBy("key", "chunk").cogroup(stars.groupBy("k", "part")).applyInPandas(run, "a long, b long")
+    return met.distinct()
 
 
 def pick_centres(wide: DataFrame, step: int) -> DataFrame:
@@ -232,9 +262,10 @@ def near_components(scratch: Scratch, vertices: DataFrame, sets_of, percent: int
     """(v, label) of the vertices that share a bucket, or None. vertices: (v, n, sketch, keys); sets_of(ids) gives
     (v, grams) for a table of v.
 
-    A bucket of at most SMALL members is compared in full, once. In a larger one, four centres meet all members first.
-    Then all members outside the bucket's largest component are centres, if they are few: after that no pair of the
-    bucket across components is left. If they are many, four centres go on, and what counts as few grows fourfold."""
+    The first round is over a few bands. A bucket of at most SMALL members is compared in full, once. In a larger one, up
+    to four centres meet all members. Then, over all bands, all members outside the bucket's largest component are centres, if they are few: after that no pair of the
+    bucket across components is left. If they are many, four centres go on, and what counts as few grows fourfold.
+    Pairs whose estimate is under the threshold's margin are not links and go no further."""
     members = bucket_members(scratch, vertices)
     if members.isEmpty():
         return None
@@ -242,7 +273,8 @@ def near_components(scratch: Scratch, vertices: DataFrame, sets_of, percent: int
     sets = scratch.table(sets_of(ids))
     sketched = scratch.table(vertices.join(ids, "v", "left_semi").select("v", "n", "sketch"))
     labels = ids.select("v", F.col("v").alias("label"))
-    state = members.select("key", "v", F.col("v").alias("label"), F.lit(0).cast("long").alias("links"))
+    # The first round is over a few bands: most members of a family are joined there, at few comparisons.
+    state = members.where(F.col("band") < FIRST_BANDS).select("key", "v", F.col("v").alias("label"), F.lit(0).cast("long").alias("links"))
     every: list[DataFrame] = []
     step, few = 0, 0
     while True:
@@ -250,7 +282,7 @@ def near_components(scratch: Scratch, vertices: DataFrame, sets_of, percent: int
         parts = parts.agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("n"))
         parts = scratch.table(parts.where("n > 1").select("key", "size", F.col("top.label").alias("big"), (F.col("size") - F.col("top.c")).alias("minor")))
         open_ = scratch.table(state.join(parts, "key"))
-        if open_.isEmpty():
+        if open_.isEmpty() and step:
             break
         small = open_.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("v", "label")).alias("m"))
         mates = F.filter("m", lambda y: (F.col("x.v") < y["v"]) & (F.col("x.label") != y["label"]))
@@ -259,8 +291,10 @@ def near_components(scratch: Scratch, vertices: DataFrame, sets_of, percent: int
         last, going = large.where(F.col("minor") <= few), large.where(F.col("minor") > few)
         centres = last.where("label <> big").select("key", F.col("v").alias("c"), F.col("label").alias("c_label"))
         centres = scratch.table(centres.union(pick_centres(going, step)))
-        pairs = scratch.table(cross.union(pairs_with_centres(large.select("key", "v", "label"), centres)).distinct())
-        found = scratch.table(verified(scratch, pairs, sketched, sets, percent, registers_))
+        star = pairs_with_centres(large.select("key", "v", "label", "size"), centres, sketched, percent / 100, registers_)
+        near = estimate_at_least(at_ends(scratch.table(cross.distinct()), sketched, {"n": "n", "sketch": "s"}), percent / 100, registers_)
+        pairs = scratch.table(near.union(star).distinct())
+        found = scratch.table(verified(pairs, sets, percent))
         every.append(found)
         # Components of the links' labels, a small graph, carry the labels on.
         at = found
@@ -269,9 +303,10 @@ def near_components(scratch: Scratch, vertices: DataFrame, sets_of, percent: int
         joined = components(scratch, at.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
         labels = labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
         labels = scratch.table(labels.select("v", F.coalesce("to", "label").alias("label")))
-        ends = reduce(DataFrame.union, every).select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("links"))
+        ends = reduce(DataFrame.union, [x.select(F.col(k).alias("v")) for x in every for k in "ab"]).groupBy("v").agg(F.count("*").alias("links"))
         # A centre has met all others of its bucket and leaves it.
         rest = going.select("key", "v").join(centres.select("key", F.col("c").alias("v")), ["key", "v"], "left_anti")
+        rest = rest if step else members.select("key", "v")
         rest = rest.join(labels, "v").join(scratch.table(ends), "v", "left")
         state = scratch.table(rest.select("key", "v", "label", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
         step, few = step + 1, min(MOST_CENTRES, 64 << (2 * step))
