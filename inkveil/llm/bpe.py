@@ -6,7 +6,7 @@ leftmost place. The root names the next merge. A merge joins two live neighbours
 leaves, each a logarithmic update, so a pre-token of n bytes costs O(n log n) however long it is.
 
 A pre-token that the vocabulary holds as a whole is that token. Pre-tokens repeat, so a bounded dictionary
-keeps their ids; it starts anew when full, and never decides a result.
+keeps their ids; it never decides a result.
 
 Defined results: a null or empty text has no ids and decodes to nothing. Repeated rows get the same ids each.
 Other columns are not read. Each document is read where it lies: no shuffle.
@@ -25,78 +25,83 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NEVER = 1 << 40
+NEVER = 1 << 80
 CACHE_ENTRIES = 300_000
+#: Children of a node of the segment tree.
+FAN = 16
 #: Documents that are encoded at a time.
 SLICE = 256
 
 
-class MergeTree:
-    """The merges of one byte string."""
-
-    def __init__(self, piece: bytes, ranks: dict[bytes, int]):
-        n = len(piece)
-        self.ranks, self.tokens = ranks, [piece[i : i + 1] for i in range(n)]
-        self.next, self.prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        self.n, self.size = n, 1 << max(0, (n - 1).bit_length())
-        self.tree = [(NEVER, i) for i in (0,)] * (2 * self.size)
-        for i in range(self.size):
-            self.tree[self.size + i] = (self._pair(i) if i < n else NEVER, i)
-        for k in range(self.size - 1, 0, -1):
-            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
-
-    def _pair(self, i: int) -> int:
-        j = self.next[i]
-        return self.ranks.get(self.tokens[i] + self.tokens[j], NEVER) if j < self.n else NEVER
-
-    def _set(self, i: int, rank: int) -> None:
-        tree, k = self.tree, self.size + i
-        tree[k] = (rank, i)
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            best = a if a <= b else b
-            if tree[k] == best:
-                break
-            tree[k] = best
-            k >>= 1
-
-    def merge(self) -> list[bytes]:
-        """Merges until no pair has a rank; the live tokens in order."""
-        while self.n > 1:
-            rank, i = self.tree[1]
-            if rank == NEVER:
-                break
-            j = self.next[i]
-            self.tokens[i] += self.tokens[j]
-            after = self.next[i] = self.next[j]
-            if after < self.n:
-                self.prev[after] = i
-            self._set(j, NEVER)
-            self._set(i, self._pair(i))
-            if (before := self.prev[i]) >= 0:
-                self._set(before, self._pair(before))
-        out, i = [], 0
-        while i < self.n:
-            out.append(self.tokens[i])
-            i = self.next[i]
-        return out
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The tokens of one byte string, by merges of the leftmost pair of least rank until no pair has one.
+
+    A tree node is one number: the rank, and below it the place; least is then also leftmost. A node has FAN children,
+    so that the least of them is one call of `min`, and a short piece is one node."""
+    n = len(piece)
+    if n < 2:
+        return [piece]
+    get, shift = ranks.get, n.bit_length()
+    mask = (1 << shift) - 1
+    leaves = [NEVER] * (n - 1)
+    for i in range(n - 1):
+        rank = get(piece[i : i + 2])
+        if rank is not None:
+            leaves[i] = rank << shift | i
+    tree = [leaves]
+    while len(tree[-1]) > FAN:
+        below = tree[-1]
+        tree.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    root, inner = tree[-1], tree[1:]
+    tokens: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (top := min(root)) != NEVER:
+        i = top & mask
+        j = after[i]
+        token = tokens[i] = tokens[i] + tokens[j]
+        tokens[j] = None
+        k = after[i] = after[j]
+        leaves[i] = NEVER
+        if j < n - 1:
+            leaves[j] = NEVER
+        if k < n:
+            before[k] = i
+            rank = get(token + tokens[k])
+            if rank is not None:
+                leaves[i] = rank << shift | i
+        h = before[i]
+        if h >= 0:
+            rank = get(tokens[h] + token)
+            leaves[h] = NEVER if rank is None else rank << shift | h
+        if inner:
+            changed = {h, i, j} if h >= 0 else {i, j}
+            below = leaves
+            for level in inner:
+                changed = {x // FAN for x in changed if x // FAN < len(level)}
+                for x in changed:
+                    level[x] = min(below[x * FAN : x * FAN + FAN])
+                below = level
+    return [t for t in tokens if t is not None]
 
 
 class Encoder(dict):
-    """Pre-token to ids. As a dictionary it holds what has been looked up."""
+    """Pre-token to ids. As a dictionary it holds what has been looked up; when it is full, what it holds becomes the
+    elder half, out of which entries that are used again come back."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.split, self.elder = ranks, regex.compile(pattern).findall, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        piece = word.encode()
-        rank = self.ranks.get(piece)
-        ids = (rank,) if rank is not None else tuple(self.ranks[t] for t in MergeTree(piece, self.ranks).merge())
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+        ids = self.elder.get(word)
+        if ids is None:
+            piece, ranks = word.encode(), self.ranks
+            rank = ranks.get(piece)
+            ids = (rank,) if rank is not None else tuple([ranks[t] for t in merge(piece, ranks)])
         if len(word) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.elder = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -152,7 +157,9 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                out = [b"".join(map(table.__getitem__, x)) if x else b"" for x in part.column("ids").to_pylist()]
+                ids = part.column("ids")
+                flat, ends = ids.values[ids.offsets[0].as_py() : ids.offsets[-1].as_py()].to_numpy().tolist(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+                out = [b"".join(map(table.__getitem__, flat[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), *[part.column(k) for k in keep], pa.array(out, pa.binary())],
                     names=["id", *keep, "decoded"],
