@@ -2,9 +2,9 @@
 
 P(token | history) = P(class | history) * P(token | class, class of the previous token).
 
-A word's class is its last two characters, where these are among the most frequent; other words share a class, and
+A word's class is its last two bytes, where these are among the most frequent; other words share a class, and
 the end of a text has one. The class law is a softmax over weights of hashed features of the history: the previous
-word, the previous two (n-grams), and the words two and three back (skips). Within a class a word's weight is its
+word, the previous two (n-grams), and the word two back (a skip). Within a class a word's weight is its
 log-frequency plus a weight for the previous class; rare words stand behind one symbol of their class and share
 its mass by their counts, with room for one unseen word.
 
@@ -35,14 +35,16 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, lower_ascii, text_or_empty, words
+from inkveil.llm.common import Scratch, text_or_empty
 
 HEAD, FINE = 1 << 17, 1 << 13
 CLASSES, OTHER, END_CLASS = 64, 62, 63
-ROWS, FEATURES = 1 << 15, 4
-ROUNDS, BATCH, RATE = 2, 2048, 0.15
+ROWS = 1 << 15
+ROUNDS, BATCH, RATE = 2, 4096, 0.15
 BLOCKS, FAN = 64, 32
-SLICE = 128
+#: Different words that a part holds before it passes their counts on.
+COUNTED = 500_000
+SLICE = 512
 END, START = HEAD, HEAD + 1  # ids; the rare words of class c are HEAD + 2 + c
 
 
@@ -50,8 +52,8 @@ END, START = HEAD, HEAD + 1  # ids; the rare words of class c are HEAD + 2 + c
 class Model:
     """All that scoring needs; `base` and `inner` are natural logs per head word."""
 
-    ids: dict[str, int]
-    keys: dict[str, int]
+    ids: dict[bytes, int]
+    keys: dict[bytes, int]
     cls: np.ndarray  # class of each id
     base: np.ndarray  # of head words and the end: log of the unigram law
     inner: np.ndarray  # of all ids: log P(id | class), the previous class left out
@@ -60,22 +62,22 @@ class Model:
     fine: np.ndarray  # (FINE, CLASSES) weights by previous class
     norm: np.ndarray  # (class, previous class) logs
 
-    def encode(self, tokens: list[str]) -> np.ndarray:
-        """Ids with three starts before and the end behind."""
+    def encode(self, tokens: list[bytes]) -> np.ndarray:
+        """Ids with two starts before and the end behind."""
         get, key = self.ids.get, self.keys.get
         out = [get(w, -1) for w in tokens]
-        ids = np.array([START, START, START, *out, END], dtype=np.int64)
+        ids = np.array([START, START, *out, END], dtype=np.int64)
         rare = np.flatnonzero(ids < 0)
         if len(rare):
-            ids[rare] = [HEAD + 2 + key(tokens[k - 3][-2:], OTHER) for k in rare]
+            ids[rare] = [HEAD + 2 + key(tokens[k - 2][-2:], OTHER) for k in rare]
         return ids
 
 
 def feature_rows(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """(FEATURES, tokens): hashed rows of the features of the histories at `places`."""
-    one, two, three = (ids[places - k].astype(np.uint64) for k in (1, 2, 3))
+    """(features, tokens): hashed rows of the features of the histories at `places`."""
+    one, two = (ids[places - k].astype(np.uint64) for k in (1, 2))
     p, q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    raw = (one * p + np.uint64(1), (one * p) ^ (two * q + np.uint64(2)), two * q + np.uint64(3), three * p * q + np.uint64(4))
+    raw = (one * p + np.uint64(1), (one * p) ^ (two * q + np.uint64(2)), two * q + np.uint64(3))
     out = np.stack(raw)
     out ^= out >> np.uint64(29)
     out *= np.uint64(0x165667B19E3779F9)
@@ -111,12 +113,13 @@ def _gather(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sizes = np.array([len(x) for x in lists])
     owner = np.repeat(np.arange(len(lists)), sizes)
     inside = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    places = np.flatnonzero(inside >= 3)
+    places = np.flatnonzero(inside >= 2)
     return ids, places, owner[places]
 
 
-def _texts(part: pa.RecordBatch) -> list[list[str]]:
-    return [w if w else [] for w in (t.split(" ") if t else [] for t in part.column("text").to_pylist())]
+def _texts(part: pa.RecordBatch) -> list[list[bytes]]:
+    """The words of each text. For bytes, `lower` and `split` know ASCII alone: A to Z, and space, tab to return."""
+    return [(t or b"").lower().split() for t in part.column("text").to_pylist()]
 
 
 def local_updates(m: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +205,30 @@ def round_of_training(scratch: Scratch, texts: DataFrame, model: Model) -> np.nd
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over the texts; words only."""
-    return texts.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    """(word, c) over the texts; words only, as bytes. A part's counts are summed before they travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for w in _texts(batch.slice(at, SLICE)):
+                    held.update(w)
+                if len(held) > COUNTED:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
+
+    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def suffix_class(word: Column, keys: dict[str, int]) -> Column:
-    table = F.create_map(*[F.lit(x) for k in keys.items() for x in k]) if keys else F.create_map().cast("map<string,int>")
-    return F.coalesce(F.element_at(table, F.substring(word, -2, 2)), F.lit(OTHER))
+def suffix_class(word: Column, keys: dict[bytes, int]) -> Column:
+    table = F.create_map(*[F.lit(x) for k in keys.items() for x in k]) if keys else F.create_map().cast("map<binary,int>")
+    return F.coalesce(F.try_element_at(table, F.substring(word, -2, 2)), F.lit(OTHER))
 
 
 @dataclass
@@ -216,8 +236,8 @@ class Counts:
     """The table of counts and its bounded summary."""
 
     table: DataFrame
-    head: list[tuple[str, int]]
-    keys: dict[str, int]
+    head: list[tuple[bytes, int]]
+    keys: dict[bytes, int]
     tokens: int
     types: int
     ends: int
@@ -232,14 +252,14 @@ def count(scratch: Scratch, texts: DataFrame) -> Counts:
     counts = scratch.table(word_counts(texts))
     ends = texts.count()
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(r[0], r[1]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    head = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
     suffixes = counts.groupBy(F.substring("word", -2, 2).alias("k")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(OTHER)
-    keys = {r[0]: k for k, r in enumerate(suffixes.collect())}
+    keys = {bytes(r[0]): k for k, r in enumerate(suffixes.collect())}
     rare: dict[int, tuple[int, int]] = {}
     tail = counts.limit(0)
     if len(head) == HEAD:
         last_word, last = head[-1]
-        tail = counts.where((F.col("c") < last) | ((F.col("c") == last) & (F.col("word") > last_word)))
+        tail = counts.where((F.col("c") < last) | ((F.col("c") == last) & (F.col("word") > F.lit(last_word))))
         grouped = tail.groupBy(suffix_class(F.col("word"), keys).alias("k")).agg(F.sum("c"), F.count("*"))
         rare = {r[0]: (r[1], r[2]) for r in grouped.collect()}
     return Counts(tail, head, keys, total + ends, types + (ends > 0), ends, rare)
@@ -286,7 +306,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """Trains on the documents of four fifths of the ids and scores all: id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (log10)."""
     scratch = Scratch(df.sparkSession)
-    text = F.concat_ws(" ", words(lower_ascii(text_or_empty(text_col))))
+    text = text_or_empty(text_col).cast("binary")
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), (fold == 1).alias("held_out"))
     training = docs.where(~F.col("held_out")).select("text")
@@ -326,13 +346,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), part.column("held_out"), *map(pa.array, sums),
-                        pa.array([list(c) for c in tf], pa.list_(pa.string())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int64())),
+                        pa.array([list(c) for c in tf], pa.list_(pa.binary())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int64())),
                     ],
                     names=["id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare", "uses"],
                 )
 
     kind = dict(docs.dtypes)["id"]
-    schema = f"id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, rare array<string>, uses array<bigint>"
+    schema = f"id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, rare array<binary>, uses array<bigint>"
     scored = scratch.table(docs.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "uses")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.uses").alias("tf"))
     totals = F.create_map(*[F.lit(x) for c in range(CLASSES) for x in (c, n.rare.get(c, (0, 0))[0] + 0.5 * (n.rare.get(c, (0, 0))[1] + 1))])
