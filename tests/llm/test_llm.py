@@ -131,7 +131,7 @@ def test_redact(spark, docs):
     out = secret_scan.redact(docs)
     assert out.dtypes == docs.dtypes
     got = {r.doc_id: r for r in out.collect()}
-    assert got[9].text == "[SECRET] and [SECRET]" .replace('[SECRET] and', '[SECRET]" and') and got[9].n_chars == len(got[9].text)
+    assert got[9].text == '[SECRET]" and [SECRET]' and got[9].n_chars == len(got[9].text)
     assert all(got[k].text == t for k, t in TEXTS.items() if k != 9) and got[1].n_chars is None
     df = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     for r in secret_scan.redact(df).collect():
@@ -345,8 +345,7 @@ def test_warc_damage():
 
 
 # ------------------------------------------------------------------ language model
-def test_language_model(spark, docs, none, monkeypatch):
-    monkeypatch.setattr(maxent_lm, "FINE", 64)
+def test_language_model(spark, docs, none):
     rng = random.Random(9)
     tongues = [["la", "le", "rouge", "chat"], ["the", "a", "red", "cat"], ["das", "ein", "rot", "katze"]]
     texts = {k: " ".join(rng.choice(tongues[k % 3]) for _ in range(60)) for k in range(150)} | {1000 + k: t for k, t in TEXTS.items()}
@@ -368,21 +367,21 @@ def test_language_model(spark, docs, none, monkeypatch):
     assert maxent_lm.score(none).count() == 0
 
 
-def test_rare_words_are_joined(spark, monkeypatch):
-    """With a small head most words take the way of the join; the base is the same."""
-    for name, value in (("HEAD", 64), ("FINE", 32), ("END", 64), ("START", 65)):
-        monkeypatch.setattr(maxent_lm, name, value)
+def test_rare_words_are_joined(spark):
+    """More words than the head holds: the others take the way of the join, and the base is the same."""
     rng = random.Random(10)
-    texts = {k: " ".join(f"{rng.choice('abcd')}{rng.randrange(400)}" for _ in range(40)) for k in range(60)}
+    texts = {k: " ".join(f"{rng.randrange(160_000):x}{rng.choice('abc')}" for _ in range(6000)) for k in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     count = collections.Counter()
     for k, t in texts.items():
         if zlib.crc32(str(k).encode()) % 5 != 1:
             count.update([*t.split(), "\n"])
     n, types = sum(count.values()), len(count)
+    assert types > maxent_lm.HEAD
     for r in maxent_lm.score(df).collect():
-        want = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (types + 1))) for w in [*texts[r.doc_id].split(), "\n"])
-        assert abs(r.base_score - want) < 1e-6 * abs(want) and r.n_known == sum(count[w] > 0 for w in [*texts[r.doc_id].split(), "\n"])
+        tokens = [*texts[r.doc_id].split(), "\n"]
+        want = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (types + 1))) for w in tokens)
+        assert abs(r.base_score - want) < 1e-6 * abs(want) and r.n_known == sum(count[w] > 0 for w in tokens)
         assert math.isfinite(r.score)
 
 
