@@ -115,4 +115,15 @@ ORACLE_SQL: dict[str, str] = {
                NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.3 AND n_stop >= 2
                AND n_dup_lines <= 0.5 * n_lines AS kept
         FROM b""".replace("{stop}", " ".join(STOP_WORDS)),
+    "op10_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS s FROM w),
+        n AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n FROM g),
+        f AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM g),
+        p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+        arcs AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT arcs.b, r.m FROM r JOIN arcs ON arcs.a = r.v),
+        c AS (SELECT v, min(m) AS component_id FROM r GROUP BY v)
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.v = n.doc_id""",
 }
