@@ -35,33 +35,87 @@ from inkveil.llm.common import Scratch, salts
 LENGTH, GRAIN, END_ID = 4096, 16, 2
 CACHE_ENTRIES = 300_000
 SLICE = 256
+#: Marks that are looked up apart from the word before them.
+MARKS = tuple(".,;:!?")
 
 
-class WordIds(dict):
-    """White-space separated word to its ids as little-endian 32-bit numbers; bounded, starts anew when full."""
+def _letters(word: str) -> bool:
+    """Letters only, in lower case too (a dotted capital I turns into a letter and a mark)."""
+    return word.isalpha() and word.lower().isalpha()
+
+
+class Kept(dict):
+    """A dictionary of at most two generations of CACHE_ENTRIES: entries that are used again come back from the elder."""
+
+    elder: dict = {}
+
+    def room(self, more: int) -> None:
+        if len(self) + more > CACHE_ENTRIES:
+            self.elder = dict(self)
+            self.clear()
+
+    def unknown(self, words) -> list[str]:
+        """Those of `words` that are in neither generation; the others are in this one afterwards."""
+        new = [w for w in words if w not in self]
+        out, elder = [], self.elder
+        for w in new:
+            ids = elder.get(w)
+            if ids is None:
+                out.append(w)
+            else:
+                self[w] = ids
+        return out
+
+
+class WordIds:
+    """White-space separated words to ids as little-endian 32-bit numbers. The tokenizer drops white space and never joins
+    across it, so a text's ids are those of its words; it lower-cases, and parts letters from other signs, so a
+    word of letters with a mark behind it has the ids of the letters and those of the mark."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def fill(self, words: set[str]) -> None:
-        """Looks up the words that are not known, together."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_ENTRIES:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The tokenizer drops white space and never joins across it, so a text's ids are those of its words. Only
-        space, newline and tab part words here; other white space stays inside a word, for the tokenizer."""
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        self.fill(set(words))
-        return b"".join(map(self.__getitem__, words))
+        self.words, self.cores = Kept(), Kept()
+
+    def _plain(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode_cores(self, cores: list[str]) -> None:
+        """Words of letters only are encoded many at a time; each is one pre-token, by which their ids are told apart."""
+        letters = [c for c in cores if _letters(c)]
+        groups = [letters[k : k + 200] for k in range(0, len(letters), 200)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids, owner = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            if len(first) == len(group):
+                data, ends = ids.tobytes(), (4 * np.r_[first, len(ids)]).tolist()
+                for c, x, y in zip(group, ends[:-1], ends[1:], strict=True):
+                    self.cores[c] = data[x:y]
+            else:
+                for c in group:
+                    self.cores[c] = self._plain(c)
+        for c in cores:
+            if not _letters(c):
+                self.cores[c] = self._plain(c)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts. Only space, newline and tab part words here; other white space stays inside a word, for the
+        tokenizer."""
+        lists = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        every = set().union(*lists)
+        self.words.room(len(every))
+        split = {}
+        for w in self.words.unknown(every):
+            c = w.lower() if w.isascii() else w
+            split[w] = (c[:-1], c[-1]) if c[-1:] in MARKS and _letters(c[:-1]) else (c,)
+        cores = {c for parts in split.values() for c in parts}
+        self.cores.room(len(cores))
+        self._encode_cores(self.cores.unknown(cores))
+        for w, parts in split.items():
+            self.words[w] = b"".join([self.cores[c] for c in parts])
+        return [b"".join(map(self.words.__getitem__, x)) for x in lists]
 
 
 @lru_cache(maxsize=2)
@@ -83,8 +137,8 @@ def pieces(
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 row, start, size, crc, total, ids = [], [], [], [], [], []
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    data = (words.encode(text) if text else b"") + end
+                for k, data in enumerate(words.encode([t or "" for t in part.column("text").to_pylist()])):
+                    data += end
                     n = len(data) // 4
                     for s in range(0, n, length):
                         piece = data[4 * s : 4 * (s + length)]
