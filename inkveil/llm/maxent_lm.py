@@ -4,7 +4,7 @@ P(token | history) = P(class | history) * P(token | class, class of the previous
 
 A word's class is its last two bytes, where these are among the most frequent; other words share a class, and
 the end of a text has one. The class law is a softmax over weights of hashed features of the history: the previous
-word, the previous two (n-grams), and the word two back (a skip). Within a class a word's weight is its
+word, the previous two (n-grams), and the words two and three back (skips). Within a class a word's weight is its
 log-frequency plus a weight for the previous class; rare words stand behind one symbol of their class and share
 its mass by their counts, with room for one unseen word.
 
@@ -40,11 +40,13 @@ from inkveil.llm.common import Scratch, text_or_empty
 HEAD, FINE = 1 << 17, 1 << 13
 CLASSES, OTHER, END_CLASS = 64, 62, 63
 ROWS = 1 << 15
-ROUNDS, BATCH, RATE = 2, 4096, 0.15
+ROUNDS, BATCH, RATE = 2, 2048, 0.15
 BLOCKS, FAN = 64, 32
 #: Different words that a part holds before it passes their counts on.
 COUNTED = 500_000
 SLICE = 512
+#: Texts whose tokens are dealt into batches together; batches do not go across, so this sets the gradient steps.
+TRAINED = 128
 END, START = HEAD, HEAD + 1  # ids; the rare words of class c are HEAD + 2 + c
 
 
@@ -63,21 +65,21 @@ class Model:
     norm: np.ndarray  # (class, previous class) logs
 
     def encode(self, tokens: list[bytes]) -> np.ndarray:
-        """Ids with two starts before and the end behind."""
+        """Ids with three starts before and the end behind."""
         get, key = self.ids.get, self.keys.get
         out = [get(w, -1) for w in tokens]
-        ids = np.array([START, START, *out, END], dtype=np.int64)
+        ids = np.array([START, START, START, *out, END], dtype=np.int64)
         rare = np.flatnonzero(ids < 0)
         if len(rare):
-            ids[rare] = [HEAD + 2 + key(tokens[k - 2][-2:], OTHER) for k in rare]
+            ids[rare] = [HEAD + 2 + key(tokens[k - 3][-2:], OTHER) for k in rare]
         return ids
 
 
 def feature_rows(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """(features, tokens): hashed rows of the features of the histories at `places`."""
-    one, two = (ids[places - k].astype(np.uint64) for k in (1, 2))
+    one, two, three = (ids[places - k].astype(np.uint64) for k in (1, 2, 3))
     p, q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    raw = (one * p + np.uint64(1), (one * p) ^ (two * q + np.uint64(2)), two * q + np.uint64(3))
+    raw = (one * p + np.uint64(1), (one * p) ^ (two * q + np.uint64(2)), two * q + np.uint64(3), three * p * q + np.uint64(4))
     out = np.stack(raw)
     out ^= out >> np.uint64(29)
     out *= np.uint64(0x165667B19E3779F9)
@@ -113,7 +115,7 @@ def _gather(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sizes = np.array([len(x) for x in lists])
     owner = np.repeat(np.arange(len(lists)), sizes)
     inside = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    places = np.flatnonzero(inside >= 2)
+    places = np.flatnonzero(inside >= 3)
     return ids, places, owner[places]
 
 
@@ -128,8 +130,8 @@ def local_updates(m: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     weights, square = model.weights.copy(), np.full(ROWS, 1e-3, dtype=np.float32)
     touched, pairs = np.zeros(ROWS, dtype=np.float32), np.zeros(FINE * CLASSES, dtype=np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            ids, places, _ = _gather([model.encode(w) for w in _texts(batch.slice(at, SLICE))])
+        for at in range(0, batch.num_rows, TRAINED):
+            ids, places, _ = _gather([model.encode(w) for w in _texts(batch.slice(at, TRAINED))])
             now = ids[places]
             small = now < FINE
             pairs += np.bincount(now[small] * CLASSES + model.cls[ids[places[small] - 1]], minlength=len(pairs))

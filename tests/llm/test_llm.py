@@ -385,6 +385,14 @@ def test_rare_words_are_joined(spark):
         assert math.isfinite(r.score)
 
 
+def test_history_goes_three_words_back():
+    """Two words, their pair, and two skips; a step is taken for every 2,048 tokens."""
+    ids = np.array([[5, 6, 7, 8], [9, 6, 7, 8]])
+    a, b = (maxent_lm.feature_rows(x, np.array([3]))[:, 0] for x in ids)
+    assert len(a) == 4 and (a != b).sum() == 1
+    assert maxent_lm.BATCH == 2048
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as cp
