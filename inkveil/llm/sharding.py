@@ -14,7 +14,7 @@ The matrix has one row for each partition and one column for each shard; partiti
 `max_sources` before, which bounds what the driver holds and what is broadcast (max_sources * shards numbers).
 
 Defined results: null and empty texts have no bytes and are dealt like any other row, as are repeated rows, each
-of which gets its own slot. An empty table gives an empty result. Other columns are not read.
+of which gets its own slot. An empty table gives an empty result. Other columns go with their rows.
 """
 
 from __future__ import annotations
@@ -105,12 +105,11 @@ def unsigned_crc32(text: Column) -> Column:
 
 
 def document_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard."""
+    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard. The documents go to their shards
+    whole; size and text_crc32 are those of the text that arrived."""
     text = text_or_empty(text_col)
-    light = df.select(
-        F.col(id_col), (F.octet_length(text) + 16).cast("long").alias("size"), unsigned_crc32(text).alias("text_crc32")
-    )
-    out = uniform_shards(light, shards)
+    out = uniform_shards(df, shards)
     return out.select(
-        id_col, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+        id_col, (F.octet_length(text) + 16).cast("long").alias("size"), unsigned_crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )

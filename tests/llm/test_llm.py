@@ -163,6 +163,15 @@ def test_shards(spark, docs, none):
     assert sharding.uniform_shards(docs, 3).columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
 
 
+def test_documents_travel(docs, monkeypatch):
+    """Size and checksum are those of the texts in the shards."""
+    moved = sharding.uniform_shards
+    monkeypatch.setattr(sharding, "uniform_shards", lambda df, *a, **k: moved(df, *a, **k).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("+"))))
+    for r in sharding.document_shards(docs.where("doc_id <= 10"), 5).collect():
+        text = ((TEXTS[r.doc_id] or "") + "+").encode()
+        assert (r["size"], r.text_crc32) == (len(text) + 16, zlib.crc32(text))
+
+
 def test_shuffle_is_uniform(spark):
     """Where a row goes does not depend on where it was."""
     hits = np.zeros((4, 4))
