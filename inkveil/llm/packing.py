@@ -8,9 +8,11 @@ knapsack dynamic program over the classes' prices finds the pattern to enter, un
 Farley shows that the rest is under `gap`. Pattern counts are rounded down, and the few pieces left over are
 packed first-fit-decreasing. The plan's size depends on the number of classes alone.
 
-Pieces are ranked within their class and find pattern, sequence and place by their rank. Ranks come from counts
-per (class, salt), so a class that holds a third of all pieces is ranked in as many parts as there are salts. A
-sequence holds length/grain pieces at most; offsets are sums within it.
+Pieces are ranked within their class and find pattern, sequence and place by their rank. They are numbered where
+they are cut, by class and partition; the counts per (class, partition), which are broadcast, make ranks of these
+numbers. So the only exchange of token ids is that to their sequences, however many pieces a class holds. A
+sequence holds length/grain pieces at most; offsets are sums within it. Token ids go with their pieces throughout, so
+the rows of a sequence in the order of their offsets are the packed sequence.
 
 Defined results: a null or empty text is its end id alone. Repeated rows are packed each for itself. An empty
 table gives an empty result. Other columns are not read.
@@ -19,18 +21,19 @@ table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import os
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import Scratch, salts
+from inkveil.llm.common import Scratch
 
 LENGTH, GRAIN, END_ID = 4096, 16, 2
 CACHE_ENTRIES = 300_000
@@ -124,19 +127,20 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(
-    df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False,
+    df: DataFrame, tokenizer: str, length: int = LENGTH, grain: int = GRAIN, end_id: int = END_ID,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens[, ids]): each document's full pieces and its rest."""
+    """(id, start, length, doc_tokens, ids, __cls, __part, __at): each document's full pieces and its rest, numbered
+    within their class and partition."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words, here, seen = word_ids(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                row, start, size, crc, total, ids = [], [], [], [], [], []
+                row, start, size, total, ids, cls, place = [], [], [], [], [], [], []
                 for k, data in enumerate(words.encode([t or "" for t in part.column("text").to_pylist()])):
                     data += end
                     n = len(data) // 4
@@ -145,18 +149,17 @@ def pieces(
                         row.append(k)
                         start.append(s)
                         size.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
                         total.append(n)
                         ids.append(piece)
+                        cls.append(-(-size[-1] // grain))
+                        place.append(seen[cls[-1]])
+                        seen[cls[-1]] += 1
                 columns = [part.column("id").take(pa.array(row, pa.int64()))]
-                columns += [pa.array(x, pa.int64()) for x in (start, size, crc, total)]
-                names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = f"id {dict(rows.dtypes)['id']}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+                columns += [pa.array(x, pa.int64()) for x in (start, size, total)]
+                columns += [pa.array(ids, pa.binary()), *(pa.array(x, pa.int64()) for x in (cls, [here] * len(cls), place))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "doc_tokens", "ids", "__cls", "__part", "__at"])
+
+    schema = f"id {dict(rows.dtypes)['id']}, start long, length long, doc_tokens long, ids binary, __cls long, __part long, __at long"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -246,45 +249,33 @@ def plan(demand: dict[int, int], room: int) -> pd.DataFrame:
 
 
 def assign(ranked: DataFrame, layout: pd.DataFrame) -> DataFrame:
-    """Adds sequence_id to rows with __cls and __rank. `layout` is bounded by the number of classes."""
-    by = {int(c): g.sort_values("first") for c, g in layout.groupby("cls")}
-    arrays = {c: tuple(g[k].to_numpy() for k in ("first", "each", "sequence")) for c, g in by.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("__cls", "__rank"))
-            out = np.zeros(len(cls), dtype=np.int64)
-            for c in np.unique(cls):
-                first, each, sequence = arrays[int(c)]
-                at = cls == c
-                k = np.searchsorted(first, rank[at], side="right") - 1
-                out[at] = sequence[k] + (rank[at] - first[k]) // each[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "sequence_id"])
-
-    schema = ", ".join(f"`{k}` {v}" for k, v in ranked.dtypes) + ", sequence_id long"
-    return ranked.mapInArrow(run, schema)
+    """Adds sequence_id to rows with __cls and __rank. `layout` is bounded by the number of classes. The rows stay in
+    the JVM, as they hold token ids."""
+    spans = [(int(c), list(zip(*(g.sort_values("first")[k].tolist() for k in ("first", "each", "sequence")), strict=True))) for c, g in layout.groupby("cls")]
+    plans = ranked.sparkSession.createDataFrame(spans, "__cls bigint, __spans array<struct<first:bigint,each:bigint,sequence:bigint>>")
+    span = F.element_at(F.filter("__spans", lambda x: x["first"] <= F.col("__rank")), -1)
+    placed = ranked.join(F.broadcast(plans), "__cls").withColumn("__span", span)
+    at = F.floor((F.col("__rank") - F.col("__span.first")) / F.col("__span.each"))
+    return placed.withColumn("sequence_id", F.col("__span.sequence") + at).drop("__spans", "__span")
 
 
 def pack(
-    df: DataFrame, tokenizer: str, length: int = LENGTH, grain: int = GRAIN, end_id: int = END_ID, with_ids: bool = False,
+    df: DataFrame, tokenizer: str, length: int = LENGTH, grain: int = GRAIN, end_id: int = END_ID,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]."""
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian 32-bit
+    numbers). The ids of a sequence are those of its rows by offset. The checksum is that of the placed ids."""
     spark = df.sparkSession
     scratch = Scratch(spark)
-    cut = pieces(df, tokenizer, length, end_id, with_ids, id_col, text_col)
-    cls = F.ceil(F.col("length") / grain).cast("int")
-    rows = scratch.table(cut.withColumn("__cls", cls).withColumn("__salt", F.pmod(F.xxhash64(id_col, "start"), F.lit(salts(spark))).cast("int")))
-    counts = scratch.table(rows.groupBy("__cls", "__salt").agg(F.count("*").alias("__n")))
+    rows = scratch.table(pieces(df, tokenizer, length, grain, end_id, id_col, text_col))
+    counts = scratch.table(rows.groupBy("__cls", "__part").agg(F.count("*").alias("__n")))
     demand = {r[0]: r[1] for r in counts.groupBy("__cls").agg(F.sum("__n")).collect()}
     layout = plan(demand, length // grain)
-    before = Window.partitionBy("__cls").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("__cls", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__cls", "__salt").orderBy(id_col, "start", "ids_crc32")
-    local = rows.withColumn("__at", F.row_number().over(inside).cast("long") - 1)
-    ranked = local.join(base, ["__cls", "__salt"]).withColumn("__rank", F.col("__base") + F.col("__at"))
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-    placed = assign(ranked.select(*names, "__cls", "__rank"), layout)
+    before = Window.partitionBy("__cls").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__cls", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    ranked = rows.join(F.broadcast(base), ["__cls", "__part"]).withColumn("__rank", F.col("__base") + F.col("__at"))
+    placed = assign(ranked.select(id_col, "start", "length", "doc_tokens", "ids", "__cls", "__rank"), layout)
     within = Window.partitionBy("sequence_id").orderBy(F.desc("__cls"), "__rank")
     offset = F.coalesce(F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.select(*names[:5], "sequence_id", offset.cast("long").alias("offset"), *names[5:])
+    placed = placed.withColumn("offset", offset.cast("long"))
+    return placed.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

@@ -241,6 +241,23 @@ def test_packing(spark, docs, none):
     check_packing(odd, packing.pack(spark.createDataFrame(list(odd.items()), "doc_id long, text string"), WORDS).collect())
 
 
+def test_packed_sequences_hold_their_ids(spark, data, docs):
+    """The texts' ids can be had back from the packed rows, in the query's and the pipeline's output too."""
+    import corpus_pipeline as cp
+
+    known = Tokenizer.from_file(WORDS)
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    outs = (docs, packing.pack(docs, WORDS)), (docs, dict(cp.STAGES)["packing"](spark, docs, data)), (table, QUERIES["op1_cutting_stock_packing"](spark, data))
+    for source, packed in outs:
+        got = collections.defaultdict(list)
+        for r in packed.collect():
+            assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+            got[r.doc_id].append((r.start, bytes(r.ids)))
+        for r in source.collect():
+            ids = np.array([*known.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+            assert b"".join(x for _, x in sorted(got[r.doc_id])) == ids.tobytes()
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(4)
     demand = collections.Counter(np.clip(rng.lognormal(3, 1, 20_000).astype(int), 1, 256).tolist())
