@@ -157,15 +157,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, decay: float = 1e-4)
 
 
 def labelled_sample(judged: DataFrame, sample: int) -> dict[str, list[str]]:
-    """Up to `sample` URLs of each verdict, in the order of their hash. The share of hashes that is read is set by the
-    class's size, so what reaches the driver is bounded by the sample."""
-    seen = judged.where("verdict is not null and url is not null").select("verdict", "url", F.xxhash64("url").alias("h"))
-    sizes = {r[0]: r[1] for r in seen.groupBy("verdict").count().collect()}
-    out: dict[str, list[str]] = {"allow": [], "block": []}
-    for verdict, n in sizes.items():
-        share = min(1.0, 2.0 * sample / n + 200 / n)
-        rows = seen.where((F.col("verdict") == verdict) & (F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)))
-        out[verdict] = [r[0] for r in rows.select("url", "h").distinct().orderBy(F.pmod(F.xxhash64("h"), F.lit(1 << 62)), "url").limit(sample).select("url").collect()]
+    """Up to `sample` different URLs of each verdict, those of the smallest hashes. Repeats are dropped first, so
+    how often a URL occurs does not matter; each partition passes on its `sample` smallest."""
+    seen = judged.where("verdict is not null and url is not null").select("verdict", "url")
+    order = F.pmod(F.xxhash64(F.xxhash64("url")), F.lit(1 << 62))
+    out: dict[str, list[str]] = {}
+    for verdict in ("allow", "block"):
+        rows = seen.where(F.col("verdict") == verdict).select("url").distinct()
+        out[verdict] = [r[0] for r in rows.orderBy(order, "url").limit(sample).collect()]
     return out
 
 

@@ -325,6 +325,13 @@ def test_urls(spark):
     assert {r.verdict for r in bare.collect()} == {"allow"}
 
 
+def test_repeated_urls_are_sampled(spark):
+    """A few blocked URLs, each in many rows, are all there to fit."""
+    rows = spark.range(40_000).select(F.when(F.col("id") < 20_000, "block").otherwise("allow").alias("verdict"), F.concat(F.lit("u"), F.col("id") % 20).alias("url"))
+    for v, urls in url_filter.labelled_sample(rows, 100).items():
+        assert sorted(urls) == sorted(f"u{k}" for k in range(20)), v
+
+
 def test_char_models_tell_classes_apart():
     rng = random.Random(6)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
