@@ -2,10 +2,10 @@
 
 Candidates are runs of token characters. A window of fixed width slides over each; the window's Shannon entropy
 follows from counts that change by one character in and one out at each step, kept as one sum of whole numbers
-(c * log2 c in millionths of a bit), so it does not drift. A candidate's character class (hexadecimal, lower
-case and digits, base 64) sets the entropy that a window must reach and the characters that it must mix.
-Windows that reach it are joined into spans. Candidates on the allow-list (UUIDs, dates and other numbers,
-placeholders) are let go. Spans of the entropy method that touch a pattern's span are not repeated.
+(c * log2 c in millionths of a bit), so it does not drift. A window's character class (hexadecimal, lower
+case and digits, upper case and digits, base 64) sets the entropy that it must reach and the characters that it
+must mix; what a secret is glued to does not change the windows inside it. Windows that reach it are joined into
+spans. Candidates that are UUIDs, dates and other numbers are let go, as are windows at a placeholder. Spans of the entropy method that touch a pattern's span are not repeated.
 
 Positions are code points, ends exclusive. A span covers the whole match.
 
@@ -32,17 +32,19 @@ HEX = "[0-9a-f]{24,}"
 
 WINDOW = 20
 CANDIDATE = f"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
-#: (class, pattern of the whole candidate, least bits a character in a window, what a window must hold).
+#: (class, pattern of a whole window, least bits a character in a window, what a window must hold).
 CLASSES = (
     ("hex", "^[0-9a-fA-F]+$", 3.0, ("[0-9]", "[a-fA-F]")),
     ("lower", "^[a-z0-9]+$", 3.6, ("[0-9].*[0-9].*[0-9]", "[a-z]")),
+    ("upper", "^[A-Z0-9]+$", 3.6, ("[0-9].*[0-9]", "[A-Z]")),
     ("base64", "", 3.7, ("[0-9]", "[a-z]", "[A-Z]")),
 )
 ALLOW = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     "|^[0-9+/=_-]+$"
-    "|(?i)example|placeholder|xxxxx|00000|12345678|abcdefgh"
 )
+#: Lets go the windows that it lies in, or next to within WINDOW letters and digits; not the rest of the candidate.
+PLACEHOLDER = "(?i)example|placeholder|xxxxx|00000|12345678|abcdefgh"
 MASK = "[SECRET]"
 
 
@@ -67,34 +69,39 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def entropy_spans(candidate: Column, width: int = WINDOW, classes=CLASSES) -> Column:
-    """Array of (s, e) in a candidate string: joined windows that reach their class's entropy."""
+    """Array of (s, e) in a candidate string: joined windows that reach their own class's entropy."""
     weight = F.array(*[F.lit(round(c * math.log2(c) * 1e6) if c else 0).cast("long") for c in range(width + 1)])
 
     def count(ch: Column, text: Column) -> Column:
         return F.length(text) - F.length(F.replace(text, ch, F.lit("")))
 
-    def budget(name_index: int) -> int:
-        return round(width * (math.log2(width) - classes[name_index][2]) * 1e6)
+    def budget(k: int) -> int:
+        return round(width * (math.log2(width) - classes[k][2]) * 1e6)
 
-    def most(c: Column) -> Column:
-        out = F.lit(budget(len(classes) - 1))
-        for k in reversed(range(len(classes) - 1)):
-            out = F.when(c.rlike(classes[k][1]), F.lit(budget(k))).otherwise(out)
-        return out.cast("long")
+    loosest = max(map(budget, range(len(classes))))
+
+    def fits(window: Column, total: Column) -> Column:
+        """Whether a window reaches the entropy of its class and holds what that must mix."""
 
-    def mixed(window: Column, c: Column) -> Column:
-        def holds(needs) -> Column:
-            out = F.lit(True)
-            for p in needs:
+        def reaches(k: int) -> Column:
+            out = total <= F.lit(budget(k))
+            for p in classes[k][3]:
                 out = out & window.rlike(p)
             return out
 
-        out = holds(classes[-1][3])
+        out = reaches(len(classes) - 1)
         for k in reversed(range(len(classes) - 1)):
-            out = F.when(c.rlike(classes[k][1]), holds(classes[k][3])).otherwise(out)
+            out = F.when(window.rlike(classes[k][1]), reaches(k)).otherwise(out)
         return out
 
-    def slide(c: Column, limit: Column) -> Column:
+    def named(c: Column, first: Column) -> Column:
+        """Whether a placeholder lies in the window at `first` or beside it, with no separator between."""
+        start = F.greatest(first - width, F.lit(0))
+        before = F.regexp_extract(F.substring(c, start + 1, first - start), "[A-Za-z0-9]*$", 0)
+        after = F.regexp_extract(F.substring(c, first + width + 1, F.lit(width)), "^[A-Za-z0-9]*", 0)
+        return F.concat(before, F.substring(c, first + 1, F.lit(width)), after).rlike(PLACEHOLDER)
+
+    def slide(c: Column) -> Column:
         none = F.array().cast("array<struct<s:int,e:int>>")
 
         def step(acc: Column, t: Column) -> Column:
@@ -109,7 +116,7 @@ def entropy_spans(candidate: Column, width: int = WINDOW, classes=CLASSES) -> Co
             out_delta = F.when(n_out > 0, F.get(weight, n_out - 1) - F.get(weight, n_out)).otherwise(F.lit(0).cast("long"))
             total = acc["w"] + out_delta + F.get(weight, n_in + 1) - F.get(weight, n_in)
             first = t - (width - 1)
-            hit = (first >= 0) & (total <= limit) & mixed(F.substring(c, first + 1, F.lit(width)), c)
+            hit = (first >= 0) & (total <= F.lit(loosest)) & fits(F.substring(c, first + 1, F.lit(width)), total) & ~named(c, first)
             last = F.element_at(acc["out"], -1)
             end = t + 1
             joined = (F.size(acc["out"]) > 0) & (F.get(acc["out"], F.size(acc["out"]) - 1)["e"] >= first)
@@ -123,7 +130,7 @@ def entropy_spans(candidate: Column, width: int = WINDOW, classes=CLASSES) -> Co
         init = F.struct(F.lit(0).cast("long").alias("w"), none.alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.length(c) - 1), init, step, lambda acc: acc["out"])
 
-    return let(most(candidate), lambda limit: slide(candidate, limit))
+    return slide(candidate)
 
 
 def _as_spans(found: Column, kind: str) -> Column:

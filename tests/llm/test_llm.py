@@ -127,6 +127,20 @@ def test_secret_spans(spark, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_glued_secrets_are_found(spark):
+    """Separators, other parts and far placeholders do not hide a secret."""
+    rng = random.Random(3)
+    low, up = "4ec39hqlyjwdarjtt1zdp7dc", "K7QWX3M2PZ5RTB4YV6NDHJ2S"
+    blob = "".join(rng.choice("0123456789ABCDEF") for _ in range(300))
+    held = {f"client_key={low}": low, f"sk_live_{low}": low, low: low, up: up, f"example_credential={low}": low, f"{blob[:100]}00000{blob[100:]}": blob[200:]}
+    none = ["my-long-file-name-2024-01-15-draft", f"example{low[:20]}", "550e8400-e29b-41d4-a716-446655440000"]
+    df = spark.createDataFrame(list(enumerate([*held, *none])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for k, (text, secret) in enumerate(held.items()):
+        assert secret not in got[k] and "[SECRET]" in got[k], text
+    assert [got[len(held) + k] for k in range(len(none))] == none
+
+
 def test_redact(spark, docs):
     out = secret_scan.redact(docs)
     assert out.dtypes == docs.dtypes
