@@ -184,19 +184,40 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), pattern
 
 
+def times(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The product of a matrix and a vector, in numpy's own loops. The threads of a linear algebra library may never come
+    back in a process that has forked, as the driver of a Spark session has."""
+    return (matrix * x).sum(axis=1)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss and Jordan's elimination with the largest pivots; in numpy's own loops, as in `times`."""
+    m = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        top = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, m:]
+
+
 def solve(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, most_steps: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """The linear program by column generation: (patterns as columns, how often each)."""
+    """The linear program by column generation: (patterns as columns, how often each). After `most_steps` patterns the best
+    basis so far is as good as it gets: rounding and first-fit make a whole plan of any basis."""
     m = len(sizes)
     basis = np.zeros((m, m), dtype=np.int64)
     np.fill_diagonal(basis, room // sizes)
     inverse = np.diag(1.0 / (room // sizes))
-    use = inverse @ demand
+    use = times(inverse, demand)
     for step in range(most_steps):
         prices = inverse.sum(axis=0)
         worth, pattern = price(np.maximum(prices, 0), sizes, room)
         if worth <= 1 + 1e-9 or use.sum() <= (use.sum() / worth) * (1 + gap):
             break
-        direction = inverse @ pattern
+        direction = times(inverse, pattern)
         rising = direction > 1e-9
         ratio = np.where(rising, use / np.where(rising, direction, 1), np.inf)
         out = int(np.argmin(ratio))
@@ -204,12 +225,12 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, m
             break
         basis[:, out] = pattern
         if step % 200 == 199:  # anew, against rounding errors
-            inverse = np.linalg.inv(basis.astype(float))
+            inverse = inverted(basis)
         else:
             row = inverse[out] / direction[out]
             inverse -= np.outer(direction, row)
             inverse[out] = row
-        use = np.maximum(inverse @ demand, 0)
+        use = np.maximum(times(inverse, demand), 0)
     return basis, use
 
 
