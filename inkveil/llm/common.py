@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,30 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the session's spark.checkpoint.dir, or, where that is
-    unset (a single machine, as in tests), a folder of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/inkveil").rstrip("/")
+    """The shared folder for intermediate tables: the session's spark.checkpoint.dir. Where that is unset, a folder of
+    our own serves on a single machine, as in tests; on a cluster it is an error, since executors do not share it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/checkpoints/inkveil"
+    return root.rstrip("/")
 
 
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder, so that a lost executor costs no
-    recomputation of what came before. `release` removes those that no later step reads."""
+    recomputation of what came before. `release` removes those that no later step reads; what the result still reads
+    is removed when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{scratch_root(spark)}/t-{uuid.uuid4().hex}", {}
+        self.conf = spark._jsparkSession.sessionState().newHadoopConf()
+        atexit.register(self.remove)
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
 
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.conf).delete(at, True)
+
     def release(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][0])
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(self.paths.pop(id(df))[0])
+
+    def remove(self) -> None:
+        """Removes all tables. At the end of the driver the JVM may have gone before."""
+        with contextlib.suppress(Exception):
+            self._delete(self.root)
 
 
 def salts(spark: SparkSession) -> int:
@@ -76,3 +97,13 @@ def words(text: Column) -> Column:
     """The words of a text, in order; an empty array where there are none."""
     inner = F.btrim(text, F.lit(WS_CHARS))
     return F.when(F.length(inner) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, WS))
+
+
+def byte_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `size` bytes of text each; one row at least."""
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(column), 0)))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, to
+        at = to

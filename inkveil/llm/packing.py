@@ -28,23 +28,27 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import Scratch
+from inkveil.llm.common import Scratch, byte_slices
 
 LENGTH, GRAIN, END_ID = 4096, 16, 2
 CACHE_ENTRIES = 300_000
-SLICE = 256
+#: Longer words are not kept: texts without spaces are one word each.
+KEPT_LETTERS = 64
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 4 << 20
 #: Marks that are looked up apart from the word before them.
 MARKS = tuple(".,;:!?")
 
 
 def _letters(word: str) -> bool:
     """Letters only, in lower case too (a dotted capital I turns into a letter and a mark)."""
-    return word.isalpha() and word.lower().isalpha()
+    return word.isalpha() and (word.isascii() or word.lower().isalpha())
 
 
 class Kept(dict):
@@ -82,32 +86,26 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.cores = Kept(), Kept()
 
-    def _plain(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _encode_plain(self, cores: list[str]) -> None:
+        for c, e in zip(cores, self.tokenizer.encode_batch(cores, add_special_tokens=False), strict=True):
+            self.cores[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _encode_cores(self, cores: list[str]) -> None:
         """Words of letters only are encoded many at a time; each is one pre-token, by which their ids are told apart."""
-        letters = [c for c in cores if _letters(c)]
+        letters, plain = [c for c in cores if _letters(c)], [c for c in cores if not _letters(c)]
         groups = [letters[k : k + 200] for k in range(0, len(letters), 200)]
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids, owner = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             if len(first) == len(group):
                 data, ends = ids.tobytes(), (4 * np.r_[first, len(ids)]).tolist()
-                for c, x, y in zip(group, ends[:-1], ends[1:], strict=True):
-                    self.cores[c] = data[x:y]
+                self.cores.update(zip(group, [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True))
             else:
-                for c in group:
-                    self.cores[c] = self._plain(c)
-        for c in cores:
-            if not _letters(c):
-                self.cores[c] = self._plain(c)
+                plain += group
+        self._encode_plain(plain)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts. Only space, newline and tab part words here; other white space stays inside a word, for the
-        tokenizer."""
-        lists = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        every = set().union(*lists)
+    def ids_of(self, every: list[str]) -> list[bytes]:
+        """The ids of different words."""
         self.words.room(len(every))
         split = {}
         for w in self.words.unknown(every):
@@ -116,9 +114,31 @@ class WordIds:
         cores = {c for parts in split.values() for c in parts}
         self.cores.room(len(cores))
         self._encode_cores(self.cores.unknown(cores))
-        for w, parts in split.items():
-            self.words[w] = b"".join([self.cores[c] for c in parts])
-        return [b"".join(map(self.words.__getitem__, x)) for x in lists]
+        core = self.cores
+        self.words.update((w, core[parts[0]] if len(parts) == 1 else core[parts[0]] + core[parts[1]]) for w, parts in split.items())
+        out = list(map(self.words.__getitem__, every))
+        for held, names in ((self.words, split), (core, cores)):
+            for w in names:
+                if len(w) > KEPT_LETTERS:
+                    del held[w]
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts. Only space, newline and tab part words here; other white space stays inside a word, for the
+        tokenizer. Each different word is looked up once; its places are filled in numpy."""
+        plain = pc.fill_null(texts, "")
+        for mark in "\n\t":
+            plain = pc.replace_substring(plain, mark, " ")
+        lists = pc.split_pattern(plain, " ")
+        coded = lists.flatten().dictionary_encode()
+        found = self.ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        first, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        sizes = sizes[at]
+        ends = np.r_[0, np.cumsum(sizes)]
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -138,10 +158,10 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, here, seen = word_ids(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at, to in byte_slices(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(at, to - at)
                 row, start, size, total, ids, cls, place = [], [], [], [], [], [], []
-                for k, data in enumerate(words.encode([t or "" for t in part.column("text").to_pylist()])):
+                for k, data in enumerate(words.encode(part.column("text"))):
                     data += end
                     n = len(data) // 4
                     for s in range(0, n, length):
