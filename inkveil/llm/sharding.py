@@ -20,6 +20,8 @@ of which gets its own slot. An empty table gives an empty result. Other columns
 from __future__ import annotations
 
 import json
+import math
+import random
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -39,28 +41,49 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
 
 def communication_matrix(sources: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
     """Random counts (sources x shards) with the given margins: each row is hypergeometric given those before."""
-    rng, lacks = np.random.default_rng(seed), sizes.copy()
+    rng, lacks = random.Random(seed), [int(x) for x in sizes]
     out = np.zeros((len(sources), len(sizes)), dtype=np.int64)
     for i, n in enumerate(sources):
-        left, room = n, int(lacks.sum())
-        for j in range(len(sizes)):
-            room -= int(lacks[j])
-            take = left if room == 0 else int(_hypergeometric(rng, int(lacks[j]), room, left))
+        left, room = n, sum(lacks)
+        for j, good in enumerate(lacks):
+            room -= good
+            take = hypergeometric(rng, good, room, left)
             out[i, j] = take
+            lacks[j] -= take
             left -= take
-        lacks -= out[i]
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy draws up to a thousand million exactly; beyond that the normal law is as close as can be told."""
-    if draws == 0 or good == 0:
-        return 0
-    if max(good, bad) < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
+def _log_factorials(a: int, b: int) -> float:
+    """log(a!) - log(b!). For large numbers from the difference alone, so that no digits are lost."""
+    if min(a, b) < 1000:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    tail = lambda x: 1 / (12 * x) - 1 / (360 * x**3)
+    return (a - b) * (math.log(b) - 1) + (a + 0.5) * math.log1p((a - b) / b) + tail(a) - tail(b)
+
+
+def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` out of good + bad are good; the same exact law at every size.
+
+    Ratio of uniforms about the mode (Stadlober): a place is proposed and taken by its probability against the mode's."""
+    low, high = max(0, draws - bad), min(draws, good)
+    if low == high:
+        return low
     n = good + bad
-    mean, var = draws * good / n, draws * (good / n) * (bad / n) * (n - draws) / max(1, n - 1)
-    return int(min(max(round(rng.normal(mean, var**0.5)), max(0, draws - bad)), min(good, draws)))
+    share = good / n
+    mode = (draws + 1) * (good + 1) // (n + 2)
+    spread = math.sqrt(draws * share * (bad / n) * ((n - draws) / (n - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    middle = draws * share + 0.5
+    while True:
+        u = 1 - rng.random()
+        place = middle + width * (rng.random() - 0.5) / u
+        if not low <= place < high + 1:
+            continue
+        k = math.floor(place)
+        parts = ((k, mode), (good - k, good - mode), (draws - k, draws - mode), (bad - draws + k, bad - draws + mode))
+        if 2 * math.log(u) <= -sum(_log_factorials(x, y) for x, y in parts):
+            return k
 
 
 def uniform_shards(
