@@ -10,8 +10,10 @@ spans. Candidates that are UUIDs, dates and other numbers are let go, as are win
 Positions are code points, ends exclusive. A span covers the whole match.
 
 Defined results: a null or empty text has no spans. Repeated rows get the same spans each. Other columns are
-not read by `scan` and not changed by `redact`. Documents are judged where they lie: no shuffle. Work grows with
-a text's length, and with the square of its number of matches (they are placed one after another).
+not read by `scan` and not changed by `redact`. Documents are judged where they lie: no shuffle.
+
+Work grows in proportion to a text's length and its matches, however long a candidate is: a candidate is taken apart into
+characters once, and folds that carry an array go over blocks of BLOCK places, so the array stays short.
 """
 
 from __future__ import annotations
@@ -46,6 +48,36 @@ ALLOW = (
 #: Lets go the windows that it lies in, or next to within WINDOW letters and digits; not the rest of the candidate.
 PLACEHOLDER = "(?i)example|placeholder|xxxxx|00000|12345678|abcdefgh"
 MASK = "[SECRET]"
+#: Places that one fold goes over.
+BLOCK = 256
+#: Code points that one substring is taken from.
+STRETCH = 4096
+#: The characters of candidates lie from here on; CELLS counts of BITS bits share a long.
+LOWEST, CELLS, BITS = ord("+"), 12, 5
+LONGS = -(-(ord("z") - LOWEST + 1) // CELLS)
+
+
+def blocks(rows: Column) -> Column:
+    """The array `rows` in stretches of BLOCK."""
+    n = F.size(rows)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda b: F.slice(rows, b + 1, F.lit(BLOCK)))
+
+
+def running(values: Column, join, zero: int) -> Column:
+    """For each of the ints `values` what `join` makes of those before it, from `zero` on."""
+    none = F.array().cast("array<int>")
+
+    def fold(xs: Column, start: Column) -> Column:
+        init = F.struct(start.alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, init, step, lambda acc: acc["out"])
+
+    def whole(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(zero), lambda a, x: join(a, x)))
+        return let(fold(totals, F.lit(zero)), lambda at: F.flatten(F.transform(parts, lambda p, k: fold(p, F.get(at, k)))))
+
+    return let(values, lambda v: let(blocks(v), whole))
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
@@ -56,24 +88,27 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
     none = F.array().cast("array<struct<s:int,e:int,g:string>>")
 
     def place(rows: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["m"])
-            found = F.struct(start.alias("s"), end.alias("e"), x["g"].alias("g"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+        sizes = F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["m"]))
 
-        return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        def spans(at: Column) -> Column:
+            def span(x: Column, k: Column) -> Column:
+                start = F.get(at, k) + F.length(x["gap"])
+                return F.struct(start.alias("s"), (start + F.length(x["m"])).alias("e"), x["g"].alias("g"))
+
+            return F.transform(rows, span)
+
+        return let(running(sizes, lambda a, x: a + x, 0), spans)
 
     rows = let(whole, lambda w: F.arrays_zip(F.slice(gaps, 1, F.size(w)).alias("gap"), w.alias("m"), inner.alias("g")))
-    return F.when(text.rlike(pattern), place(rows)).otherwise(none)
+    return F.when(text.rlike(pattern), let(rows, place)).otherwise(none)
 
 
 def entropy_spans(candidate: Column, width: int = WINDOW, classes=CLASSES) -> Column:
-    """Array of (s, e) in a candidate string: joined windows that reach their own class's entropy."""
-    weight = F.array(*[F.lit(round(c * math.log2(c) * 1e6) if c else 0).cast("long") for c in range(width + 1)])
+    """Array of (s, e) in a candidate string: joined windows that reach their own class's entropy.
 
-    def count(ch: Column, text: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, ch, F.lit("")))
+    A fold over a block of windows carries how often each character is in the window, counts of BITS bits packed into
+    LONGS numbers, and the sum of c * log2 c over them; a step takes one character out and one in."""
+    weight = F.array(*[F.lit(round(c * math.log2(c) * 1e6) if c else 0).cast("long") for c in range(width + 2)])
 
     def budget(k: int) -> int:
         return round(width * (math.log2(width) - classes[k][2]) * 1e6)
@@ -94,43 +129,66 @@ def entropy_spans(candidate: Column, width: int = WINDOW, classes=CLASSES) -> Co
             out = F.when(window.rlike(classes[k][1]), reaches(k)).otherwise(out)
         return out
 
-    def named(c: Column, first: Column) -> Column:
-        """Whether a placeholder lies in the window at `first` or beside it, with no separator between."""
-        start = F.greatest(first - width, F.lit(0))
-        before = F.regexp_extract(F.substring(c, start + 1, first - start), "[A-Za-z0-9]*$", 0)
-        after = F.regexp_extract(F.substring(c, first + width + 1, F.lit(width)), "^[A-Za-z0-9]*", 0)
-        return F.concat(before, F.substring(c, first + 1, F.lit(width)), after).rlike(PLACEHOLDER)
+    def cell(ch: Column) -> Column:
+        code = F.ascii(ch) - LOWEST
+        shift = (code % CELLS * BITS).cast("int")
+        return F.struct(F.floor(code / CELLS).cast("int").alias("k"), shift.alias("s"), F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("one"))
+
+    def count(counts: Column, x: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, x["k"]), x["s"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def hits(chars: Column, cells: Column, start: Column) -> Column:
+        """The places of the windows that count, of BLOCK windows from `start` on."""
 
-    def slide(c: Column) -> Column:
-        none = F.array().cast("array<struct<s:int,e:int>>")
+        def text(first: Column, size: Column) -> Column:
+            return F.array_join(F.slice(chars, first + 1, size), "")
+
+        def named(first: Column) -> Column:
+            """Whether a placeholder lies in the window at `first` or beside it, with no separator between."""
+            from_ = F.greatest(first - width, F.lit(0))
+            before = F.regexp_extract(text(from_, first - from_), "[A-Za-z0-9]*$", 0)
+            after = F.regexp_extract(text(first + width, F.lit(width)), "^[A-Za-z0-9]*", 0)
+            return F.concat(before, text(first, F.lit(width)), after).rlike(PLACEHOLDER)
 
         def step(acc: Column, t: Column) -> Column:
             """t: the place of the character that enters, from 0."""
-            start = F.greatest(t - width, F.lit(0))
-            before = F.substring(c, start + 1, t - start)
-            gone = F.when(t >= width, F.substring(c, start + 1, F.lit(1))).otherwise(F.lit(""))
-            kept = F.when(t >= width, F.substring(c, start + 2, F.lit(width - 1))).otherwise(before)
-            n_out = F.when(t >= width, count(gone, before)).otherwise(F.lit(0))
-            enters = F.substring(c, t + 1, F.lit(1))
-            n_in = count(enters, kept)
-            out_delta = F.when(n_out > 0, F.get(weight, n_out - 1) - F.get(weight, n_out)).otherwise(F.lit(0).cast("long"))
-            total = acc["w"] + out_delta + F.get(weight, n_in + 1) - F.get(weight, n_in)
-            first = t - (width - 1)
-            hit = (first >= 0) & (total <= F.lit(loosest)) & fits(F.substring(c, first + 1, F.lit(width)), total) & ~named(c, first)
-            last = F.element_at(acc["out"], -1)
-            end = t + 1
-            joined = (F.size(acc["out"]) > 0) & (F.get(acc["out"], F.size(acc["out"]) - 1)["e"] >= first)
-            grown = F.concat(
-                F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["s"].alias("s"), end.alias("e")))
-            )
-            added = F.concat(acc["out"], F.array(F.struct(first.alias("s"), end.alias("e"))))
-            out = F.when(hit & joined, grown).when(hit, added).otherwise(acc["out"])
-            return F.struct(total.alias("w"), out.alias("out"))
-
-        init = F.struct(F.lit(0).cast("long").alias("w"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.length(c) - 1), init, step, lambda acc: acc["out"])
-
-    return slide(candidate)
+            enters, leaves, full = F.get(cells, t), F.get(cells, t - width), t - width >= start
+
+            def moved(x: Column, k: Column) -> Column:
+                more = F.when(k == enters["k"], enters["one"]).otherwise(F.lit(0).cast("long"))
+                less = F.when(full & (k == leaves["k"]), leaves["one"]).otherwise(F.lit(0).cast("long"))
+                return x + more - less
+
+            def judged(counts: Column) -> Column:
+                was, now = count(acc["n"], leaves), count(counts, enters)
+                lost = F.when(full, F.get(weight, was - 1) - F.get(weight, was)).otherwise(F.lit(0).cast("long"))
+                first = t - (width - 1)
+
+                def told(total: Column) -> Column:
+                    hit = (first >= start) & (total <= F.lit(loosest)) & fits(text(first, F.lit(width)), total) & ~named(first)
+                    out = F.when(hit, F.concat(acc["out"], F.array(first))).otherwise(acc["out"])
+                    return F.struct(total.alias("w"), counts.alias("n"), out.alias("out"))
+
+                return let(acc["w"] + lost + F.get(weight, now) - F.get(weight, now - 1), told)
+
+            return let(F.transform(acc["n"], moved), judged)
+
+        init = F.struct(F.lit(0).cast("long").alias("w"), F.array_repeat(F.lit(0).cast("long"), LONGS).alias("n"), F.array().cast("array<int>").alias("out"))
+        last = F.least(start + (BLOCK + width - 2), F.size(chars) - 1)
+        return F.aggregate(F.sequence(start, last), init, step, lambda acc: acc["out"])
+
+    def joined(found: Column) -> Column:
+        """Windows that touch are one span."""
+        first = F.filter(found, lambda x, k: F.coalesce(x - F.get(found, k - 1) > width, F.lit(True)))
+        last = F.filter(found, lambda x, k: F.coalesce(F.get(found, k + 1) - x > width, F.lit(True)))
+        return F.zip_with(first, last, lambda s, e: F.struct(s.alias("s"), (e + width).alias("e")))
+
+    def slide(chars: Column) -> Column:
+        windows = F.size(chars) - width + 1
+        starts = F.when(windows > 0, F.sequence(F.lit(0), windows - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(chars, cell), lambda cells: let(F.flatten(F.transform(starts, lambda b: hits(chars, cells, b))), joined))
+
+    return let(F.regexp_extract_all(candidate, F.lit("(?s)."), F.lit(0)), slide)
 
 
 def _as_spans(found: Column, kind: str) -> Column:
@@ -159,8 +217,18 @@ def added_spans(text: Column, base: Column) -> Column:
             ),
         )
     )
-    free = F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return _as_spans(free, "entropy")
+
+    def free(every: Column) -> Column:
+        """Spans of the method do not overlap one another: a base span touches one if it is next, or reaches into it from before."""
+        base_end = F.transform(every, lambda x: F.when(x["k"] < KINDS.index("entropy"), x["e"]).otherwise(0))
+
+        def alone(x: Column, k: Column, reach: Column) -> Column:
+            after = F.get(every, k + 1)
+            return (F.get(reach, k) <= x["s"]) & ~F.coalesce((after["k"] < KINDS.index("entropy")) & (after["s"] < x["e"]), F.lit(False))
+
+        return let(running(base_end, F.greatest, 0), lambda reach: F.filter(every, lambda x, k: (x["k"] == KINDS.index("entropy")) & alone(x, k, reach)))
+
+    return F.when(F.size(base) == 0, _as_spans(spans, "entropy")).otherwise(let(F.sort_array(F.concat(base, _as_spans(spans, "entropy"))), free))
 
 
 def _labels(spans: Column) -> Column:
@@ -196,25 +264,33 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
         return let(F.concat(*found.values()), lambda b: F.sort_array(F.concat(b, added_spans(t, b))))
 
     def joined(spans: Column) -> Column:
-        none = F.array().cast("array<struct<s:int,e:int>>")
+        def groups(reach: Column) -> Column:
+            """A span that begins beyond all ends before it begins a group; the last of a group ends it."""
+            rows = F.transform(spans, lambda x, k: F.struct(x["s"].alias("s"), F.greatest(x["e"], F.get(reach, k)).alias("e"), (F.get(reach, k) < x["s"]).alias("new")))
+            ends = lambda r: F.filter(r, lambda x, k: F.coalesce(F.get(r, k + 1)["new"], F.lit(True)))
+            return let(rows, lambda r: F.zip_with(F.filter(r, lambda x: x["new"]), ends(r), lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e"))))
 
-        def step(acc: Column, x: Column) -> Column:
-            n = F.size(acc)
-            over = (n > 0) & (F.get(acc, n - 1)["e"] >= x["s"])
-            grown = F.struct(F.get(acc, n - 1)["s"].alias("s"), F.greatest(F.get(acc, n - 1)["e"], x["e"]).alias("e"))
-            return F.when(over, F.concat(F.slice(acc, F.lit(1), n - 1), F.array(grown))).otherwise(
-                F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-            )
-
-        return F.aggregate(spans, none, step)
+        return let(running(F.transform(spans, lambda x: x["e"]), F.greatest, -1), groups)
 
     def cut(spans: Column) -> Column:
-        def before(k: Column) -> Column:
-            return F.coalesce(F.get(spans, k - 1)["e"], F.lit(0))
+        def kept(stretches: Column) -> Column:
+            def between(a: Column, b: Column) -> Column:
+                """Code points a to b - 1, taken from the stretches that hold them."""
+
+                def piece(k: Column) -> Column:
+                    low = F.greatest(a - k * STRETCH, F.lit(0))
+                    return F.substring(F.get(stretches, k), low + 1, F.least(b - k * STRETCH, F.lit(STRETCH)) - low)
+
+                first, last = F.floor(a / STRETCH).cast("int"), F.floor((b - 1) / STRETCH).cast("int")
+                return F.when(b <= a, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), piece), ""))
+
+            def head(x: Column, k: Column) -> Column:
+                return F.concat(between(F.coalesce(F.get(spans, k - 1)["e"], F.lit(0)), x["s"]), F.lit(mask))
+
+            return F.concat(F.array_join(F.transform(spans, head), ""), between(F.element_at(spans, -1)["e"], F.length(whole)))
 
-        head = F.transform(spans, lambda x, k: F.concat(F.substring(whole, before(k) + 1, x["s"] - before(k)), F.lit(mask)))
-        tail = F.substring(whole, F.get(spans, F.size(spans) - 1)["e"] + 1, F.length(whole))
-        return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(head, ""), tail))
+        stretched = let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), kept)
+        return F.when(F.size(spans) == 0, text).otherwise(stretched)
 
     fresh = let(all_spans(whole), lambda s: let(joined(s), cut))
     names = df.columns

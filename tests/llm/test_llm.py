@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -141,6 +142,56 @@ def test_glued_secrets_are_found(spark):
     assert [got[len(held) + k] for k in range(len(none))] == none
 
 
+def test_long_candidates_and_many_matches(spark):
+    """Time in proportion to length: 200,000 characters in one run, and 50,000 matches in one text."""
+    rng = random.Random(8)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
+    many = " ".join(f"password=hunter{k:06d}" for k in range(50_000))
+    df = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string").repartition(2)
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert time.time() - began < 150
+    assert got[2].n_assign == 50_000 and clean[2] == " ".join(["[SECRET]"] * 50_000)
+    spans = [(x["s"], x["e"]) for x in got[1].span_list]
+    assert len(clean[1]) < 5_000 and sum(e - s for s, e in spans) > 195_000 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert (got[1].span_list, got[1].spans) == (sorted(got[1].span_list), ",".join(f"entropy:{s}:{e}" for s, e in spans))
+
+
+def window_spans(x, width=secret_scan.WINDOW):
+    """Every window by itself: its class, its entropy, what it holds, and placeholders in it or beside it."""
+    base = plain_spans(x)[1]
+    out = []
+    for m in re.finditer(secret_scan.CANDIDATE, x):
+        c, found = m[0], []
+        for i in range(len(c) - width + 1) if not re.search(secret_scan.ALLOW, c) else ():
+            w = c[i : i + width]
+            _, _, least, needs = next(k for k in secret_scan.CLASSES if re.search(k[1], w))
+            bits = -sum(n / width * math.log2(n / width) for n in collections.Counter(w).values())
+            around = re.search("[A-Za-z0-9]*$", c[max(0, i - width) : i])[0] + w + re.search("^[A-Za-z0-9]*", c[i + width : i + 2 * width])[0]
+            if bits >= least - 1e-6 and all(re.search(p, w) for p in needs) and not re.search(secret_scan.PLACEHOLDER, around):
+                if found and found[-1][1] >= i:
+                    found[-1][1] = i + width
+                else:
+                    found.append([i, i + width])
+        out += [(m.start() + s, 3, m.start() + e) for s, e in found]
+    return sorted(base + [v for v in out if not any(a < v[2] and v[0] < b for a, _, b in base)])
+
+
+def test_blocks_do_not_show(spark):
+    """Windows at the ends of blocks, against the plain computation: candidates of several blocks with quiet stretches."""
+    rng = random.Random(12)
+    texts = {}
+    for k in range(12):
+        parts = []
+        for _ in range(40):
+            parts.append("".join(rng.choice("abcdefgXYZ0123456789") for _ in range(rng.randrange(1, 60))) if rng.random() < 0.5 else "ab" * rng.randrange(1, 40))
+        texts[k] = "".join(parts) + " password=hunter2 " + "".join(parts[::-1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in secret_scan.scan(df).collect():
+        assert [tuple(x) for x in r.span_list] == window_spans(texts[r.doc_id])
+
+
 def test_redact(spark, docs):
     out = secret_scan.redact(docs)
     assert out.dtypes == docs.dtypes
@@ -197,6 +248,26 @@ def test_shuffle_is_uniform(spark):
     assert m.sum(axis=1).tolist() == [5, 0, 7, 3] and m.sum(axis=0).tolist() == [4, 4, 4, 3] and (m >= 0).all()
 
 
+def test_the_draw_is_exact():
+    """Against the law itself for small margins; its mean, variance and support beyond 10^9."""
+    rng, draws = random.Random(5), 20_000
+    for good, bad, taken in ((5, 7, 6), (50, 30, 20), (1, 9, 3), (3, 1000, 500), (2000, 3000, 1500)):
+        seen, chi, kinds = collections.Counter(sharding.hypergeometric(rng, good, bad, taken) for _ in range(draws)), 0.0, 0
+        assert min(seen) >= max(0, taken - bad) and max(seen) <= min(good, taken)
+        for k in range(max(0, taken - bad), min(good, taken) + 1):
+            want = draws * math.comb(good, k) * math.comb(bad, taken - k) / math.comb(good + bad, taken)
+            if want > 5:
+                chi, kinds = chi + (seen[k] - want) ** 2 / want, kinds + 1
+        assert chi < kinds + 4 * math.sqrt(2 * kinds)
+    for good, bad, taken in ((3 * 10**12, 7 * 10**12, 2 * 10**12), (4 * 10**9, 10**9, 3 * 10**9), (2 * 10**9, 5, 10**9)):
+        n = good + bad
+        mean, var = taken * good / n, taken * (good / n) * (bad / n) * (n - taken) / (n - 1)
+        x = np.array([sharding.hypergeometric(rng, good, bad, taken) - round(mean) for _ in range(4000)], dtype=float)
+        assert abs(x.mean() + round(mean) - mean) < 5 * math.sqrt(var / len(x)) and abs(x.var() / var - 1) < 0.15
+        assert max(0, taken - bad) <= x.min() + round(mean) and x.max() + round(mean) <= min(good, taken)
+    assert [sharding.hypergeometric(rng, *x) for x in ((0, 5, 3), (5, 0, 3), (5, 5, 0), (5, 5, 10))] == [0, 3, 0, 5]
+
+
 # ------------------------------------------------------------------ byte-level BPE
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -432,14 +503,85 @@ def test_rare_words_are_joined(spark):
         assert math.isfinite(r.score)
 
 
+def small_model(rng, words=40, texts=60):
+    """A model trained in this process on random texts, and their ids."""
+    count = collections.Counter(rng.choice([f"w{k}{x}" for k in range(words) for x in "ab"]) for _ in range(texts * 30))
+    rare = {3: (5, 4), 30: (7, 2)}
+    n = maxent_lm.Counts(None, [(w.encode(), c) for w, c in count.most_common()], {b"1a": 0, b"2b": 1, b"3a": 2, b"0b": 3}, sum(count.values()) + 12 + texts, len(count) + 7, texts, rare)
+    m = maxent_lm.fresh_model(n)
+    ids = np.array([m.first] * 3 + [rng.randrange(m.end + 1) for _ in range(3000)] + [m.end])
+    return m, ids
+
+
+def all_probabilities(m, ids):
+    """The sum over every id of its probability after the history `ids`."""
+    every = [k for k in range(m.end + 2 + maxent_lm.CLASSES) if m.size[k] or k == m.end or np.sum(m.cls == m.cls[k]) == 1]
+    every = [k for k in every if k != m.first and k != m.end + 2 + maxent_lm.END_CLASS]
+    rows = np.concatenate([np.r_[ids[-3:], k] for k in every])
+    return np.exp(maxent_lm.token_scores(m, rows, np.arange(3, len(rows), 4))).sum()
+
+
+def test_probabilities_sum_to_one():
+    """Over the whole vocabulary, before and after training; training raises the score of what it saw."""
+    m, ids = small_model(random.Random(4))
+    places = np.arange(3, len(ids))
+    before = maxent_lm.token_scores(m, ids, places).sum()
+    weights, cells = m.weights.copy(), m.cells.copy()
+    squares = np.full(len(weights), 1e-3, dtype=np.float32), np.full(len(cells), 1e-3, dtype=np.float32)
+    for at in (3, 50, 700):
+        assert abs(all_probabilities(m, ids[:at]) - 1) < 1e-4
+    for _ in range(5):
+        maxent_lm.train_batch(m, weights, squares[0], cells, squares[1], ids, places)
+    m.weights, m.cells = weights, cells
+    for at in (3, 50, 700):
+        assert abs(all_probabilities(m, ids[:at]) - 1) < 1e-4
+    assert maxent_lm.token_scores(m, ids, places).sum() > before and np.abs(cells).max() > 0 and np.abs(weights).max() > 0
+
+
+def test_scores_against_the_definition():
+    """A token's score from the definition: class softmax over summed rows, then one side after another down the tree."""
+    m, ids = small_model(random.Random(5))
+    rng = np.random.default_rng(1)
+    m.weights[:], m.cells[:] = rng.normal(size=m.weights.shape), rng.normal(size=len(m.cells))
+    places = np.array([3, 4, 77, 500, len(ids) - 1])
+    got = maxent_lm.token_scores(m, ids, places)
+    for p, have in zip(places, got):
+        h = maxent_lm.feature_hashes(ids, np.array([p]))[:, 0].tolist()
+        z = m.bias + sum(m.weights[x >> (64 - len(m.weights).bit_length() + 1)] for x in h)
+        want = z[m.cls[ids[p]]] - math.log(np.exp(z.astype(float)).sum())
+        for k in range(m.start[ids[p]], m.start[ids[p]] + m.size[ids[p]]):
+            node, side = int(m.nodes[k]), m.bits[k]
+            cells = [(((x >> 16) % 2**32 ^ (node * 0xB66859FD % 2**32)) * 0x9E3779B1 % 2**32) >> (33 - len(m.cells).bit_length()) for x in h]
+            odds = float(m.node_bias[node]) + sum(float(m.cells[c]) for c in cells)
+            want -= math.log1p(math.exp(-odds if side else odds))
+        assert abs(want - have) < 1e-3
+
+
 def test_history_goes_three_words_back():
     """Two words, their pair, and two skips; a step is taken for every 2,048 tokens."""
     ids = np.array([[5, 6, 7, 8], [9, 6, 7, 8]])
-    a, b = (maxent_lm.feature_rows(x, np.array([3]))[:, 0] for x in ids)
+    a, b = (maxent_lm.feature_hashes(x, np.array([3]))[:, 0] for x in ids)
     assert len(a) == 4 and (a != b).sum() == 1
     assert maxent_lm.BATCH == 2048
 
 
+def test_head_is_bounded(spark):
+    """The head is read by its least count; ties stay together, and it never holds more than asked for."""
+    counts = spark.createDataFrame([(f"w{k}".encode(), c) for k, c in enumerate([100, 100, 7, 7, 7, 5, 1, 1, 1, 1])], "word binary, c long")
+    assert [maxent_lm.least_of_head(counts, k) for k in (1, 2, 4, 5, 6, 9, 10)] == [1 << 62, 100, 100, 7, 5, 5, 1]
+    assert maxent_lm.least_of_head(counts.limit(0), 5) == 1 << 62
+
+
+def test_language_model_odd_rows(spark, docs):
+    """Null ids, repeated rows and columns of clashing names: each row has its score, equal rows the same."""
+    df = docs.withColumn("score", F.lit("x")).unionByName(docs.withColumn("score", F.lit("y")).where("doc_id in (1, 6)"))
+    df = df.unionByName(df.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    got = maxent_lm.score(df).collect()
+    assert len(got) == df.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    for k in (1, 6):
+        assert len({(r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in got if r.doc_id == k}) == 1
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as cp
