@@ -15,6 +15,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(**columns: Column) -> Column:
+    """The columns as one struct from a generator. What a generator yields stands in the plan as it is, where a projection's
+    columns are written out again wherever a lambda reads them, and so computed for each element."""
+    return F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+
+
 def norm(token: Column) -> Column:
     """Lower case, and nothing but letters, digits and mask signs."""
     return F.regexp_replace(F.lower(token), "[^a-z0-9*x•]", "")

@@ -1,27 +1,30 @@
 """Finding values again in the words of their page: exact runs, then fragments, then the most similar run.
 
-A page's words are gathered once per (document, page). Exact search is a closed form over the page's array; only
-items that it leaves go to Python, where fragments and similarity are tried in the reference order."""
+A page is one row with its words. Exact search is a closed form over the page's array; only items that it leaves go to
+Python, where fragments come first, then similarity over the runs that length and letters leave."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.scalars import fragments, let, norm, target
+from inkveil.functions.scalars import fragments, let, norm, once, target
+from inkveil.sources.tables import gathered
 
 MOST_WORDS = 12
 SIMILAR = 90.0
 
 
-def page_words(words: DataFrame) -> DataFrame:
+def page_words(words: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, page_index, ws, norms): each page's words in order, with norm and box, and the norms alone."""
-    item = F.struct("word_idx", norm(F.col("text")).alias("n"), "box")
-    rows = words.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(item)).alias("ws"))
-    return rows.withColumn("norms", F.transform("ws", lambda w: w["n"]))
+    item = lambda w: F.struct(w["word_idx"].alias("word_idx"), norm(w["text"]).alias("n"), w["box"].alias("box"))
+    ws = let(F.transform("words", item), lambda ws: F.struct(ws.alias("ws"), F.transform(ws, lambda w: w["n"]).alias("norms")))
+    rows = gathered(words).select("doc_id", "page_index", *keep, F.explode(F.array(ws)).alias("p"))
+    return rows.select("doc_id", "page_index", *keep, "p.ws", "p.norms")
 
 
 def exact_spans(value: Column, norms: Column) -> Column:
@@ -62,53 +65,77 @@ def similarity(a: str, b: str) -> float:
     return 200.0 * (len(a) - rows.bit_count()) / (len(a) + len(b))
 
 
-def best_span(value: str, norms: list[str]) -> tuple[int, int] | None:
-    """The first run of words with the highest similarity of at least SIMILAR."""
+def likely_runs(value: str, norms: list[str]) -> list[tuple[int, int]]:
+    """The runs of words that could be SIMILAR to `value` by their length and their letters, by start and then end.
+
+    A run holds no empty word and at most two words more than a fifth of the value's letters. From running sums of
+    lengths and of letter counts: the similarity is at most twice the letters in common over both lengths."""
+    sizes = np.array([len(x) for x in norms], dtype=np.int64)
+    letters = sorted(set(value))
+    where = {ch: k for k, ch in enumerate(letters)}
+    counts = np.zeros((len(norms) + 1, len(letters) + 2), dtype=np.int64)
+    for k, x in enumerate(norms):
+        for ch in x:
+            if ch in where:
+                counts[k + 1, where[ch]] += 1
+    counts[1:, -2], counts[1:, -1] = sizes, sizes == 0
+    total = np.cumsum(counts, axis=0)
+    goal = np.array([value.count(ch) for ch in letters])
     width = max(1, min(MOST_WORDS, round(len(value) / 5))) + 2
-    best, top = None, 0.0
-    for s in range(len(norms)):
-        run = ""
-        for e in range(s, min(len(norms), s + width)):
-            if not norms[e]:
-                break
-            run += norms[e]
-            if 200.0 * min(len(run), len(value)) / (len(run) + len(value)) < SIMILAR:
-                continue
-            score = similarity(run, value)
-            if score >= SIMILAR and (best is None or score > top):
-                best, top = (s, e), score
-    return best
+    found = []
+    for n in range(1, min(width, len(norms)) + 1):
+        inside = total[n:] - total[:-n]
+        shared = np.minimum(inside[:, :-2], goal).sum(axis=1)
+        at = np.flatnonzero((inside[:, -1] == 0) & (200.0 * shared >= SIMILAR * (inside[:, -2] + len(value))))
+        found += [(int(s), int(s) + n - 1) for s in at]
+    return sorted(found)
+
+
+def best_span(value: str, norms: list[str]) -> tuple[int, int] | None:
+    """The most similar run of words, the first of equals, if it is SIMILAR."""
+    scored = [(similarity("".join(norms[s : e + 1]), value), -s, -e) for s, e in likely_runs(value, norms)]
+    top, s, e = max(scored, default=(0.0, 0, 0))
+    return (-s, -e) if scored and top >= SIMILAR else None
 
 
 ITEM = ("doc_id", "page_index", "item_ord", "text", "category")
 
 
-def joined(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """Items with their page's words, exact spans and, where there are none, the fragments' spans."""
-    rows = items.select(*ITEM, target(F.col("text")).alias("value")).join(pages, ["doc_id", "page_index"])
-    rows = rows.withColumn("exact", exact_spans(F.col("value"), F.col("norms")))
+def on_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items with their page's words. Items that were made from pages carry them (`ws`, `norms`) and need no join."""
+    rows = items if "ws" in items.columns else items.select(*ITEM).join(pages, ["doc_id", "page_index"])
+    return rows.select(*ITEM, "ws", "norms", once(value=target(F.col("text"))).alias("t")).select(*ITEM, "t.value", "ws", "norms")
+
+
+def _parts() -> Column:
+    """The item's fragments with their exact spans."""
     found = lambda t: F.struct(t.alias("t"), exact_spans(t, F.col("norms")).alias("spans"))
-    parts = F.transform(fragments(F.col("text")), lambda f: let(target(f), found))
-    return rows.withColumn("parts", F.when(F.size("exact") == 0, parts))
+    return F.transform(fragments(F.col("text")), lambda f: let(target(f), found))
+
+
+def _kept(value: Column, test, *names: str) -> Column:
+    """Explodes to one row with `value`, or none; unlike a filter, it computes the value once."""
+    return F.explode(F.filter(F.array(value), test)).alias(*names)
 
 
 def anchor_exact(items: DataFrame, pages: DataFrame) -> DataFrame:
     """(item.., mode, spans) of items found exactly."""
-    return joined(items, pages).where(F.size("exact") > 0).select(*ITEM, F.lit("exact").alias("mode"), F.col("exact").alias("spans"), "ws")
+    spans = exact_spans(F.col("value"), F.col("norms"))
+    return on_pages(items, pages).select(*ITEM, F.lit("exact").alias("mode"), _kept(spans, lambda x: F.size(x) > 0, "spans"), "ws")
 
 
 def anchor_fragments(items: DataFrame, pages: DataFrame) -> DataFrame:
     """(item.., mode, spans) of items with two or more fragments that are not found whole but in parts, exactly."""
-    rows = joined(items, pages).where((F.size("exact") == 0) & (F.size("parts") > 1))
-    spans = F.flatten(F.transform("parts", lambda p: p["spans"]))
-    return rows.withColumn("spans", spans).where(F.size("spans") > 0).select(*ITEM, F.lit("fragments").alias("mode"), "spans", "ws")
+    rows = on_pages(items, pages).where(F.size(exact_spans(F.col("value"), F.col("norms"))) == 0)
+    spans = let(_parts(), lambda p: F.when(F.size(p) > 1, F.flatten(F.transform(p, lambda x: x["spans"]))))
+    return rows.select(*ITEM, F.lit("fragments").alias("mode"), _kept(spans, lambda x: F.size(x) > 0, "spans"), "ws")
 
 
 def anchor(items: DataFrame, pages: DataFrame) -> DataFrame:
     """(item.., mode, spans, ws) of all items: mode exact, fragments, similar or none, the first that finds something."""
-    rows = joined(items, pages)
-    done = rows.where(F.size("exact") > 0).select(*ITEM, F.lit("exact").alias("mode"), F.col("exact").alias("spans"), "ws")
-    rest = rows.where(F.size("exact") == 0).select(*ITEM, "value", "norms", "parts", "ws")
+    rows = on_pages(items, pages)
+    done = anchor_exact(items, pages)
+    rest = rows.where(F.size(exact_spans(F.col("value"), F.col("norms"))) == 0).select(*ITEM, "value", "norms", _parts().alias("parts"), "ws")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))

@@ -8,11 +8,11 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from inkveil.functions.scalars import detection_id, ssn_like, ssn_token, touches
+from inkveil.functions.scalars import detection_id, let, ssn_like, ssn_token, touches
 from inkveil.operators.anchor import anchor, anchored_boxes, page_words
 from inkveil.schemas import CATEGORY_OF_ANSWER, PROPAGATED, TAXPAYER_IDS
+from inkveil.sources.tables import gathered
 
 #: Fixed patterns of the rule provider, by category.
 RULES = {
@@ -35,14 +35,21 @@ class RuleProvider:
     def __init__(self, rules: dict[str, str] = RULES):
         self.rules = rules
 
+    @property
+    def categories(self) -> tuple[str, ...]:
+        return tuple(self.rules)
+
     def items(self, pages: DataFrame) -> DataFrame:
+        """Keeps the columns ws and norms of the pages, where there are any."""
+
         def of(category: str, pattern: str) -> Column:
             found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
             return F.transform(found, lambda m: F.struct(m.alias("text"), F.lit(category).alias("category")))
 
         found = [of(c, p) for c, p in self.rules.items()]
-        rows = pages.select("doc_id", "page_index", F.posexplode(F.concat(*found)).alias("item_ord", "x"))
-        return rows.select("doc_id", "page_index", "item_ord", "x.text", "x.category")
+        keep = [c for c in ("ws", "norms") if c in pages.columns]
+        rows = pages.select("doc_id", "page_index", F.posexplode(F.concat(*found)).alias("item_ord", "x"), *keep)
+        return rows.select("doc_id", "page_index", "item_ord", "x.text", "x.category", *keep)
 
 
 class TableProvider:
@@ -92,8 +99,12 @@ def answer_items(answers: DataFrame) -> DataFrame:
 
 
 def page_texts(words: DataFrame) -> DataFrame:
-    rows = words.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("word_idx", "text"))).alias("ws"))
-    return rows.select("doc_id", "page_index", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("text"))
+    return gathered(words).select("doc_id", "page_index", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"))
+
+
+def read_pages(words: DataFrame) -> DataFrame:
+    """(doc_id, page_index, ws, norms, text): pages as providers and anchors want them."""
+    return page_words(gathered(words).withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " ")), "text")
 
 
 def detections(boxes: DataFrame, confidence: float, source: str) -> DataFrame:
@@ -103,10 +114,15 @@ def detections(boxes: DataFrame, confidence: float, source: str) -> DataFrame:
     return made.select("doc_id", ident.alias("id"), "page_index", "word_idx", "category", "box", "confidence", "source")
 
 
-def anchor_counts(anchored: DataFrame) -> DataFrame:
-    """Per page: items, found ones, and whether the page is to be read again by OCR (under half of them found)."""
+def anchor_counts(anchored: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Per page: items, found ones, and whether the page is to be read again by OCR: under half of them found, and all of
+    its words from the text layer. `sources`: pages or words with their `source`; without it all words are."""
     out = anchored.groupBy("doc_id", "page_index").agg(F.count("*").alias("items"), F.count_if(F.size("spans") > 0).alias("anchored"))
-    return out.withColumn("read_again", (F.col("items") > 0) & (F.col("anchored") * 2 < F.col("items")))
+    out = out.withColumn("read_again", (F.col("items") > 0) & (F.col("anchored") * 2 < F.col("items")))
+    if sources is None:
+        return out
+    from_text = gathered(sources).select("doc_id", "page_index", F.forall("words", lambda w: w["source"] == "pdf").alias("__pdf"))
+    return out.join(from_text, ["doc_id", "page_index"]).withColumn("read_again", F.col("read_again") & F.col("__pdf")).drop("__pdf")
 
 
 def propagated_items(items: DataFrame, pages: DataFrame, categories=PROPAGATED) -> DataFrame:
@@ -118,13 +134,19 @@ def propagated_items(items: DataFrame, pages: DataFrame, categories=PROPAGATED)
 
 def ssn_net(words: DataFrame) -> DataFrame:
     """(doc_id, page_index, word_idx, category, box): words of an SSN's shape, alone or with the next word's help."""
-    page = Window.partitionBy("doc_id", "page_index").orderBy("word_idx")
-    rows = words.withColumn("t", ssn_token(F.col("text")))
-    rows = rows.withColumn("t2", F.lead("t").over(page)).withColumn("next", F.lead(F.struct("word_idx", "box")).over(page))
-    both = (F.col("t").endswith("-") | F.col("t2").startswith("-")) & ssn_like(F.concat("t", "t2"))
-    me = F.struct("word_idx", "box")
-    hits = F.when(ssn_like(F.col("t")), F.array(me)).when(F.coalesce(both, F.lit(False)), F.array(me, F.col("next")))
-    out = rows.select("doc_id", "page_index", F.explode(hits).alias("x"))
+    rows = gathered(words).select("doc_id", "page_index", "words", F.transform("words", lambda w: ssn_token(w["text"])).alias("ts"))
+    dash = lambda t: t.contains("-") | t.contains("–")
+
+    def hits(ts: Column) -> Column:
+        def at(i: Column) -> Column:
+            t, t2 = F.get(ts, i), F.get(ts, i + 1)
+            both = (t.endswith("-") | t2.startswith("-")) & ssn_like(F.concat(t, t2))
+            return F.when(ssn_like(t), F.array(i)).when(F.coalesce(both, F.lit(False)), F.array(i, i + 1)).otherwise(F.array().cast("array<int>"))
+
+        likely = F.filter(F.transform(ts, lambda t, i: F.when(dash(t) | F.coalesce(F.get(ts, i + 1).startswith("-"), F.lit(False)), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(likely, at))
+
+    out = rows.select("doc_id", "page_index", F.explode(F.transform(let(F.col("ts"), hits), lambda i: F.get("words", i))).alias("x"))
     return out.select("doc_id", "page_index", "x.word_idx", F.lit("ssn").alias("category"), "x.box")
 
 
@@ -154,12 +176,16 @@ def merged(found: DataFrame) -> DataFrame:
 
 
 def detect(words: DataFrame, provider: ItemProvider) -> DataFrame:
-    """The whole chain: items, anchors, propagation over the document, the identifier net, merging."""
-    pages, texts = page_words(words), page_texts(words)
-    items = provider.items(texts)
-    own = detections(anchored_boxes(anchor(items, pages)), 0.9, "model")
-    spread = detections(anchored_boxes(anchor(propagated_items(items, pages), pages)), 0.85, "model")
-    return merged(own.unionByName(spread).unionByName(detections(ssn_net(words), 0.95, "regex")))
+    """The whole chain: items, anchors, propagation over the document, the identifier net, merging. `words` may be pages
+    (`text_pages`). A provider that names its `categories`, none of which spreads, saves the propagation."""
+    pages = gathered(words)
+    read = read_pages(pages)
+    items = provider.items(read)
+    found = detections(anchored_boxes(anchor(items, read)), 0.9, "model")
+    if set(getattr(provider, "categories", PROPAGATED)) & set(PROPAGATED):
+        spread = anchor(propagated_items(items, read), read.drop("text"))
+        found = found.unionByName(detections(anchored_boxes(spread), 0.85, "model"))
+    return merged(found.unionByName(detections(ssn_net(pages), 0.95, "regex")))
 
 
 def fail_closed(anchored: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from inkveil.functions.scalars import page_band
 
 
+#: Of one split of a sample.
+MOST_ENTRIES = 100_000
+
+
 def corpus(files: DataFrame, seed: str) -> DataFrame:
     """Files (path_order, content_sha256, page_count, text_kind): the first of each content, with its evaluation id (the
     start of a seeded hash), its stratum, and the stratum's place of first appearance."""
@@ -31,8 +35,12 @@ def allocation(rows: DataFrame, total: int, order: str) -> DataFrame:
 
 
 def take_first(rows: DataFrame, taken: DataFrame, order: str) -> DataFrame:
+    """The first `take` rows of each stratum. Strata are a handful, so the largest `take` is read; by that literal bound
+    each partition passes on that many rows of a stratum at most, and no task ranks a whole stratum."""
+    most = taken.agg(F.max("take")).first()[0] or 0
     nth = F.row_number().over(Window.partitionBy("stratum").orderBy(order))
-    return rows.withColumn("__nth", nth).join(F.broadcast(taken), "stratum").where("__nth <= take").drop("__nth", "take")
+    few = rows.withColumn("__nth", nth).where(F.col("__nth") <= int(most))
+    return few.join(F.broadcast(taken), "stratum").where("__nth <= take").drop("__nth", "take")
 
 
 def sample(rows: DataFrame, count: int, tuning: int) -> DataFrame:
@@ -46,7 +54,10 @@ def sample(rows: DataFrame, count: int, tuning: int) -> DataFrame:
 
 def lpt_shards(rows: DataFrame, shards: int) -> DataFrame:
     """(evaluation_id, page_count, shard): largest first, each to the shard with the fewest pages so far. For one split of
-    a sample, which is small by construction; the fold runs in one row."""
+    a sample, which is small by construction; the fold, each step of which needs the one before, runs in one row. More
+    than MOST_ENTRIES entries are an error."""
+    if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"a split of more than {MOST_ENTRIES} entries is not a sample")
     item = F.struct((-F.col("page_count")).alias("p"), F.col("evaluation_id").alias("id"))
     gathered = rows.agg(F.sort_array(F.collect_list(item)).alias("xs"))
 

@@ -129,6 +129,6 @@ def signature_matches(prefix: Column, suffix: Column) -> Column:
     for ext, heads in SIGNATURES.items():
         one = F.lit(False)
         for h in heads:
-            one = one | (F.substring(prefix, 1, len(h) // 2) == F.unhex(F.lit(h)))
+            one = one | (F.substring(prefix, 1, len(h)) == F.lit(h))
         out = F.when(suffix == ext, one).otherwise(out)
     return out

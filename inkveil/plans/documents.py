@@ -10,7 +10,7 @@ from inkveil.operators import anchor as A
 from inkveil.operators import detect as D
 from inkveil.operators import pages as P
 from inkveil.operators import redact as R
-from inkveil.sources.tables import table, text_words
+from inkveil.sources.tables import split_words, table, text_pages, text_words
 
 KEY = b"inkveil-test-key"
 
@@ -57,6 +57,10 @@ def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_words(table(spark, sf_dir, "documents"))
 
 
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_pages(table(spark, sf_dir, "documents"))
+
+
 def _flat(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, "box.x1", "box.y1", "box.x2", "box.y2")
 
@@ -70,14 +74,15 @@ def q_word_norm(spark, sf_dir):
 
 
 def q_gate_pages(spark, sf_dir):
-    out = P.text_gate(words_of(spark, sf_dir))
+    out = P.text_gate(pages_of(spark, sf_dir))
     return out.select("doc_id", "page_index", "chars", "clean_chars", "median_height", F.round("clean_ratio", 6).alias("clean_ratio"), "garbage")
 
 
 GATE = """gate AS (SELECT doc_id, page_index, sum(length(text))::BIGINT AS chars,
            sum(length(regexp_replace(text, '[^\\x20-\\x7E]', '', 'g')))::BIGINT AS clean_chars, median(y2 - y1) AS median_height FROM words GROUP BY ALL),
     gated AS (SELECT *, CASE WHEN chars = 0 THEN 0.0 ELSE clean_chars / chars END AS ratio FROM gate),
-    judged AS (SELECT *, chars < 40 OR ratio < 0.85 OR median_height < 3 AS garbage FROM gated)"""
+    judged AS (SELECT *, chars < 40 OR ratio < 0.85 OR median_height < 3 AS garbage FROM gated
+        UNION ALL SELECT doc_id, 0, 0, 0, NULL, 0.0, true FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x20\\x09-\\x0D]'))"""
 
 
 def q_ocr_word_filter(spark, sf_dir):
@@ -102,7 +107,7 @@ def q_annotation_routing(spark, sf_dir):
 
 
 def q_ocr_routing(spark, sf_dir):
-    gate = P.text_gate(words_of(spark, sf_dir)).select("doc_id", "page_index", "garbage")
+    gate = P.text_gate(pages_of(spark, sf_dir)).select("doc_id", "page_index", "garbage")
     pages = gate.join(q_annotation_routing(spark, sf_dir), "doc_id")
     on, off = P.route_pages(pages, True), P.route_pages(pages, False)
     return on.select("doc_id", "page_index", "needs_ocr", "garbage", "route").join(off.select("doc_id", "page_index", "error_code"), ["doc_id", "page_index"])
@@ -110,9 +115,14 @@ def q_ocr_routing(spark, sf_dir):
 
 def _uneven(spark, sf_dir):
     """Words whose rows are not quite level and drift apart."""
-    w, i = words_of(spark, sf_dir), F.col("word_idx")
-    lift = (i * 7) % 5 + F.when((F.floor(i / 12) % 4) == 3, 6).otherwise(0)
-    return w.withColumn("box", S.box(F.col("box.x1"), F.col("box.y1") + lift, F.col("box.x2"), F.col("box.y2") + lift))
+
+
+    def moved(w):
+        i, b = w["word_idx"], w["box"]
+        lift = (i * 7) % 5 + F.when((F.floor(i / 12) % 4) == 3, 6).otherwise(0)
+        return w.withField("box", S.box(b["x1"], b["y1"] + lift, b["x2"], b["y2"] + lift))
+
+    return pages_of(spark, sf_dir).withColumn("words", F.transform("words", moved))
 
 
 def q_grid_rows(spark, sf_dir):
@@ -207,7 +217,7 @@ def q_answer_errors(spark, sf_dir):
 
 
 def rule_items(spark, sf_dir):
-    return D.RuleProvider().items(D.page_texts(words_of(spark, sf_dir)))
+    return D.RuleProvider().items(D.page_texts(pages_of(spark, sf_dir)))
 
 
 def q_rule_items(spark, sf_dir):
@@ -216,9 +226,9 @@ def q_rule_items(spark, sf_dir):
 
 def _titles(words: DataFrame) -> DataFrame:
     """An item for each page: its first three words."""
-    texts = D.page_texts(words)
+    texts = D.read_pages(words).where("size(ws) > 0")
     first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return texts.select("doc_id", "page_index", F.lit(0).alias("item_ord"), first.alias("text"), F.lit("person_name").alias("category"))
+    return texts.select("doc_id", "page_index", F.lit(0).alias("item_ord"), first.alias("text"), F.lit("person_name").alias("category"), "ws", "norms")
 
 
 TITLES = """titles AS (SELECT doc_id, page_index, 0 AS item_ord, array_to_string(string_split(t, ' ')[1:3], ' ') AS text, 'person_name' AS category FROM texts)"""
@@ -230,7 +240,7 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 
 def q_anchor_exact(spark, sf_dir):
-    words = words_of(spark, sf_dir)
+    words = pages_of(spark, sf_dir)
     return _spans(A.anchor_exact(_titles(words), A.page_words(words)))
 
 
@@ -238,11 +248,11 @@ def _scattered(words: DataFrame) -> DataFrame:
     """An item for each page of two runs of words that do not follow one another, parted by a comma and a wide gap."""
     ws = F.split("text", " ")
     value = F.concat(F.array_join(F.slice(ws, 1, 2), " "), F.lit(",  "), F.array_join(F.slice(ws, 21, 2), " "))
-    return D.page_texts(words).where(F.size(ws) >= 22).select("doc_id", "page_index", F.lit(0).alias("item_ord"), value.alias("text"), F.lit("street_address").alias("category"))
+    return D.read_pages(words).where(F.size(ws) >= 22).select("doc_id", "page_index", F.lit(0).alias("item_ord"), value.alias("text"), F.lit("street_address").alias("category"), "ws", "norms")
 
 
 def q_anchor_fragments(spark, sf_dir):
-    words = words_of(spark, sf_dir)
+    words = pages_of(spark, sf_dir)
     return _spans(A.anchor_fragments(_scattered(words), A.page_words(words)))
 
 
@@ -251,27 +261,30 @@ def _misspelt(words: DataFrame) -> DataFrame:
     ws = F.split("text", " ")
     value = F.array_join(F.slice(ws, 1, 4), " ")
     value = F.overlay(value, F.lit("q"), F.lit(3))
-    return D.page_texts(words).where(F.size(ws) >= 4).select("doc_id", "page_index", F.lit(1).alias("item_ord"), value.alias("text"), F.lit("person_name").alias("category"))
+    return D.read_pages(words).where(F.size(ws) >= 4).select("doc_id", "page_index", F.lit(1).alias("item_ord"), value.alias("text"), F.lit("person_name").alias("category"), "ws", "norms")
 
 
 def q_anchor_fuzzy(spark, sf_dir):
-    words = words_of(spark, sf_dir)
+    words = pages_of(spark, sf_dir)
     return _spans(A.anchor(_misspelt(words), A.page_words(words)).where("mode = 'similar'"))
 
 
 def q_anchor_cascade(spark, sf_dir):
-    words = words_of(spark, sf_dir)
+    words = pages_of(spark, sf_dir)
     items = _titles(words).unionByName(_misspelt(words)).unionByName(_scattered(words).withColumn("item_ord", F.lit(2)))
     return A.anchor(items, A.page_words(words)).select("doc_id", "page_index", "item_ord", "mode", F.size("spans").alias("n_spans"))
 
 
 def q_reocr_pages(spark, sf_dir):
-    words = words_of(spark, sf_dir)
-    return D.anchor_counts(A.anchor(rule_items(spark, sf_dir), A.page_words(words)))
+    """Every third document's words come from OCR already."""
+    pages = pages_of(spark, sf_dir).withColumn("words", F.transform("words", lambda w: w.withField("source", F.when(F.col("doc_id") % 3 == 0, "ocr").otherwise(w["source"]))))
+    items = D.RuleProvider().items(D.read_pages(pages))
+    odd = items.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit("Zzyzx Qqwert")).otherwise(F.col("text")))
+    return D.anchor_counts(A.anchor(odd, D.read_pages(pages)), pages)
 
 
 def _turns(spark, sf_dir):
-    return text_words(table(spark, sf_dir, "conversations"), "conv_id", "text", page=F.col("turn"))
+    return text_pages(table(spark, sf_dir, "conversations"), "conv_id", "text", page=F.col("turn")).where("size(words) > 0")
 
 
 def q_propagate(spark, sf_dir):
@@ -294,7 +307,7 @@ def customer_words(spark, sf_dir):
     ]
     shape = F.get(F.array(*shapes), (k % 6).cast("int"))
     line = F.concat(F.array(F.col("c_name")), shape, F.array(F.col("c_mktsegment")))
-    return text_words(table(spark, sf_dir, "customer").select("c_custkey", F.array_join(line, " ").alias("line")), "c_custkey", "line")
+    return text_pages(table(spark, sf_dir, "customer").select("c_custkey", F.array_join(line, " ").alias("line")), "c_custkey", "line")
 
 
 CUSTOMER = """shaped AS (SELECT c_custkey AS doc_id, c_name, c_mktsegment, lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS a, lpad((c_custkey % 100)::VARCHAR, 2, '0') AS b,
@@ -330,13 +343,13 @@ def q_merge_boxes(spark, sf_dir):
 
 def q_detect_document(spark, sf_dir):
     """What would be redacted in each document: merged findings per document, category and source."""
-    found = D.detect(words_of(spark, sf_dir), D.RuleProvider())
+    found = D.detect(pages_of(spark, sf_dir), D.RuleProvider())
     return found.groupBy("doc_id", "category", "source").agg(F.count("*").alias("findings"), F.countDistinct("page_index").alias("pages"), F.max("confidence").alias("confidence"))
 
 
 def rule_detections(spark, sf_dir):
-    words = words_of(spark, sf_dir)
-    return D.detections(A.anchored_boxes(A.anchor_exact(rule_items(spark, sf_dir), A.page_words(words))), 0.9, "model").dropDuplicates(["id"])
+    pages = D.read_pages(pages_of(spark, sf_dir))
+    return D.detections(A.anchored_boxes(A.anchor_exact(D.RuleProvider().items(pages), pages)), 0.9, "model").dropDuplicates(["id"])
 
 
 DETECTED = RULE_BOXES + ", det AS (SELECT DISTINCT doc_id, page_index, word_idx, category, x1, y1, x2, y2 FROM boxes)"
@@ -354,17 +367,22 @@ def q_fail_closed_tin(spark, sf_dir):
     return D.fail_closed(A.anchor(items, A.page_words(words)), D.ssn_net(words))
 
 
+def _word_lists(spark, sf_dir):
+    """Documents with words, as lists."""
+    return table(spark, sf_dir, "documents").select("doc_id", split_words(F.col("text")).alias("words")).where("size(words) > 0")
+
+
 def q_redact_text(spark, sf_dir):
-    out = R.masked_text(words_of(spark, sf_dir), rule_detections(spark, sf_dir))
+    out = R.masked_text(_word_lists(spark, sf_dir), rule_detections(spark, sf_dir))
     return out.select("doc_id", "masked_words", F.sha2("redacted_text", 256).alias("text_sha256"))
 
 
 def q_residual_check(spark, sf_dir):
-    return R.residual(R.masked_text(words_of(spark, sf_dir), rule_detections(spark, sf_dir)), D.RULES, "redacted_text")
+    return R.residual(R.masked_text(_word_lists(spark, sf_dir), rule_detections(spark, sf_dir)), D.RULES, "redacted_text")
 
 
 def _page_counts(spark, sf_dir):
-    return words_of(spark, sf_dir).groupBy("doc_id").agg((F.max("page_index") + 1).alias("page_count"))
+    return _word_lists(spark, sf_dir).select("doc_id", F.ceil(F.size("words") / 600).cast("int").alias("page_count"))
 
 
 def q_manifest_json(spark, sf_dir):
@@ -394,7 +412,7 @@ def q_review_edits(spark, sf_dir):
     """The reviewer removes boxes of phones and adds one box to each page's top."""
     found = rule_detections(spark, sf_dir)
     top = S.box(F.lit(10), F.lit(10), F.lit(200), F.lit(40))
-    pages = words_of(spark, sf_dir).select("doc_id", "page_index").distinct()
+    pages = pages_of(spark, sf_dir).where("size(words) > 0").select("doc_id", "page_index")
     added = pages.select("doc_id", S.detection_id("doc_id", "page_index", F.lit("user")).alias("id"), "page_index", F.lit("user_added").alias("category"), top.alias("box"), F.lit(1.0).alias("confidence"), F.lit("user").alias("source"))
     out = R.edited(found, found.where("category = 'phone'"), added)
     return out.groupBy("doc_id", "category", "source").agg(F.count("*").alias("boxes"))
@@ -445,6 +463,16 @@ ORACLE_SQL = {
     "grid_rows": f"""WITH RECURSIVE {WORDS}, {UNEVEN},
         last AS (SELECT doc_id, page_index, line, max_by(c, rn) AS c, count(*) AS m FROM fold GROUP BY ALL)
         SELECT doc_id, page_index, line::INT AS row, round(c, 6) AS centre, m::INT AS n_words FROM last""",
+    "page_grid": f"""WITH RECURSIVE {WORDS}, {UNEVEN},
+        lines AS (SELECT f.doc_id, f.page_index, f.line, max_by(f.c, f.rn) AS c, list({{'s': s.text, 'c': round_even(s.x1 / 1000.0::DOUBLE * 120, 0)::INT}} ORDER BY s.x1, s.word_idx) AS ws
+                  FROM fold f JOIN seq s USING (doc_id, page_index, rn) GROUP BY ALL),
+        drawn AS (SELECT doc_id, page_index, line, c, lag(c) OVER (PARTITION BY doc_id, page_index ORDER BY line) AS before,
+                  list_reduce(list_prepend({{'s': '', 'c': 0}}, ws), lambda a, b: {{'s': rpad(a.s, greatest(length(a.s) + (length(a.s) > 0)::INT, b.c)::INT, ' ') || b.s, 'c': 0}}).s AS l FROM lines)
+        SELECT doc_id, page_index, string_agg(CASE WHEN c - before > 3.5 * tolerance THEN chr(10) ELSE '' END || l, chr(10) ORDER BY line) AS grid FROM drawn JOIN tol USING (doc_id, page_index) GROUP BY ALL
+        UNION ALL SELECT doc_id, 0, '' FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x20\\x09-\\x0D]')""",
+    "reocr_pages": f"""WITH {WORDS}, {TEXTS}, {NORMS}, {ITEMS}, {_exact_sql('items')}, f AS (SELECT DISTINCT doc_id, page_index, item_ord FROM hits WHERE doc_id % 2 = 1)
+        SELECT i.doc_id, i.page_index, count(*) AS items, count(f.item_ord) AS anchored, count(f.item_ord) * 2 < count(*) AND min(i.doc_id) % 3 <> 0 AS read_again
+        FROM items i LEFT JOIN f USING (doc_id, page_index, item_ord) GROUP BY ALL""",
     "box_normalize": f"WITH {NORMAL} SELECT * FROM normal",
     "box_rotate": f"""WITH {NORMAL}, r AS (SELECT *, (l_orderkey % 4 * 90)::INT AS rotation FROM normal)
         SELECT l_orderkey, l_linenumber, rotation,

@@ -297,7 +297,7 @@ def q_stream_visits(spark, sf_dir):
 
 
 def q_stream_jobs(spark, sf_dir):
-    return ST.run_to_end(ST.job_stream(_triggers(ST.event_stream(spark, sf_dir))), "update")
+    return ST.run_to_end(ST.job_stream(_triggers(ST.event_stream(spark, sf_dir))), "update", "job")
 
 
 QUERIES = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}

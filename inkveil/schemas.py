@@ -38,11 +38,16 @@ CATEGORY_NOUNS = {
 EXTENSIONS = {
     ".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".tif": "image/tiff", ".tiff": "image/tiff",
 }
-#: Hex of the leading bytes that a file of an extension must have, one of them.
+#: The leading bytes that a file of an extension must have, one of them.
 SIGNATURES = {
-    ".pdf": ("255044462D",), ".png": ("89504E470D0A1A0A",), ".jpg": ("FFD8FF",), ".jpeg": ("FFD8FF",),
-    ".tif": ("49492A00", "4D4D002A"), ".tiff": ("49492A00", "4D4D002A"),
+    ".pdf": (b"%PDF-",), ".png": (b"\x89PNG\r\n\x1a\n",), ".jpg": (b"\xff\xd8\xff",), ".jpeg": (b"\xff\xd8\xff",),
+    ".tif": (b"II*\x00", b"MM\x00*"), ".tiff": (b"II*\x00", b"MM\x00*"),
 }
+#: What a written PDF must not hold.
+FORBIDDEN_MARKERS = ("/EmbeddedFile", "/JavaScript", "/JS ", "/AcroForm")
+PRIVATE_COLUMNS = ("access_token", "document_text", "filename")
+RESPONSE_FIELDS = ("job_id", "status", "expires_at", "page_count", "pages_completed", "finding_count", "error_code")
+FINDING_FIELDS = ("page_index", "category", "box", "confidence", "source")
 COUNTERS = (
     "Visits", "LandingViews", "AppViews", "SelfHostingViews", "DocumentsSubmitted", "DocumentsCompleted", "PagesCompleted",
     "DocumentsFailed", "DocumentsDownloaded", "DownloadsStarted", "BatchesSelected", "BatchDocumentsSelected",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.functions.scalars import box
+from inkveil.functions.scalars import box, let
 from inkveil.schemas import MANIFEST
 
 WORDS_PER_ROW, ROWS_PER_PAGE = 12, 50
@@ -43,6 +43,33 @@ def text_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     )
 
 
+def _word(text: Column, idx: Column) -> Column:
+    return F.struct(idx.cast("int").alias("word_idx"), text.alias("text"), word_box(idx).alias("box"), F.lit("pdf").alias("source"))
+
+
+def text_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page: Column | None = None) -> DataFrame:
+    """Pages (doc_id, page_index, words) in place of words: a document is cut where it lies, and nothing is shuffled. A text
+    without words is one page without words. `page` as for `text_words`."""
+    key, most = F.col(id_col).alias("doc_id"), WORDS_PER_ROW * ROWS_PER_PAGE
+    if page is not None:
+        words = F.transform(split_words(F.col(text_col)), lambda t, i: _word(t, i))
+        return df.select(key, page.cast("int").alias("page_index"), F.explode(F.array(words)).alias("words"))
+
+    def pages(ws: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(most))
+        return F.transform(starts, lambda s: F.transform(F.slice(ws, s + 1, F.lit(most)), lambda t, i: _word(t, s + i)))
+
+    return df.select(key, F.posexplode(let(split_words(F.col(text_col)), pages)).alias("page_index", "words"))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Pages of words (one row each), or pages as they are; a page's words are in order."""
+    if "words" in rows.columns:
+        return rows
+    item = F.struct("word_idx", "text", "box", "source")
+    return rows.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(item)).alias("words"))
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf", content: bool = False) -> DataFrame:
     """Files below `path`, in the order of their lower-cased paths; their bytes only if asked for."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -60,11 +87,21 @@ def manifests(df: DataFrame, json_col: str) -> DataFrame:
     return df.withColumn("manifest", m).withColumn("valid", F.coalesce((m["schema_version"] == 1) & (m["page_count"] >= 1), F.lit(False)))
 
 
-def messages(df: DataFrame, body_col: str) -> DataFrame:
-    """Queue messages of JSON text; malformed ones are dropped."""
+def _message(body_col: str) -> tuple[Column, Column]:
     m = F.from_json(F.col(body_col), "schema_version int, job_id string, task string")
     good = (m["schema_version"] == 1) & m["job_id"].isNotNull() & m["task"].isin("detect", "redact")
-    return df.select("*", m.alias("m")).where(F.coalesce(good, F.lit(False))).select(*df.columns, "m.job_id", "m.task")
+    return m, F.coalesce(good, F.lit(False))
+
+
+def messages(df: DataFrame, body_col: str) -> DataFrame:
+    """Queue messages of JSON text; malformed ones are dropped (`malformed` has them)."""
+    m, good = _message(body_col)
+    return df.select("*", m.alias("m")).where(good).select(*df.columns, "m.job_id", "m.task")
+
+
+def malformed(df: DataFrame, body_col: str) -> DataFrame:
+    """The messages that `messages` drops, for a quarantine table."""
+    return df.where(~_message(body_col)[1])
 
 
 def orders_as_jobs(orders: DataFrame) -> DataFrame:

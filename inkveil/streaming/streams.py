@@ -61,18 +61,37 @@ def job_stream(triggers: DataFrame) -> DataFrame:
     )
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and gives its rows, which are written to the shared folder as they come."""
+def stream_root(spark: SparkSession) -> str:
+    """A fresh folder below the shared one; without spark.checkpoint.dir one of our own, on a single machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/checkpoints/inkveil"
+    return f"{root.rstrip('/')}/s-{uuid.uuid4().hex}"
+
+
+def run_to_end(stream: DataFrame, mode: str, *keys: str) -> DataFrame:
+    """Runs a stream over what is there and gives its result, from the rows that each batch writes to the shared folder: of
+    mode `complete` the last batch, which holds all; of `update` each key's last row; of `append` every row."""
     spark = stream.sparkSession
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/inkveil').rstrip('/')}/s-{uuid.uuid4().hex}"
+    root = stream_root(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/rows/batch={number:08d}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    started = query.lastProgress
+    query.stop()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/rows").drop("batch") if query.lastProgress else spark.createDataFrame([], stream.schema)
-    finally:
-        query.stop()
+    if not started:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(schema).parquet(f"{root}/rows")
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == F.lit(-1 if last is None else last)).drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("r")).select(*[k if k in keys else F.col(f"r.{k}") for k in stream.columns])
