@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. `run` applies them in order.
+
+Defined results, whatever the columns beside doc_id and text hold or are called: null and empty texts fail the quality
+rules. For the stages behind, should they get any: a null text is an empty one, equal to other empty ones for exact
+deduplication (the smallest id stays), linked with nothing for near deduplication, without secrets, and one end token when
+packed. Very long texts are processed whole. Rows repeated under one id come down to one in exact deduplication; the other
+stages treat each for itself. A null id is the last of its group in exact deduplication and stays in near deduplication.
+An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
