@@ -10,7 +10,7 @@ from inkveil.operators import anchor as A
 from inkveil.operators import detect as D
 from inkveil.operators import pages as P
 from inkveil.operators import redact as R
-from inkveil.sources.tables import split_words, table, text_pages, text_words
+from inkveil.sources.tables import split_words, spread_small, table, text_pages, text_words
 
 KEY = b"inkveil-test-key"
 
@@ -58,7 +58,7 @@ def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_pages(table(spark, sf_dir, "documents"))
+    return text_pages(spread_small(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _flat(df: DataFrame, *keep: str) -> DataFrame:
@@ -369,7 +369,8 @@ def q_fail_closed_tin(spark, sf_dir):
 
 def _word_lists(spark, sf_dir):
     """Documents with words, as lists."""
-    return table(spark, sf_dir, "documents").select("doc_id", split_words(F.col("text")).alias("words")).where("size(words) > 0")
+    docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", split_words(F.col("text")).alias("words")).where("size(words) > 0")
 
 
 def q_redact_text(spark, sf_dir):

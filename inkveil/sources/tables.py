@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores (one row group, say) is dealt over them, whole rows and once;
+    any larger table stays as it is read, so nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def split_words(text: Column) -> Column:
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
     return F.when(F.length(inner) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, "[\\x20\\x09-\\x0D]+"))
