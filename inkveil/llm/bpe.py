@@ -9,7 +9,8 @@ A pre-token that the vocabulary holds as a whole is that token. Pre-tokens repea
 keeps their ids; it never decides a result.
 
 Defined results: a null or empty text has no ids and decodes to nothing. Repeated rows get the same ids each.
-Other columns are not read. Each document is read where it lies: no shuffle.
+An empty table gives an empty
+result. Other columns are not read. Each document is read where it lies: no shuffle.
 """
 
 from __future__ import annotations
