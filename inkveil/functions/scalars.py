@@ -54,7 +54,7 @@ def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def _thousandths(v: Column, extent: Column) -> Column:
-    return F.bround(1000 * v / extent, 0).cast("int")
+    return F.rint(1000 * v / extent).cast("int")
 
 
 def normalized_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
@@ -79,7 +79,7 @@ def rotated_box(b: Column, rotation: Column) -> Column:
 
 def pixel_box(b: Column, width: Column, height: Column, padding: int = 3) -> Column:
     def at(v: Column, extent: Column) -> Column:
-        return F.bround(v * extent / F.lit(1000.0), 0).cast("int")
+        return F.rint(v * extent / F.lit(1000.0)).cast("int")
 
     return box(
         F.greatest(F.lit(0), at(b["x1"], width) - padding),
