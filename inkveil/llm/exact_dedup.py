@@ -1,7 +1,9 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
 A text is normalised (each run of ASCII white space becomes one space) and cut where its content says so: at
-the first sentence mark and space after `least` characters, at `most` characters where none follows. Each
+the first of CUTS after `least` characters, at `most` characters where none follows. CUTS are sentence marks before some
+letters (with a space, or full-width ones without) and three letters or digits in a row that random text holds every two
+thousand characters, so texts without spaces are cut by their content too. Each
 chunk is replaced by a 64-bit identifier; the ordered list of identifiers is the text's recipe, and texts are
 equal when their recipes are. Long documents are read once where they lie: only recipes travel.
 
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import WS, Scratch, salt, spread, text_or_empty
 
 LEAST, MOST = 1024, 8192
+CUTS = "(?:[.!?;:,\\u3002\\u061f]\\x20(?=[a-dA-D])|[\\u3001\\u3002\\uff01\\uff0c\\uff1b\\uff1f](?=[\\u4e00-\\u4e7f])|[aeio13][bdfh24][ckCK])"
+#: Ids of dropped rows up to this number (some 40 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -33,7 +38,7 @@ def normalised(text: Column) -> Column:
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     """The chunks of a normalised text, in order; joined, they are the text."""
-    pattern = f"(?s).{{{least},{most}}}?[.!?;:,\\u3002\\u061f]\\x20|.{{1,{most}}}"
+    pattern = f"(?s).{{{least},{most}}}?{CUTS}|.{{1,{most}}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
@@ -95,15 +100,19 @@ def exact_groups(
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` whose text no row with a smaller id has, with their own columns. A row with a null id
-    stays if its text is on no other row; rows repeated under one id come down to one."""
+    stays if its text is on no other row; rows repeated under one id come down to one. Texts stay where they are: the
+    ids that go are taken out. Only rows whose id is null or on several rows are found by their text as well."""
     scratch = Scratch(df.sparkSession)
-    stays = scratch.table(exact_groups(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep"), "text_sha256"))
-    mark = F.sha2(normalised(text_or_empty(text_col)), 256)
-    out = df.join(stays, F.col(id_col).eqNullSafe(F.col("__keep")) & (mark == F.col("text_sha256")), "left_semi")
-    names = df.columns
-    again = scratch.table(df.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again")))
+    groups = scratch.table(exact_groups(df, id_col, text_col).select(F.col(id_col).alias("__at"), "kept", "text_sha256"))
+    again = scratch.table(groups.groupBy("__at").count().where("count > 1 or __at is null").select(F.col("__at").alias("__again")))
+    gone = scratch.table(groups.where("not kept").select("__at").distinct())
+    few = gone.count() <= BROADCAST_IDS
+    out = df.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__at"), "left_anti")
     if again.isEmpty():
         return out
     same = F.col(id_col).eqNullSafe(F.col("__again"))
-    once = out.join(again, same, "left_semi").withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).select(*names)
+    marked = df.join(again, same, "left_semi").withColumn("__mark", F.sha2(normalised(text_or_empty(text_col)), 256))
+    stays = groups.where("kept").join(again, F.col("__at").eqNullSafe(F.col("__again")), "left_semi")
+    once = marked.join(stays, F.col(id_col).eqNullSafe(F.col("__at")) & (F.col("__mark") == F.col("text_sha256")), "left_semi")
+    once = once.dropDuplicates([id_col, "__mark"]).select(*df.columns)
     return out.join(again, same, "left_anti").unionByName(once)
