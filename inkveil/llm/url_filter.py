@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import lower_ascii
+from inkveil.llm.common import Scratch, lower_ascii
 
 #: Fixed values: (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -193,6 +193,7 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
 
     kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, host string, path string, rule string, verdict string, probability double"
-    out = judged.mapInArrow(run, schema)
+    out = Scratch(df.sparkSession).table(judged.mapInArrow(run, schema))
+    judge.destroy()
     said = F.coalesce("verdict", F.when(F.coalesce("probability", F.lit(1.0)) >= 0.5, "allow").otherwise("block"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", said.alias("verdict"), "probability")
