@@ -1,20 +1,25 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class, class of the previous token).
+P(token | history) = P(class | history) * P(token | class, history), both trained by gradients on the same features:
+the previous word, the previous two (n-grams), and the words two and three back (skips).
 
 A word's class is its last two bytes, where these are among the most frequent; other words share a class, and
-the end of a text has one. The class law is a softmax over weights of hashed features of the history: the previous
-word, the previous two (n-grams), and the words two and three back (skips). Within a class a word's weight is its
-log-frequency plus a weight for the previous class; rare words stand behind one symbol of their class and share
-its mass by their counts, with room for one unseen word.
-
-Training reads all training texts. Word counts are aggregated in Spark. In each round every partition runs gradient
-updates (Adagrad, small batches) over its part of the texts from the round's weights, and emits its changes; these
-are averaged, each feature by the tokens that touched it, in a tree of bounded fan-in. What reaches the driver is
-the model, whose size is fixed by `HEAD`, `ROWS` and `CLASSES`.
-
-Scoring runs over sparse batches of feature rows in numpy. Words outside the `HEAD` most frequent are looked up by
-a join with the full table of counts; such words are rare by definition, so that join has no hot key.
+the end of a text has one. The class law is a softmax over rows of weights, one row per hashed feature. Within a class the
+law is a softmax in steps: a Huffman tree over the class's words by their counts, at each node of which the
+features choose a side. Its weights lie in blocks of 16 cells: a block is hashed from a feature and the node at which
+four levels of the tree begin, and the node's place in these four levels is its cell, so a step seldom leaves a line of
+memory. Without weights both laws are those of the counts. Rare words stand behind one leaf of their class and share its
+mass by their counts, with room for one unseen word.
+
+Training reads all training texts. They are turned into ids once, by counts aggregated in Spark; the ids are written and
+read again by training and scoring. In each round a share of the partitions runs gradient updates (Adagrad, small batches)
+over its texts from the round's weights, and emits its changes; these are averaged, each weight by the squared gradients
+that it got, in a tree of bounded fan-in. Both tables of weights grow with the training tokens, up to what an
+executor holds (`table_sizes`); the changes come from at most TRAINERS tasks. The driver holds the model: at most HEAD
+words and tables of these sizes.
+
+Scoring runs over sparse batches of feature rows in numpy. Words outside the head are looked up by a join with the full
+table of counts; such words are rare by definition, so that join has no hot key.
 
 Defined results: a null or empty text is its end alone. A null id counts as the empty text for the choice of training
 documents. Rows repeated are trained on and scored each. Without training tokens every token has the law of the
@@ -23,207 +28,95 @@ untrained model. An empty table gives an empty result. Other columns are not rea
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, text_or_empty
+from inkveil.llm.common import Scratch, byte_slices, text_or_empty
 
-HEAD, FINE = 1 << 17, 1 << 13
-CLASSES, OTHER, END_CLASS = 64, 62, 63
-ROWS = 1 << 15
-ROUNDS, BATCH, RATE = 2, 2048, 0.15
-BLOCKS, FAN = 64, 32
+#: Most words of the head; rarer words are looked up by a join.
+HEAD = 1 << 17
+CLASSES = 32
+OTHER, END_CLASS = CLASSES - 2, CLASSES - 1
+ROUNDS, BATCH, RATE, CELL_RATE = 2, 2048, 0.15, 0.05
+TRAINERS, BLOCKS, FAN = 256, 64, 32
 #: Different words that a part holds before it passes their counts on.
-COUNTED = 500_000
-SLICE = 512
+COUNTED = 1_000_000
+SLICE_BYTES = 8 << 20
 #: Texts whose tokens are dealt into batches together; batches do not go across, so this sets the gradient steps.
-TRAINED = 128
-END, START = HEAD, HEAD + 1  # ids; the rare words of class c are HEAD + 2 + c
-
-
-@dataclass
-class Model:
-    """All that scoring needs; `base` and `inner` are natural logs per head word."""
-
-    ids: dict[bytes, int]
-    keys: dict[bytes, int]
-    cls: np.ndarray  # class of each id
-    base: np.ndarray  # of head words and the end: log of the unigram law
-    inner: np.ndarray  # of all ids: log P(id | class), the previous class left out
-    bias: np.ndarray
-    weights: np.ndarray
-    fine: np.ndarray  # (FINE, CLASSES) weights by previous class
-    norm: np.ndarray  # (class, previous class) logs
-
-    def encode(self, tokens: list[bytes]) -> np.ndarray:
-        """Ids with three starts before and the end behind."""
-        get, key = self.ids.get, self.keys.get
-        out = [get(w, -1) for w in tokens]
-        ids = np.array([START, START, START, *out, END], dtype=np.int64)
-        rare = np.flatnonzero(ids < 0)
-        if len(rare):
-            ids[rare] = [HEAD + 2 + key(tokens[k - 3][-2:], OTHER) for k in rare]
-        return ids
-
-
-def feature_rows(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """(features, tokens): hashed rows of the features of the histories at `places`."""
-    one, two, three = (ids[places - k].astype(np.uint64) for k in (1, 2, 3))
-    p, q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    raw = (one * p + np.uint64(1), (one * p) ^ (two * q + np.uint64(2)), two * q + np.uint64(3), three * p * q + np.uint64(4))
-    out = np.stack(raw)
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0x165667B19E3779F9)
-    return (out >> np.uint64(64 - 15)).astype(np.int64) & (ROWS - 1)
-
-
-def class_logits(model_bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[0]]
-    for r in rows[1:]:
-        out += weights[r]
-    out += model_bias
-    out -= out.max(axis=1, keepdims=True)
-    return out
-
+TRAINED = 512
+#: Of Adagrad's sums of squares, at the start: of rows, and of cells.
+FIRST_SQUARE, FIRST_CELL = 1e-3, 1.0
+#: Log odds are taken as no further from zero than this in training: probabilities stay clear of numbers so small that
+#: arithmetic with them is slow.
+FAR = 30.0
+#: Levels of the tree that share a block of cells; tokens whose steps are taken at a time.
+LEVELS, STEPS = 4, 512
 
-def token_scores(m: Model, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each id at `places` given those before."""
-    out = np.empty(len(places))
-    for at in range(0, len(places), 8192):
-        here = places[at : at + 8192]
-        z = class_logits(m.bias, m.weights, feature_rows(ids, here))
-        now = ids[here]
-        c, before = m.cls[now], m.cls[ids[here - 1]]
-        top = z[np.arange(len(here)), c] - np.log(np.exp(z).sum(axis=1))
-        fine = np.where(now < FINE, m.fine[np.minimum(now, FINE - 1), before], 0.0)
-        out[at : at + 8192] = top + m.inner[now] + fine - m.norm[c, before]
-    return out
 
-
-def _gather(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joined id lists, the places of tokens in them, and the list of each place."""
-    ids = np.concatenate(lists)
-    sizes = np.array([len(x) for x in lists])
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    inside = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    places = np.flatnonzero(inside >= 3)
-    return ids, places, owner[places]
-
-
-def _texts(part: pa.RecordBatch) -> list[list[bytes]]:
-    """The words of each text. For bytes, `lower` and `split` know ASCII alone: A to Z, and space, tab to return."""
-    return [(t or b"").lower().split() for t in part.column("text").to_pylist()]
-
-
-def local_updates(m: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition's gradient updates: rows (part, block, change, touched, pairs)."""
-    model: Model = m.value
-    weights, square = model.weights.copy(), np.full(ROWS, 1e-3, dtype=np.float32)
-    touched, pairs = np.zeros(ROWS, dtype=np.float32), np.zeros(FINE * CLASSES, dtype=np.int64)
-    for batch in batches:
-        for at in range(0, batch.num_rows, TRAINED):
-            ids, places, _ = _gather([model.encode(w) for w in _texts(batch.slice(at, TRAINED))])
-            now = ids[places]
-            small = now < FINE
-            pairs += np.bincount(now[small] * CLASSES + model.cls[ids[places[small] - 1]], minlength=len(pairs))
-            for k in range(0, len(places), BATCH):
-                here = places[k : k + BATCH]
-                rows = feature_rows(ids, here)
-                z = class_logits(model.bias, weights, rows)
-                np.exp(z, out=z)
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(here)), model.cls[ids[here]]] -= 1
-                flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
-                ordered = flat[order]
-                first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                grad = np.add.reduceat(z[order % len(here)], first, axis=0)
-                hit = ordered[first]
-                square[hit] += (grad * grad).mean(axis=1)
-                weights[hit] -= RATE * grad / np.sqrt(square[hit])[:, None]
-                touched[hit] += np.diff(np.r_[first, len(flat)])
-    part = TaskContext.get().partitionId()
-    if not touched.any():
-        return
-    change = ((weights - model.weights) * touched[:, None]).astype(np.float32)
-    for b in range(BLOCKS):
-        r, f = slice(b * ROWS // BLOCKS, (b + 1) * ROWS // BLOCKS), slice(b * len(pairs) // BLOCKS, (b + 1) * len(pairs) // BLOCKS)
-        scale = np.maximum(touched[r], 1)[:, None]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([part]), pa.array([b], pa.int32()), pa.array([(change[r] / scale).astype(np.float16).tobytes()], pa.binary()),
-                pa.array([touched[r].tobytes()], pa.binary()), pa.array([pairs[f].astype(np.int32).tobytes()], pa.binary()),
-            ],
-            names=["part", "block", "change", "touched", "pairs"],
-        )
+def table_sizes(tokens: int) -> tuple[int, int]:
+    """(rows of class weights, cells of tree weights), powers of two: about one row for 4,096 training tokens and one cell for
+    128, between what any corpus gets and what an executor may hold beside its data (8 and 16 MB, and twice that in training)."""
+    fit = lambda n, low, high: min(max(int(n).bit_length(), low), high)
+    return 1 << fit(tokens // 4096, 13, 16), 1 << fit(tokens // 128, 17, 22)
 
 
-UPDATE_DDL = "part long, block int, change binary, touched binary, pairs binary"
+# ------------------------------------------------------------------ words
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and the places at which each text's begin. Only A to Z are lowered; only space and tab to
+    return part words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy()
+    real = pc.not_equal(flat, "")
+    return flat.filter(real), np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][ends - ends[0]]
 
 
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    """Averages the changes of up to FAN parts of one block, by touches; sums touches and pairs."""
-    total, touched, pairs = 0.0, 0.0, 0
-    for c, t, p in zip(frame["change"], frame["touched"], frame["pairs"], strict=True):
-        t = np.frombuffer(t, dtype=np.float32)
-        total = total + np.frombuffer(c, dtype=np.float16).reshape(len(t), CLASSES).astype(np.float32) * t[:, None]
-        touched, pairs = touched + t, pairs + np.frombuffer(p, dtype=np.int32).astype(np.int64)
-    mean = (total / np.maximum(touched, 1)[:, None]).astype(np.float16)
-    return pd.DataFrame(
-        {
-            "part": [int(frame["part"].iloc[0]) // FAN], "block": [int(frame["block"].iloc[0])], "change": [mean.tobytes()],
-            "touched": [touched.astype(np.float32).tobytes()], "pairs": [np.minimum(pairs, 2**31 - 1).astype(np.int32).tobytes()],
-        }
-    )
+def suffixes(words: pa.Array) -> np.ndarray:
+    """A number for the last two bytes of each word (of a word of one byte, for that byte)."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    raw = words.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)
+    last, long = data[ends[1:] - 1].astype(np.int64), np.diff(ends) > 1
+    return np.where(long, data[np.maximum(ends[1:] - 2, 0)].astype(np.int64) * 256 + last, 65536 + last)
 
 
-def round_of_training(scratch: Scratch, texts: DataFrame, model: Model) -> np.ndarray | None:
-    """Trains `model.weights` in place; the pair counts of the round."""
-    held = scratch.spark.sparkContext.broadcast(model)
-    parts = scratch.table(texts.mapInArrow(lambda batches: local_updates(held, batches), UPDATE_DDL))
-    while True:
-        merged = parts.groupBy("block", F.floor(F.col("part") / FAN).alias("g")).applyInPandas(_merge, UPDATE_DDL)
-        merged = scratch.table(merged)
-        scratch.release(parts)
-        parts = merged
-        if not (parts.agg(F.max("part")).first()[0] or 0):
-            break
-    rows = sorted(parts.collect(), key=lambda r: r["block"])
-    held.unpersist()
-    if not rows:
-        return None
-    change = np.concatenate([np.frombuffer(r["change"], dtype=np.float16) for r in rows])
-    model.weights += change.reshape(ROWS, CLASSES).astype(np.float32)
-    return np.concatenate([np.frombuffer(r["pairs"], dtype=np.int32) for r in rows]).astype(np.int64).reshape(FINE, CLASSES)
+def suffix_number(key: bytes) -> int:
+    return key[0] * 256 + key[1] if len(key) > 1 else 65536 + key[0]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over the texts; words only, as bytes. A part's counts are summed before they travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, rows = [], 0
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for w in _texts(batch.slice(at, SLICE)):
-                    held.update(w)
-                if len(held) > COUNTED:
-                    yield rows()
-                    held.clear()
+            for at, to in byte_slices(batch.column("text"), SLICE_BYTES):
+                words, _ = split_words(batch.column("text")[at:to])
+                found = pc.value_counts(words)
+                held.append(pa.table({"word": found.field("values").cast(pa.binary()), "c": found.field("counts")}))
+                rows += len(found)
+                if rows > COUNTED:
+                    held, rows = [summed()], 0
+                    if held[0].num_rows > COUNTED // 2:
+                        yield from held[0].combine_chunks().to_batches()
+                        held = []
         if held:
-            yield rows()
+            yield from summed().combine_chunks().to_batches()
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -235,7 +128,7 @@ def suffix_class(word: Column, keys: dict[bytes, int]) -> Column:
 
 @dataclass
 class Counts:
-    """The table of counts and its bounded summary."""
+    """The counts of words outside the head, and a bounded summary of all."""
 
     table: DataFrame
     head: list[tuple[bytes, int]]
@@ -250,113 +143,401 @@ class Counts:
         return self.tokens + 0.5 * (self.types + 1)
 
 
-def count(scratch: Scratch, texts: DataFrame) -> Counts:
+def least_of_head(counts: DataFrame, most: int) -> int:
+    """The least count of the words of the head: as many as there are, or at most `most`. From a histogram by 16 steps to
+    each doubling, so that no more than the head reaches the driver."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    held, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["b"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["c"]
+    return 1 << 62 if least is None else least
+
+
+def count(scratch: Scratch, texts: DataFrame, most: int) -> Counts:
     counts = scratch.table(word_counts(texts))
     ends = texts.count()
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    suffixes = counts.groupBy(F.substring("word", -2, 2).alias("k")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(OTHER)
-    keys = {bytes(r[0]): k for k, r in enumerate(suffixes.collect())}
-    rare: dict[int, tuple[int, int]] = {}
-    tail = counts.limit(0)
-    if len(head) == HEAD:
-        last_word, last = head[-1]
-        tail = counts.where((F.col("c") < last) | ((F.col("c") == last) & (F.col("word") > F.lit(last_word))))
-        grouped = tail.groupBy(suffix_class(F.col("word"), keys).alias("k")).agg(F.sum("c"), F.count("*"))
-        rare = {r[0]: (r[1], r[2]) for r in grouped.collect()}
+    least = least_of_head(counts, most)
+    head = sorted(((bytes(r[0]), r[1]) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+    by_suffix = counts.groupBy(F.substring("word", -2, 2).alias("k")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(OTHER)
+    keys = {bytes(r[0]): k for k, r in enumerate(by_suffix.collect())}
+    tail = counts.where(F.col("c") < least)
+    grouped = tail.groupBy(suffix_class(F.col("word"), keys).alias("k")).agg(F.sum("c"), F.count("*"))
+    rare = {r[0]: (r[1], r[2]) for r in grouped.collect()}
     return Counts(tail, head, keys, total + ends, types + (ends > 0), ends, rare)
 
 
+# ------------------------------------------------------------------ the model
+@dataclass
+class Model:
+    """All that training and scoring need. Ids: head words by falling count, the end, the start, the rare word of each class."""
+
+    words: pa.Array
+    by_suffix: np.ndarray  # class by suffix number
+    cls: np.ndarray  # class of each id
+    base: np.ndarray  # of head words and the end: natural log of the unigram law
+    start: np.ndarray  # each id's path in nodes and bits, and its length
+    size: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    groups: np.ndarray  # of each step: the node at which its levels begin, and its place in them
+    slots: np.ndarray
+    bias: np.ndarray  # of classes
+    node_bias: np.ndarray
+    weights: np.ndarray  # (rows, CLASSES)
+    cells: np.ndarray
+
+    @property
+    def end(self) -> int:
+        return len(self.words)
+
+    @property
+    def first(self) -> int:
+        """The id before the first word of a text."""
+        return len(self.words) + 1
+
+    def rare(self, words: pa.Array) -> np.ndarray:
+        return len(self.words) + 2 + self.by_suffix[suffixes(words)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(ids of all words, where each text's begin, the words)."""
+        flat, offsets = split_words(column)
+        coded = flat.dictionary_encode()
+        found = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = np.flatnonzero(found < 0)
+        found[unknown] = self.rare(coded.dictionary.take(pa.array(unknown)))
+        return found[coded.indices.to_numpy()] if len(flat) else np.zeros(0, dtype=np.int64), offsets, flat
+
+
+def tree(mass: list[float]) -> tuple[list[list[tuple[int, int]]], list[float]]:
+    """Huffman's tree over leaves of these masses: each leaf's path of (node, side) from the root, and for each node the log
+    of the odds of side 1."""
+    n = len(mass)
+    heap = [(x, k) for k, x in enumerate(mass)]
+    heapq.heapify(heap)
+    parent, side, odds = [0] * (2 * n - 1), [0] * (2 * n - 1), []
+    for node in range(n, 2 * n - 1):
+        (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a], parent[b], side[b] = node, node, 1
+        odds.append(float(np.log(y / x)))
+        heapq.heappush(heap, (x + y, node))
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(2 * n - 1)]
+    for k in range(2 * n - 3, -1, -1):
+        paths[k] = [*paths[parent[k]], (parent[k] - n, side[k])]
+    return paths[:n], odds
+
+
 def fresh_model(n: Counts) -> Model:
-    cls = np.full(HEAD + 2 + CLASSES, OTHER, dtype=np.int64)
-    mass = np.zeros(HEAD + 2 + CLASSES)
-    for k, (w, c) in enumerate(n.head):
-        cls[k], mass[k] = n.keys.get(w[-2:], OTHER), c
-    cls[END] = cls[START] = END_CLASS
-    mass[END] = n.ends + 0.5
+    head = len(n.head)
+    by_suffix = np.full(65536 + 256, OTHER, dtype=np.int64)
+    for k, c in n.keys.items():
+        by_suffix[suffix_number(k)] = c
+    words = pa.array([w for w, _ in n.head], pa.binary()).cast(pa.string())
+    cls = np.concatenate([by_suffix[suffixes(words)], [END_CLASS, END_CLASS], np.arange(CLASSES)])
+    rare = [n.rare.get(c, (0, 0)) for c in range(CLASSES)]
+    mass = np.array([*[c for _, c in n.head], n.ends + 0.5, 0, *[t + 0.5 * (k + 1) for t, k in rare]], dtype=float)
+    mass[head + 2 + END_CLASS] = 0  # no word has this class
+    leaves = np.flatnonzero(mass > 0)
+    paths: list[list[tuple[int, int]]] = [[] for _ in mass]
+    odds: list[float] = []
     for c in range(CLASSES):
-        tokens, types = n.rare.get(c, (0, 0))
-        cls[HEAD + 2 + c], mass[HEAD + 2 + c] = c, tokens + 0.5 * (types + 1)
-    mass[HEAD + 2 + END_CLASS] = 0  # no word has this class
+        own = leaves[cls[leaves] == c]
+        found, more = tree(mass[own].tolist())
+        for k, path in zip(own.tolist(), found, strict=True):
+            paths[k] = [(node + len(odds), side) for node, side in path]
+        odds += more
+    size = np.array([len(x) for x in paths], dtype=np.int64)
+    steps = np.array([x for path in paths for x in path], dtype=np.int64).reshape(-1, 2)
+    depth = np.arange(len(steps)) - np.repeat(np.cumsum(size) - size, size)
+    groups, slots = steps[:, 0].copy(), np.ones(len(steps), dtype=np.int64)
+    for _ in range(LEVELS - 1):  # a step's levels begin where the one before it began, unless it begins them itself
+        inside = np.flatnonzero(depth % LEVELS > 0)
+        groups[inside] = groups[inside - 1]
+    for level in range(1, LEVELS):
+        inside = np.flatnonzero(depth % LEVELS == level)
+        slots[inside] = 2 * slots[inside - 1] + steps[inside - 1, 1]
     of_class = np.bincount(cls, weights=mass, minlength=CLASSES)
-    with np.errstate(divide="ignore"):
-        inner = np.log(mass / of_class[cls])
-    base = np.log((mass[: HEAD + 1] + 0.5) / n.whole)
-    base[END] = np.log((n.ends + 0.5) / n.whole)
+    base = np.log((np.array([*[c for _, c in n.head], n.ends]) + 0.5) / n.whole)
+    rows, cells = table_sizes(n.tokens)
     return Model(
-        {w: k for k, (w, _) in enumerate(n.head)}, n.keys, cls, base, inner, np.log(of_class / of_class.sum()).astype(np.float32),
-        np.zeros((ROWS, CLASSES), dtype=np.float32), np.zeros((FINE, CLASSES)), np.zeros((CLASSES, CLASSES)),
+        words, by_suffix, cls, base, np.cumsum(size) - size, size, steps[:, 0].astype(np.int32), steps[:, 1].astype(np.float32), groups.astype(np.uint32), slots.astype(np.int64),
+        np.log(of_class / of_class.sum()).astype(np.float32), np.array(odds, dtype=np.float32), np.zeros((rows, CLASSES), dtype=np.float32), np.zeros(cells, dtype=np.float32),
     )
 
 
-def fit_fine(m: Model, pairs: np.ndarray, prior: float = 20.0) -> None:
-    """Weights of frequent words by previous class, from their pair counts, and the norms that go with them."""
-    own, known = np.exp(m.inner[:FINE]), m.cls[:FINE]
-    seen = np.zeros((CLASSES, CLASSES))
-    np.add.at(seen, known, pairs)
-    share = np.zeros(CLASSES)
-    np.add.at(share, known, own)
-    # Of a class's tokens only those of its frequent words are counted here; `expected` is for these.
-    expected = seen[known] * (own / np.maximum(share[known], 1e-300))[:, None]
-    m.fine = np.log((pairs + prior * own[:, None] + 1e-9) / (expected + prior * own[:, None] + 1e-9))
-    total = np.zeros((CLASSES, CLASSES))
-    np.add.at(total, known, own[:, None] * np.exp(m.fine))
-    m.norm = np.log(total + np.maximum(1 - share, 1e-12)[:, None])
+def feature_hashes(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(features, tokens): hashes of the features of the histories at `places`."""
+    one, two, three = (ids[places - k].astype(np.uint64) for k in (1, 2, 3))
+    p, q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    out = np.stack((one * p + np.uint64(1), (one * p) ^ (two * q + np.uint64(2)), two * q + np.uint64(3), three * p * q + np.uint64(4)))
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0x165667B19E3779F9)
+    return out
+
+
+def class_rows(hashes: np.ndarray, rows: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - rows.bit_length())).astype(np.int64)
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Trains on the documents of four fifths of the ids and scores all: id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score (log10)."""
-    scratch = Scratch(df.sparkSession)
-    text = text_or_empty(text_col).cast("binary")
-    fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
-    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), (fold == 1).alias("held_out"))
-    training = docs.where(~F.col("held_out")).select("text")
-    n = count(scratch, training)
-    model, pairs = fresh_model(n), np.zeros((FINE, CLASSES), dtype=np.int64)
-    for k in range(ROUNDS):
-        share = training.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(ROUNDS)) == k)
-        found = round_of_training(scratch, share, model)
-        if found is not None:
-            pairs += found
-    fit_fine(model, pairs)
+def class_logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        out += weights.take(r, axis=0)
+    out += bias
+    out -= out.max(axis=1, keepdims=True)
+    return out
+
+
+def tree_steps(m: Model, cells: int, hashes: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The steps to the ids `now`: (token, place in the model's steps, (features, steps) cells)."""
+    size = m.size.take(now)
+    token = np.repeat(np.arange(len(now)), size)
+    at = np.arange(len(token))
+    at += np.repeat(m.start.take(now) - (np.cumsum(size) - size), size)
+    mixed = hashes.take(token, axis=1)
+    mixed ^= m.groups.take(at) * np.uint32(0xB66859FD)
+    mixed *= np.uint32(0x9E3779B1)
+    mixed >>= np.uint32(33 + LEVELS - cells.bit_length())
+    cell = mixed.astype(np.int64)
+    cell <<= LEVELS
+    cell |= m.slots.take(at)
+    return token, at, cell
+
+
+def tree_scores(m: Model, hashes: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each id within its class."""
+    token, at, cell = tree_steps(m, len(m.cells), hashes, now)
+    odds = m.cells.take(cell).sum(axis=0)
+    odds += m.node_bias.take(m.nodes.take(at))
+    np.negative(odds, out=odds, where=m.bits.take(at) > 0)
+    return np.bincount(token, weights=-np.logaddexp(0, odds), minlength=len(now))
+
+
+def train_tree(m: Model, pairs: np.ndarray, hashes: np.ndarray, now: np.ndarray) -> None:
+    """A step of Adagrad on the cells, in place. `pairs`: weight and sum of squares as one complex number, so that both are
+    in one place."""
+    _, at, cell = tree_steps(m, len(pairs), hashes, now)
+    cell = cell.ravel()
+    held = pairs.take(cell).reshape(len(hashes), -1)
+    odds = held.real.sum(axis=0)
+    odds += m.node_bias.take(m.nodes.take(at))
+    np.clip(odds, -FAR, FAR, out=odds)
+    slope = 1 / (1 + np.exp(-odds))
+    slope -= m.bits.take(at)
+    square = slope * slope
+    change = np.empty(held.shape, dtype=np.complex64)
+    change.real = -CELL_RATE * slope / np.sqrt(held.imag + square)
+    change.imag = square
+    np.add.at(pairs, cell, change.ravel())
+
+
+def folded(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(16)).astype(np.uint32)
+
+
+def row_gradients(z: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their summed gradients) of the tokens' gradients z. Rows of one token, which most are, need no sum."""
+    flat = rows.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    ordered = flat.take(order)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    n = np.diff(np.r_[first, len(order)])
+    alone, more = n == 1, n[n > 1]
+    owner = order % len(z)
+    grad = np.empty((len(first), z.shape[1]), dtype=z.dtype)
+    grad[alone] = z.take(owner.take(first[alone]), axis=0)
+    if len(more):
+        grad[~alone] = np.add.reduceat(z.take(owner[np.repeat(~alone, n)], axis=0), np.cumsum(more) - more, axis=0)
+    return ordered.take(first).astype(np.int64), grad
+
+
+def token_scores(m: Model, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each id at `places` given those before."""
+    out = np.empty(len(places))
+    for at in range(0, len(places), BATCH):
+        here = places[at : at + BATCH]
+        hashes, now = feature_hashes(ids, here), ids[here]
+        z = class_logits(m.bias, m.weights, class_rows(hashes, len(m.weights)))
+        out[at : at + BATCH] = z[np.arange(len(here)), m.cls[now]] - np.log(np.exp(z).sum(axis=1))
+        small = folded(hashes)
+        for k in range(0, len(here), STEPS):
+            out[at + k : at + k + STEPS][: len(here) - k] += tree_scores(m, small[:, k : k + STEPS], now[k : k + STEPS])
+    return out
+
+
+def _gather(first: int, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id lists joined, each led by three starts; the places of tokens in them, and the list of each place."""
+    lead = np.full(3, first, dtype=np.int32)
+    ids = np.concatenate([x for one in lists for x in (lead, one)]) if lists else lead
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    return ids, np.arange(len(owner)) + 3 * (owner + 1), owner
+
+
+def _id_lists(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<i4") for x in column.to_pylist()]
+
+
+# ------------------------------------------------------------------ training
+UPDATE_DDL = "part long, block int, rows binary, row_squares binary, cells binary, cell_squares binary"
+
+
+def _blocks(n: int) -> list[slice]:
+    return [slice(b * n // BLOCKS, (b + 1) * n // BLOCKS) for b in range(BLOCKS)]
+
+
+def _half(x: np.ndarray) -> bytes:
+    return x.astype(np.float16).tobytes()
+
+
+def train_batch(m: Model, weights: np.ndarray, squares: np.ndarray, pairs: np.ndarray, ids: np.ndarray, here: np.ndarray) -> None:
+    """One step of Adagrad on the rows, and one for every STEPS tokens on the cells, in place."""
+    hashes, now = feature_hashes(ids, here), ids[here]
+    rows = class_rows(hashes, len(weights))
+    z = class_logits(m.bias, weights, rows)
+    np.maximum(z, -FAR, out=z)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(here)), m.cls[now]] -= 1
+    hit, grad = row_gradients(z, rows)
+    square = squares.take(hit) + np.einsum("ij,ij->i", grad, grad) / CLASSES
+    squares[hit] = square
+    weights[hit] = weights.take(hit, axis=0) - grad * (RATE / np.sqrt(square))[:, None]
+    small = folded(hashes)
+    for k in range(0, len(here), STEPS):
+        train_tree(m, pairs, small[:, k : k + STEPS], now[k : k + STEPS])
+
+
+def local_updates(held: Broadcast, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partition's gradient updates in its turn: a row for each block of the tables."""
+    part = TaskContext.get().partitionId()
+    if part % ROUNDS != turn:
+        return
+    m: Model = held.value
+    weights, squares = m.weights.copy(), np.full(len(m.weights), FIRST_SQUARE, dtype=np.float32)
+    pairs = (m.cells + np.float32(FIRST_CELL) * np.complex64(1j)).astype(np.complex64)
+    trained = False
+    for batch in batches:
+        for at in range(0, batch.num_rows, TRAINED):
+            ids, places, _ = _gather(m.first, _id_lists(batch.column("ids")[at : at + TRAINED]))
+            for k in range(0, len(places), BATCH):
+                train_batch(m, weights, squares, pairs, ids, places[k : k + BATCH])
+                trained = True
+    if not trained:
+        return
+    for b, (r, c) in enumerate(zip(_blocks(len(weights)), _blocks(len(pairs)), strict=True)):
+        yield pa.RecordBatch.from_pylist(
+            [
+                {
+                    "part": part // ROUNDS, "block": b, "rows": _half(weights[r] - m.weights[r]), "row_squares": _half(np.sqrt(np.maximum(squares[r] - FIRST_SQUARE, 0))),
+                    "cells": _half(pairs[c].real - m.cells[c]), "cell_squares": _half(np.sqrt(np.maximum(pairs[c].imag - FIRST_CELL, 0))),
+                }
+            ],
+            schema=pa.schema([("part", pa.int64()), ("block", pa.int32()), *[(k, pa.binary()) for k in ("rows", "row_squares", "cells", "cell_squares")]]),
+        )
+
+
+def _merge(frame: pd.DataFrame) -> pd.DataFrame:
+    """Averages the changes of up to FAN parts of one block by their sums of squares, which are added up."""
+    out = {"part": [int(frame["part"].iloc[0]) // FAN], "block": [int(frame["block"].iloc[0])]}
+    for name, squares in (("rows", "row_squares"), ("cells", "cell_squares")):
+        total, weight = 0.0, 0.0
+        for c, q in zip(frame[name], frame[squares], strict=True):
+            w = np.square(np.frombuffer(q, dtype=np.float16).astype(np.float32))
+            total = total + np.frombuffer(c, dtype=np.float16).reshape(len(w), -1).astype(np.float32) * w[:, None]
+            weight = weight + w
+        out[name] = [_half(total / np.maximum(weight, 1e-30)[:, None])]
+        out[squares] = [_half(np.minimum(np.sqrt(weight), 60_000))]
+    return pd.DataFrame(out)
+
+
+def round_of_training(scratch: Scratch, texts: DataFrame, model: Model, turn: int) -> None:
+    """Trains the weights of `model` in place."""
     held = scratch.spark.sparkContext.broadcast(model)
-    known_ends = n.ends > 0
+    parts = scratch.table(texts.mapInArrow(lambda batches: local_updates(held, turn, batches), UPDATE_DDL))
+    while (parts.agg(F.max("part")).first()[0] or 0) > 0:
+        merged = scratch.table(parts.groupBy("block", F.floor(F.col("part") / FAN).alias("g")).applyInPandas(_merge, UPDATE_DDL))
+        scratch.release(parts)
+        parts = merged
+    rows = sorted(parts.select("block", "rows", "cells").collect(), key=lambda r: r["block"])
+    scratch.release(parts)
+    held.destroy()
+    if rows:
+        model.weights += np.concatenate([np.frombuffer(r["rows"], dtype=np.float16) for r in rows]).reshape(model.weights.shape).astype(np.float32)
+        model.cells += np.concatenate([np.frombuffer(r["cells"], dtype=np.float16) for r in rows]).astype(np.float32)
+
+
+# ------------------------------------------------------------------ scoring
+ENCODED = "held_out boolean, n_tokens long, head_known long, head_base double, ids binary, rare array<binary>, uses array<bigint>"
+
+
+def encoded(docs: DataFrame, held: Broadcast, known_ends: bool) -> DataFrame:
+    """(id, held_out, n_tokens, known head tokens, their base score, ids, rare words and their uses) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        ln10 = np.log(10)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                tokens = _texts(part)
-                ids, places, owner = _gather([m.encode(w) for w in tokens])
-                now, rows = ids[places], part.num_rows
-                known = (now < HEAD) | ((now == END) & known_ends)
-                head = now <= END
-                sums = [
-                    np.bincount(owner, minlength=rows),
-                    np.bincount(owner, weights=known, minlength=rows).astype(np.int64),
-                    np.bincount(owner[head], weights=m.base[now[head]], minlength=rows) / ln10,
-                    np.bincount(owner, weights=token_scores(m, ids, places), minlength=rows) / ln10,
-                ]
-                rare = [[] for _ in range(rows)]
-                starts = np.cumsum([0, *[len(w) + 1 for w in tokens]])
-                for k in np.flatnonzero(~head):
-                    rare[owner[k]].append(tokens[owner[k]][k - starts[owner[k]]])
-                tf = [Counter(w) for w in rare]
+            for at, to in byte_slices(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(at, to - at)
+                ids, offsets, flat = m.encode(part.column("text"))
+                rows, sizes = part.num_rows, np.diff(offsets)
+                owner = np.repeat(np.arange(rows), sizes)
+                head = ids < m.end
+                base = np.bincount(owner[head], weights=m.base[ids[head]], minlength=rows) + m.base[m.end]
+                outside = np.flatnonzero(~head)
+                coded = flat.take(pa.array(outside)).dictionary_encode()
+                pair, uses = np.unique(owner[outside] * np.int64(len(coded.dictionary) + 1) + coded.indices.to_numpy(), return_counts=True)
+                who, what = np.divmod(pair, len(coded.dictionary) + 1)
+                cuts = pa.array(np.searchsorted(who, np.arange(rows + 1)).astype(np.int32))
+                words = coded.dictionary.cast(pa.binary()).take(pa.array(what))
+                ends = np.insert(ids, offsets[1:], m.end).astype("<i4")  # each text's end behind its words
+                bounds = (offsets + np.arange(rows + 1)).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("id"), part.column("held_out"), *map(pa.array, sums),
-                        pa.array([list(c) for c in tf], pa.list_(pa.binary())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int64())),
+                        part.column("id"), part.column("held_out"), pa.array(sizes + 1, pa.int64()), pa.array(np.bincount(owner[head], minlength=rows) + known_ends, pa.int64()),
+                        pa.array(base / np.log(10)), pa.array([ends[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                        pa.ListArray.from_arrays(cuts, words), pa.ListArray.from_arrays(cuts, pa.array(uses, pa.int64())),
                     ],
-                    names=["id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare", "uses"],
+                    names=["id", "held_out", "n_tokens", "head_known", "head_base", "ids", "rare", "uses"],
                 )
 
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, {ENCODED}")
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+    """Trains on the documents of four fifths of the ids and scores all: id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score (log10). `head`: most words that the model knows by themselves."""
+    scratch = Scratch(df.sparkSession)
+    fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
+    docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), (fold == 1).alias("held_out"))
+    n = count(scratch, docs.where(~F.col("held_out")).select("text"), head)
+    model = fresh_model(n)
+    held = scratch.spark.sparkContext.broadcast(model)
+    rows = scratch.table(encoded(docs, held, n.ends > 0).withColumn("uid", F.monotonically_increasing_id()))
+    held.destroy()
+    training = rows.where(~F.col("held_out")).select("ids").coalesce(TRAINERS)
+    for turn in range(ROUNDS):
+        round_of_training(scratch, training, model, turn)
+    final = scratch.spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = final.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, TRAINED):
+                part = batch.slice(at, TRAINED)
+                ids, places, owner = _gather(m.first, _id_lists(part.column("ids")))
+                sums = np.bincount(owner, weights=token_scores(m, ids, places), minlength=part.num_rows) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(sums)], names=[*kept, "head_score"])
+
+    kept = ["uid", "id", "held_out", "n_tokens", "head_known", "head_base"]
     kind = dict(docs.dtypes)["id"]
-    schema = f"id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, rare array<binary>, uses array<bigint>"
-    scored = scratch.table(docs.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "uses")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.uses").alias("tf"))
+    scored = rows.select(*kept, "ids").mapInArrow(run, f"uid long, id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, head_score double")
+    scored = scratch.table(scored)
+    final.destroy()
+    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "uses")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.uses").alias("tf"))
     totals = F.create_map(*[F.lit(x) for c in range(CLASSES) for x in (c, n.rare.get(c, (0, 0))[0] + 0.5 * (n.rare.get(c, (0, 0))[1] + 1))])
     c = F.coalesce("c", F.lit(0))
     met = rare.join(n.table, "word", "left").select(
@@ -366,7 +547,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         (F.col("tf") * F.log10((c + 0.5) / F.element_at(totals, suffix_class(F.col("word"), n.keys)))).alias("inner"),
     )
     sums = met.groupBy("uid").agg(*[F.sum(k).alias(k) for k in ("known", "base", "inner")])
-    out = scored.drop("rare", "uses").join(sums, "uid", "left")
+    out = scored.join(sums, "uid", "left")
     zero = lambda k: F.coalesce(k, F.lit(0))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens",

@@ -86,6 +86,24 @@ def test_chunks_make_up_the_text(docs):
     assert rows.where(F.array_join(exact_dedup.chunks(F.col("t"), 16, 64), "") != F.col("t")).count() == 0
 
 
+def test_unspaced_texts_are_cut_by_content(spark):
+    """What is put before a text without spaces changes its first chunks only."""
+    rng = random.Random(2)
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "".join(map(chr, range(0x4E00, 0x9FA5))) + "。" * 1500):
+        x = "".join(rng.choice(letters) for _ in range(40_000))
+        df = spark.createDataFrame([(1, x), (2, "#" * 100 + x)], "doc_id long, text string")
+        a, b = (r.c for r in df.select("doc_id", exact_dedup.chunks(F.col("text")).alias("c")).orderBy("doc_id").collect())
+        assert len(a) > 8 and len(set(a) & set(b)) > len(a) / 2
+
+
+def test_exact_odd_ids(spark):
+    """Null ids, and ids on several rows with the same or with other texts."""
+    rows = [(None, "a"), (None, "b"), (None, "b"), (1, "a"), (2, "c"), (2, "c"), (2, "d"), (3, "d"), (4, "c"), (5, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("mine")).withColumn("again", F.lit(1))
+    got = collections.Counter((r.doc_id, r.text) for r in exact_dedup.keep_first(df).collect())
+    assert got == collections.Counter([(None, "b"), (1, "a"), (2, "c"), (2, "d"), (5, "e")])
+
+
 # ------------------------------------------------------------------ secret scans
 SECRETS = [
     "secret=token = abcdefgh", "api_key: 'abc'", 'x ToKen="A1b2C3d4E5f6" y', "AKIA" + "Z" * 20 + " AKIAshort", "a" * 23 + " " + "0f" * 15, "passwd := ab.cd/ef==", "é" * 9 + " hex " + "abcdef0123456789" * 2,
@@ -326,6 +344,14 @@ def test_packing(spark, docs, none):
     check_packing(odd, packing.pack(spark.createDataFrame(list(odd.items()), "doc_id long, text string"), WORDS).collect())
 
 
+def test_long_words_are_packed(spark):
+    """Texts without a space, of many tokens, and null ids."""
+    texts = {1: "日本語テキスト" * 3000, 2: "QUJDRA9+/" * 2000, None: "x y"}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), WORDS).collect()
+    check_packing(texts, rows)
+    assert max(r.doc_tokens for r in rows) > 4096
+
+
 def test_packed_sequences_hold_their_ids(spark, data, docs):
     """The texts' ids can be had back from the packed rows, in the query's and the pipeline's output too."""
     import corpus_pipeline as cp
@@ -379,6 +405,51 @@ def test_near_groups(spark, none, width):
     assert near_dedup.near_groups(none, width=width).count() == 0
 
 
+def test_near_odd_ids(spark):
+    """Null ids link nothing and stay; an id with several texts has a row for each."""
+    base = [f"w{k}" for k in range(60)]
+    a, b = " ".join(base), " ".join(base[:-1] + ["other"])
+    far = " ".join(f"z{k}" for k in range(60))
+    rows = [(None, a), (None, far), (5, a), (3, b), (7, a), (7, far), (8, far), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sha", F.lit(1)).withColumn("label", F.lit(2))
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(df).collect())
+    want = [(None, 56, None, True), (None, 56, None, True), (5, 56, 3, False), (3, 56, 3, True), (7, 56, 3, False), (7, 56, 7, True), (8, 56, 7, False), (None, 0, None, True)]
+    assert got == collections.Counter(want)
+    assert near_dedup.keep_representatives(df).columns == df.columns
+
+
+@pytest.mark.parametrize("few", [(0, 0, 0), (0, 2, 4)])
+def test_oversize_buckets_are_split(spark, monkeypatch, few):
+    """With hardly any members counted as few, buckets go through all rounds of centres and are split by later bands; no
+    link is lost."""
+    for name, value in (("SMALL", 3), ("FEW", few), ("AGED", 1), ("CHUNK", 16)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng, texts = random.Random(4), {}
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    for k in range(60):
+        x = list(base)
+        for _ in range(rng.choice((2, 5, 7, 9))):
+            x[rng.randrange(80)] = rng.choice(vocabulary)
+        texts[k] = " ".join(x)
+    want = near(texts, 2)
+    got = near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) > 3
+
+
+def test_shingle_sets_by_definition():
+    """Two sets share as many hashes as the texts share shingles."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(("a", "b", "ab", "ba", "é", "x" * 300)) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + ["", "a"]
+    for width in (2, 5):
+        sets = near_dedup.shingle_sets([t.encode() for t in texts], width)
+        plain = [frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []) for w in map(str.split, texts)]
+        for x, p in zip(sets, plain):
+            assert len(x) == len(p) and (np.diff(x.astype(object)) > 0).all()
+            for y, q in zip(sets, plain):
+                assert len(np.intersect1d(x, y)) == len(p & q)
+
+
 def test_registers_estimate():
     """The corrected share of equal registers is near the similarity; minima of unequal sets rarely agree."""
     mult, mix = near_dedup.multipliers(288)
@@ -423,8 +494,65 @@ def test_char_models_tell_classes_apart():
     good, bad = ([f"https://{word(x)}.com/{word(x)}" for _ in range(400)] for x in ("aeiourst", "xqzkwjvy"))
     judge = url_filter.UrlJudge(good[:300], bad[:300])
     assert (judge.probability(good[300:]) > 0.5).mean() > 0.98 and (judge.probability(bad[300:]) < 0.5).mean() > 0.98
-    model = url_filter.CharModel(["ab", "abc"], 2)
-    assert abs(sum(np.exp(model.log_likelihoods([chr(k) for k in range(128)]))) - 1) < 1
+
+
+def plain_markov(train, order):
+    """Log-probability by definition: counts in dictionaries, Witten-Bell down to a uniform law."""
+    counts = collections.defaultdict(collections.Counter)
+    lead = lambda u: [256] * order + list(u.encode()) + [257]
+    for u in train:
+        x = lead(u)
+        for i in range(order, len(x)):
+            for k in range(order + 1):
+                counts[tuple(x[i - k : i])][x[i]] += 1
+
+    def law(context, symbol):
+        p = 1 / 257
+        for k in range(order + 1):
+            seen = counts.get(tuple(context[len(context) - k :]))
+            if seen:
+                p = (seen[symbol] + len(seen) * p) / (seen.total() + len(seen))
+        return p
+
+    score = lambda u: sum(math.log(law(lead(u)[i - order : i], lead(u)[i])) for i in range(order, len(lead(u))))
+    return law, score
+
+
+def test_char_model_by_definition():
+    """Against dictionaries; the law of what follows a context sums to one."""
+    rng = random.Random(3)
+    urls = ["".join(rng.choice("abc/") for _ in range(rng.randrange(0, 12))) for _ in range(60)]
+    for order in (1, 3, 5):
+        law, score = plain_markov(urls[:40], order)
+        got = url_filter.CharModel(urls[:40], order).log_likelihoods(urls)
+        assert np.allclose(got, [score(u) for u in urls], rtol=1e-5)
+        for context in ([256] * order, list(b"abcab")[:order], list(b"zzzzz")[:order]):
+            assert abs(sum(law(context, x) for x in (*range(256), 257)) - 1) < 1e-9
+
+
+def test_verdicts_by_definition(spark):
+    """URLs without a rule are judged as the plain models and the calibration say; repeated rows alike."""
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    urls = [f"http://{word('aeio')}.org/fr/{word('aeio')}" for _ in range(60)] + [f"http://{word('xqzk')}.net/{word('xqzk')}" for _ in range(60)]
+    urls += [f"http://{word(rng.choice(('aeio', 'xqzk')))}.com/{word('aeioxqzk')}" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(urls + urls[-5:])), "page_id long, url string")
+    host, path = url_filter.parts(F.col("url"))
+    rule, verdict = url_filter.fitting_rule(host, path)
+    seeds = url_filter.labelled_sample(df.select("url", verdict.alias("verdict")), url_filter.SAMPLE)
+    fit, rest = ({k: v[a:b] for k, v in seeds.items() for a, b in ((cut(len(v))),)} for cut in (lambda n: (0, n * 4 // 5), lambda n: (n * 4 // 5, n)))
+    good, bad = (plain_markov(fit[k], url_filter.ORDER)[1] for k in ("allow", "block"))
+    gap = lambda u: (good(u) - bad(u)) / (len(u) + 1)
+    x = np.array([gap(u) for u in rest["allow"] + rest["block"]])
+    n, m = len(rest["allow"]), len(rest["block"])
+    a, b = url_filter._logistic(x, np.r_[np.ones(n), np.zeros(m)], np.r_[np.full(n, 0.5 / n), np.full(m, 0.5 / m)])
+    seen = collections.Counter()
+    for r in url_filter.judge_urls(df).collect():
+        u = (urls + urls[-5:])[r.page_id]
+        if r.rule is None and abs(a * gap(u) + b) > 1e-3:
+            assert r.verdict == ("allow" if a * gap(u) + b > 0 else "block")
+            seen[r.verdict] += 1
+    assert seen["allow"] > 5 and seen["block"] > 5
 
 
 # ------------------------------------------------------------------ WARC
@@ -448,6 +576,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived_pages(df.where("page_id < 0")).count() == 0
 
 
+def test_warc_odd_rows(spark):
+    """Null ids come last among equal payloads; rows repeated under the smallest id are each a response."""
+    rows = [(None, "u", "x"), (3, "u", "x"), (2, "u", "x"), (2, "u", "x"), (None, "u", "alone"), (None, None, None), (9, None, "")]
+    got = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and not any(r.error for r in got)
+    kinds = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got)
+    assert kinds == collections.Counter({(2, 1, "response", None): 2, (3, 1, "revisit", 2): 1, (None, 1, "revisit", 2): 1, (None, 5, "response", None): 1, (9, 0, "response", None): 1, (None, 0, "revisit", 9): 1})
+
+
 def test_warc_damage():
     w = warc.ArchiveWriter()
     for k in range(30):
@@ -526,16 +663,16 @@ def test_probabilities_sum_to_one():
     m, ids = small_model(random.Random(4))
     places = np.arange(3, len(ids))
     before = maxent_lm.token_scores(m, ids, places).sum()
-    weights, cells = m.weights.copy(), m.cells.copy()
-    squares = np.full(len(weights), 1e-3, dtype=np.float32), np.full(len(cells), 1e-3, dtype=np.float32)
+    weights, squares = m.weights.copy(), np.full(len(m.weights), 1e-3, dtype=np.float32)
+    pairs = np.full(len(m.cells), 1j, dtype=np.complex64)
     for at in (3, 50, 700):
         assert abs(all_probabilities(m, ids[:at]) - 1) < 1e-4
     for _ in range(5):
-        maxent_lm.train_batch(m, weights, squares[0], cells, squares[1], ids, places)
-    m.weights, m.cells = weights, cells
+        maxent_lm.train_batch(m, weights, squares, pairs, ids, places)
+    m.weights, m.cells = weights, pairs.real.copy()
     for at in (3, 50, 700):
         assert abs(all_probabilities(m, ids[:at]) - 1) < 1e-4
-    assert maxent_lm.token_scores(m, ids, places).sum() > before and np.abs(cells).max() > 0 and np.abs(weights).max() > 0
+    assert maxent_lm.token_scores(m, ids, places).sum() > before and np.abs(m.cells).max() > 0 and np.abs(weights).max() > 0
 
 
 def test_scores_against_the_definition():
@@ -549,11 +686,16 @@ def test_scores_against_the_definition():
         h = maxent_lm.feature_hashes(ids, np.array([p]))[:, 0].tolist()
         z = m.bias + sum(m.weights[x >> (64 - len(m.weights).bit_length() + 1)] for x in h)
         want = z[m.cls[ids[p]]] - math.log(np.exp(z.astype(float)).sum())
-        for k in range(m.start[ids[p]], m.start[ids[p]] + m.size[ids[p]]):
+        begin, slot = None, 1
+        for depth, k in enumerate(range(m.start[ids[p]], m.start[ids[p]] + m.size[ids[p]])):
             node, side = int(m.nodes[k]), m.bits[k]
-            cells = [(((x >> 16) % 2**32 ^ (node * 0xB66859FD % 2**32)) * 0x9E3779B1 % 2**32) >> (33 - len(m.cells).bit_length()) for x in h]
+            if depth % 4 == 0:
+                begin, slot = node, 1
+            bits = len(m.cells).bit_length() - 1
+            cells = [16 * ((((x >> 16) % 2**32 ^ (begin * 0xB66859FD % 2**32)) * 0x9E3779B1 % 2**32) >> (32 - (bits - 4))) + slot for x in h]
             odds = float(m.node_bias[node]) + sum(float(m.cells[c]) for c in cells)
             want -= math.log1p(math.exp(-odds if side else odds))
+            slot = 2 * slot + int(side)
         assert abs(want - have) < 1e-3
 
 
@@ -583,6 +725,26 @@ def test_language_model_odd_rows(spark, docs):
 
 
 # ------------------------------------------------------------------ pipeline
+def test_pipeline_stages_on_odd_rows(spark, docs, none, data):
+    """Nulls in every column, empty, long and repeated texts, repeated rows, clashing columns, and an empty table."""
+    import corpus_pipeline as cp
+
+    stage = dict(cp.STAGES)
+    twice = docs.unionByName(docs.where("doc_id in (6, 9)"))
+    assert {r.doc_id for r in stage["quality_rules"](spark, twice, data).collect()} <= set(TEXTS)
+    exact = stage["exact_dedup"](spark, twice, data)
+    assert exact.columns == docs.columns and sorted(r.doc_id for r in exact.collect()) == [1, 3, 5, 6, 7, 8, 9, 10]
+    near_ = stage["near_dedup"](spark, twice, data)
+    assert near_.columns == docs.columns
+    # Texts 1, 2 and 11 have the same words, so do 7 and 8; those without words link with nothing; repeated rows stay.
+    assert sorted(r.doc_id for r in near_.collect()) == [1, 3, 4, 5, 6, 6, 7, 9, 9, 10, 12]
+    masked = stage["secret_scan"](spark, twice, data)
+    assert masked.dtypes == docs.dtypes and masked.count() == twice.count()
+    assert stage["packing"](spark, docs, data).select("doc_id").distinct().count() == docs.count()
+    for name, f in cp.STAGES:
+        assert f(spark, none, data).count() == 0, name
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as cp
 
