@@ -4,16 +4,20 @@ A document's set of word shingles is hashed once for each register (bucket); the
 is kept as HyperMinHash keeps it: the number of leading zeros (5 bits) and the 11 bits that follow the leading one.
 Registers are banded; documents with equal compressed registers in a band become candidates. A candidate pair's
 similarity is estimated from equal registers, corrected for the registers that unequal minima share by chance
-(`collision_rate`), and pairs that could reach the threshold are verified on their full shingle sets. With 48
-bands of 6 registers a pair at 0.8 is missed with probability 5e-7, and the estimate's margin of 5.5 standard
-deviations adds less.
-
-No bucket of a band is expanded into all pairs. Equal texts are one vertex. In a large bucket every member is
-compared with a few centres; a centre that has met all leaves. Members that are already in one component need no
-more comparison with one another, so only pairs across components go on, and all of these are compared in the
-end: no link between components is skipped. Components come from label propagation with pointer jumping over
-verified links; links, labels and buckets stay in tables. Tables that a hot key is joined by are written before,
-so that both sides are exchanged and Spark can split the large partitions.
+(`collision_rate`), and pairs that could reach the threshold are verified on their full shingle sets (as 64-bit
+hashes). With 48 bands of 6 registers a pair at 0.8 shares 12.6 bands on average and none with probability 5e-7; the
+estimate's margin of 4.5 standard deviations adds 3e-6.
+
+No bucket of a band is expanded into all pairs. Equal texts are one vertex. Members of a bucket that are already in
+one component need no comparison with one another. A small bucket's other pairs are estimated, then verified. In a
+large bucket some members, the centres, meet all others where these lie, chunk by chunk, in numpy: first by sketch; then
+those that met one that is near enough bring their full sets, and out come only links that join components not
+yet joined in that chunk, so at most one per member and centre, however dense the bucket is. Once the members outside the bucket's largest component are few, all of them are centres,
+and a pair is compared only in the first band that it shares; after that no pair of the bucket is left. A bucket in which they stay many is split by the
+keys of the later bands: a pair then needs one more shared band (missed with probability 8e-6 at the first
+split, 7e-5 at the second), and this goes on until the parts are small. Components come from
+label propagation with pointer jumping over verified links; links, labels and buckets stay in tables, which go when
+the next round has its own.
 
 Skew: groups of equal texts and large buckets are joined by (key, salt).
 
@@ -25,9 +29,9 @@ with a null id have a null component and are kept; they link nothing. An empty t
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,44 +39,87 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, lower_ascii, salt, spread, text_or_empty, words
-from inkveil.llm.quality import let
+from inkveil.llm.common import Scratch, byte_slices, salt, spread
 
 BANDS, ROWS = 48, 6
 MANTISSA = 11
-#: Buckets up to this size are compared in full.
+#: Standard deviations below the threshold at which an estimate still goes to verification.
+MARGIN = 4.5
+#: Buckets up to this size are compared pair by pair.
 SMALL = 24
 #: Bands of the first round.
 FIRST_BANDS = 8
-#: Members of a large bucket that are compared with its centres at a time.
-CHUNK = 512
-#: Most centres of a bucket in a round.
-MOST_CENTRES = 1024
-#: Candidate ids up to this number are broadcast to find their texts; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def shingle_hashes(ws: Column, width: int) -> Column:
-    """The distinct 64-bit hashes of the shingles of the words `ws`; the whole sequence where there are fewer."""
-
-    def run(h: Column) -> Column:
-        n = F.size(h) - (width - 1)
-        out = F.slice(h, F.lit(1), n)
-        for k in range(1, width):
-            out = F.zip_with(out, F.slice(h, F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))
-        return F.array_distinct(out)
-
-    return (
-        F.when(F.size(ws) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(ws) < width, F.array(F.xxhash64(F.concat_ws(" ", ws))))
-        .otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), run))
-    )
-
-
-def document_sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc, sha, grams): sha is of the lower-cased words joined by spaces, so equal word sequences share it."""
-    rows = df.select(F.col(id_col).alias("doc"), words(lower_ascii(text_or_empty(text_col))).alias("ws"))
-    return rows.select("doc", F.sha2(F.concat_ws(" ", "ws"), 256).alias("sha"), shingle_hashes(F.col("ws"), width).alias("grams"))
+#: Members, and shingles of members, that are compared with centres at a time; centres of a block likewise.
+CHUNK, CHUNK_ITEMS = 512, 1_000_000
+#: In rounds 0, 1, 2 and later: how many members outside a bucket's largest component are few.
+FEW = (0, 64, 512)
+#: Rounds of four centres after which a bucket with more than these is split.
+AGED = 3
+#: Ids up to this number (some 60 bytes each, 12 MB) are broadcast to find their rows; more are joined by shuffle.
+BROADCAST_IDS = 200_000
+#: Bytes of text that are hashed at a time.
+SLICE_BYTES = 2 << 20
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+_LETTERS = np.random.default_rng(70).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts whose words are parted by single spaces, and the places at which each text's begin.
+
+    A word's hash is the sum over its bytes of a random number per byte value times a power of an odd number per place."""
+    flat = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    ends = np.flatnonzero(flat == 32)
+    counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], dtype=np.int64)
+    starts = np.r_[0, ends[:-1] + 1]
+    sizes = ends - starts
+    real = sizes > 0  # an empty text leaves one word of no bytes
+    starts, sizes = starts[real], sizes[real]
+    offsets = np.r_[0, np.cumsum(counts)]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), offsets
+    powers = np.multiply.accumulate(np.full(int(sizes.max()) + 1, _STEP))
+    letters = flat != 32
+    bytes_ = flat[letters]
+    first = np.cumsum(sizes) - sizes
+    values = _LETTERS[bytes_]
+    values *= powers[np.arange(len(bytes_)) - np.repeat(first, sizes)]
+    return _mixed(np.add.reduceat(values, first) + sizes.astype(np.uint64)), offsets
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text, of words parted by single spaces, the sorted distinct 64-bit hashes of its shingles; of all its words
+    together, where there are fewer than `width`."""
+    words_, offsets = word_hashes(texts)
+    n = max(0, len(words_) - width + 1)
+    grams = words_[:n].copy()
+    for k in range(1, width):
+        grams = _mixed(grams * _STEP + words_[k : k + n])
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(grams[a : b - width + 1]))
+        elif b > a:
+            h = words_[a : a + 1]
+            for k in range(a + 1, b):
+                h = _mixed(h * _STEP + words_[k : k + 1])
+            out.append(_mixed(h + np.uint64(b - a)))
+        else:
+            out.append(np.zeros(0, dtype=np.uint64))
+    return out
+
+
+def _normal(text: bytes | None) -> bytes:
+    """The lower-cased words parted by single spaces. For bytes, `lower` and `split` know ASCII alone: A to Z, and space, tab to return."""
+    return b" ".join((text or b"").lower().split())
 
 
 def multipliers(registers: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,37 +148,44 @@ def registers(grams: np.ndarray, mult: np.ndarray, mix: np.ndarray, block: int =
     return compress(least)
 
 
-def sketches(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc, sha, n, sketch, keys): n the set's size, sketch the registers as bytes, keys one 64-bit key per band."""
-    mult, mix = multipliers(bands * rows)
-    fold = np.random.default_rng(72).integers(0, 1 << 63, (bands, rows), dtype=np.uint64) | np.uint64(1)
-    tag = np.random.default_rng(73).integers(0, 1 << 63, bands, dtype=np.uint64)
+def sketches(docs: DataFrame, width: int, count: int) -> DataFrame:
+    """(doc, sha, n, sketch) of rows (doc, text): sha is of the lower-cased words joined by spaces, so that equal word
+    sequences share it; n is the size of the set of shingles, sketch its registers as bytes."""
+    mult, mix = multipliers(count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in byte_slices(batch.column("text"), SLICE_BYTES):
+                texts = [_normal(t) for t in batch.column("text")[at:to].to_pylist()]
+                sets = shingle_sets(texts, width)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc")[at:to], pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([registers(s, mult, mix).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                    ],
+                    names=["doc", "sha", "n", "sketch"],
+                )
+
+    return docs.select("doc", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc {dict(docs.dtypes)['doc']}, sha binary, n long, sketch binary")
+
+
+def sets_of(rows: DataFrame, width: int) -> DataFrame:
+    """(v, grams): the set of each row (v, sha, text) whose text has the hash `sha`, as sorted 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = batch.column("grams")
-            flat, offs = grams.values.to_numpy(zero_copy_only=False), grams.offsets.to_numpy()
-            sizes, sketch, keys = [], [], []
-            for a, b in zip(offs[:-1], offs[1:], strict=True):
-                sizes.append(int(b - a))
-                if a == b:
-                    sketch.append(b"")
-                    keys.append(np.zeros(0, dtype=np.int64))
-                    continue
-                reg = registers(np.ascontiguousarray(flat[a:b]), mult, mix)
-                sketch.append(reg.tobytes())
-                k = (reg.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * fold
-                k = np.bitwise_xor.reduce(k ^ (k >> np.uint64(29)), axis=1) * np.uint64(0x9E3779B97F4A7C15) + tag
-                keys.append((k ^ (k >> np.uint64(31))).view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("sha"), pa.array(sizes, pa.int64()), pa.array(sketch, pa.binary()), lists],
-                names=["doc", "sha", "n", "sketch", "keys"],
-            )
-
-    kind = dict(sets.dtypes)["doc"]
-    return sets.mapInArrow(run, f"doc {kind}, sha string, n long, sketch binary, keys array<bigint>")
+            for at, to in byte_slices(batch.column("text"), SLICE_BYTES):
+                texts = [_normal(t) for t in batch.column("text")[at:to].to_pylist()]
+                same = [hashlib.sha256(t).digest() == s for t, s in zip(texts, batch.column("sha")[at:to].to_pylist(), strict=True)]
+                sets = shingle_sets([t for t, ok in zip(texts, same, strict=True) if ok], width)
+                yield pa.RecordBatch.from_arrays([batch.column("v")[at:to].filter(pa.array(same)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "grams"])
+
+    return rows.select("v", "sha", F.col("text").cast("binary").alias("text")).mapInArrow(run, "v long, grams binary")
+
+
+def band_keys(sketch: str, bands: int, rows: int) -> Column:
+    """One 64-bit key per band: a hash of the band's registers."""
+    return F.array(*[F.xxhash64(F.lit(b), F.substring(F.col(sketch), 2 * rows * b + 1, 2 * rows)) for b in range(bands)])
 
 
 def collision_rate(n: float, m: float) -> float:
@@ -149,7 +203,7 @@ def collision_rate(n: float, m: float) -> float:
 def estimator(threshold: float, count: int):
     """A function of (shares of equal registers, sizes, sizes): which corrected estimates could reach `threshold`. Sets
     of too unequal sizes cannot."""
-    margin = 5.5 * math.sqrt(threshold * (1 - threshold) / count)
+    margin = MARGIN * math.sqrt(threshold * (1 - threshold) / count)
     table = np.array([[collision_rate(2.0**i, 2.0**j) for j in range(33)] for i in range(33)])
 
     def close(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -159,36 +213,111 @@ def estimator(threshold: float, count: int):
     return close
 
 
+def at_ends(pairs: DataFrame, rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Joins columns of the table `rows` (by vertex v) to both ends of `pairs`; both are tables, see above."""
+    for end in "ab":
+        pairs = pairs.join(rows.select(F.col("v").alias(end), *[F.col(k).alias(n + end) for k, n in names.items()]), end)
+    return pairs
+
+
+PAIR = "a long, b long, la long, lb long"
+
+
 def estimate_at_least(pairs: DataFrame, threshold: float, count: int) -> DataFrame:
-    """Of (a, b, na, nb, sa, sb), sa and sb sketches, the pairs whose corrected estimate could reach `threshold`."""
+    """Of the pairs with sizes na, nb and sketches sa, sb those whose corrected estimate could reach `threshold`."""
     close = estimator(threshold, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sa, sb = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, count) for k in ("sa", "sb")
-            )
+            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, count) for k in ("sa", "sb"))
             keep = close((sa == sb).mean(axis=1), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(keep))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "la", "lb", "na", "nb", "sa", "sb").mapInArrow(run, PAIR)
 
 
-def at_ends(pairs: DataFrame, rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Joins columns of the table `rows` (by vertex v) to both ends of `pairs`; both are tables, see above."""
-    for end in "ab":
-        pairs = pairs.join(rows.select(F.col("v").alias(end), *[F.col(k).alias(n + end) for k, n in names.items()]), end)
-    return pairs
+def met_in_buckets(members: DataFrame, centres: DataFrame, sketched: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """Which members and centres of a bucket have an estimate that could reach the threshold with one of the other kind
+    and another component: (key, chunk, block, centre, v, label).
 
+    members: (key, band, level, v, label, whole, parts, blocks); centres: (key, c, c_label, block). A chunk of a bucket's
+    members meets one block of its centres at a time."""
+    count = bands * rows
+    held = members.withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(5)), F.col("parts")).cast("int")).join(sketched, "v")
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spans = members.select("key", "parts").distinct()
+    stars = centres.join(spans, "key").join(sketched.select(F.col("v").alias("c"), F.col("n").alias("m"), F.col("sketch").alias("mark")), "c")
+    stars = stars.select("key", "block", "c", "c_label", "m", "mark", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"))
+    close = estimator(threshold, count)
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of vertices whose full sets have 100 * intersection >= percent * union."""
-    full = at_ends(pairs, sets, {"grams": "g"})
-    shared = F.size(F.array_intersect("ga", "gb"))
-    full = full.select("a", "b", (F.size("ga") + F.size("gb")).alias("total"), shared.alias("shared"))
-    return full.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    def run(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[x.split()[0] for x in MET.split(", ")])
+        label, n = left["label"].to_numpy(), left["n"].to_numpy()
+        band, level, whole = int(left["band"].iloc[0]), int(left["level"].iloc[0]), bool(left["whole"].iloc[0])
+        mine = np.frombuffer(b"".join(left["sketch"]), dtype=np.uint16).reshape(-1, count)
+        met, goals = np.zeros(len(n), dtype=bool), np.zeros(len(right), dtype=bool)
+        for k, (c_label, m, mark) in enumerate(zip(right["c_label"], right["m"], right["mark"], strict=True)):
+            at = np.flatnonzero(label != c_label)
+            equal = mine[at] == np.frombuffer(mark, dtype=np.uint16)
+            keep = close(equal.mean(axis=1), n[at], np.full(len(at), m))
+            if whole:
+                keep &= equal[:, : rows * (band + 1)].reshape(len(at), band + 1, rows).all(axis=2).sum(axis=1) == level
+            met[at[keep]] = True
+            goals[k] = keep.any()
+        ids, labels = np.r_[left["v"][met], right["c"][goals]], np.r_[label[met], right["c_label"][goals]]
+        return pd.DataFrame({"key": group[0], "chunk": group[1], "block": group[2], "centre": np.arange(len(ids)) >= met.sum(), "v": ids, "label": labels})
+
+    by = ("key", "chunk", "block")
+    held = held.select(*by, "band", "level", "whole", "v", "label", "n", "sketch")
+    return held.groupBy(*by).cogroup(stars.groupBy(*by)).applyInPandas(run, MET)
+
+
+MET = "key long, chunk int, block int, centre boolean, v long, label long"
+
+
+def as_met(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, la, lb) in the form of `met_in_buckets`: a is the centre of its own."""
+    place = [F.col("a").alias("key"), F.lit(0).alias("chunk"), F.lit(-1).alias("block")]
+    centres = pairs.select(*place, F.lit(True).alias("centre"), F.col("a").alias("v"), F.col("la").alias("label")).distinct()
+    return pairs.select(*place, F.lit(False).alias("centre"), F.col("b").alias("v"), F.col("lb").alias("label")).union(centres)
+
+
+def star_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (la, lb) of components, verified on full sets, that join what the links between the centres and the members
+    of `met`, a table, join; links within what a chunk has joined are left out. Only the sets that are wanted move."""
+    wanted_ids = met.select("v").distinct()
+    few = wanted_ids.count() <= BROADCAST_IDS
+    sets = sets.join(F.broadcast(wanted_ids) if few else wanted_ids, "v", "left_semi")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        side = group["centre"].to_numpy()
+        left, right = group[~side], group[side]
+        label, c_labels = left["label"].to_numpy(), right["label"].to_numpy()
+        n = np.array([len(g) // 8 for g in left["grams"]], dtype=np.int64)
+        items, place = np.unique(np.frombuffer(b"".join(left["grams"]), dtype=np.uint64), return_inverse=True)
+        first, wanted = np.cumsum(n) - n, np.zeros(len(items), dtype=bool)
+        _, root = np.unique(np.r_[label, c_labels], return_inverse=True)
+        own, theirs = root[: len(n)], root[len(n) :]
+        for k, goal in enumerate(right["grams"]):
+            goal = np.frombuffer(goal, dtype=np.uint64)
+            spot = np.minimum(np.searchsorted(items, goal), len(items) - 1)
+            spot = spot[items[spot] == goal]
+            wanted[spot] = True
+            shared = np.add.reduceat(wanted[place], first, dtype=np.int64)
+            wanted[spot] = False
+            at = np.flatnonzero((100 * shared >= percent * (n + len(goal) - shared)) & (own != theirs[k]))
+            joined, which = np.unique(own[at], return_index=True)
+            if len(joined):
+                out.append(np.stack([label[at[which]], np.full(len(which), c_labels[k])], axis=1))
+                own[np.isin(own, joined)] = theirs[k]
+                theirs[np.isin(theirs, joined)] = theirs[k]
+        return pd.DataFrame(np.concatenate(out), columns=["la", "lb"])
+
+    return met.join(sets, "v").groupBy("key", "chunk", "block").applyInPandas(run, "la long, lb long")
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -201,116 +330,105 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         near = labels.join(heard.withColumnRenamed("a", "v"), "v").select("v", "label", F.least("label", "m").alias("next"))
         roots = labels.select(F.col("v").alias("next"), F.col("label").alias("root"))
         fresh = scratch.table(near.join(roots, "next").select("v", F.col("label").alias("old"), F.least("next", "root").alias("label")))
-        moved = not fresh.where("label < old").isEmpty()
-        labels = fresh.select("v", "label")
-        if not moved:
-            return labels
+        scratch.release(labels)
+        labels = fresh
+        if fresh.where("label < old").isEmpty():
+            scratch.release(arcs)
+            return fresh
 
 
-def bucket_members(scratch: Scratch, vertices: DataFrame) -> DataFrame:
-    """(key, band, v): the members of band buckets that hold at least two. The keys are written first: Spark then splits
-    the join's large partitions, should a key be frequent."""
-    every = vertices.select("v", F.posexplode("keys").alias("band", "key"))
+def shared_keys(scratch: Scratch, every: DataFrame) -> DataFrame:
+    """Of the memberships (key, band, level, age, v) those of buckets that hold at least two. The keys are written first:
+    Spark then splits the join's large partitions, should a key be frequent."""
     shared = scratch.table(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    return scratch.table(every.join(shared, "key").select("key", "band", "v"))
-
-
-def pairs_with_centres(members: DataFrame, centres: DataFrame, sketched: DataFrame, threshold: float, count: int) -> DataFrame:
-    """Distinct pairs a < b of a bucket's centre and another member in another component whose estimate could reach the
-    threshold. centres: (key, c, c_label), at most MOST_CENTRES to a bucket; members: (key, v, label, size). A bucket is
-    compared in chunks of about CHUNK members, each with all of the bucket's centres, sketch by sketch in numpy."""
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = members.withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(5)), parts).cast("int")).join(sketched, "v")
-    spans = members.select(F.col("key").alias("k"), parts.alias("parts")).distinct()
-    marks = sketched.select(F.col("v").alias("c"), F.col("n").alias("m"), F.col("sketch").alias("mark"))
-    stars = centres.select(F.col("key").alias("k"), "c", "c_label").join(marks, "c").join(spans, "k")
-    stars = stars.select("k", "c", "c_label", "m", "mark", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    close = estimator(threshold, count)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            v, label, n = (left[k].to_numpy() for k in ("v", "label", "n"))
-            mine = np.frombuffer(b"".join(left["sketch"]), dtype=np.uint16).reshape(-1, count)
-            for c, c_label, m, sketch in zip(right["c"], right["c_label"], right["m"], right["mark"], strict=True):
-                at = np.flatnonzero(label != c_label)
-                equal = (mine[at] == np.frombuffer(sketch, dtype=np.uint16)).mean(axis=1)
-                met = v[at[close(equal, n[at], np.full(len(at), m))]]
-                out.append(np.stack([np.minimum(met, c), np.maximum(met, c)], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
-
-    rows = rows.select("key", "chunk", "v", "label", "n", "sketch")
-    met = rows.groupBy("key", "chunk").cogroup(stars.groupBy("k", "part")).applyInPandas(run, "a long, b long")
-    return met.distinct()
+    out = scratch.table(every.join(shared, "key"))
+    scratch.release(shared)
+    return out
 
 
 def pick_centres(wide: DataFrame, step: int) -> DataFrame:
-    """(key, c, c_label): up to four members of each bucket: the one of most links, the first and the last by
-    component, and one by chance."""
-    order = F.xxhash64("v", F.lit(step))
+    """(key, c, c_label, block): up to four members of each bucket: the first and the last by component, and two by chance."""
+    order = F.xxhash64("v", F.lit(step)).alias("o")
     picked = wide.groupBy("key").agg(
-        F.max(F.struct("links", order.alias("o"), "v", "label")).alias("p0"),
-        F.min(F.struct("label", "v")).alias("p1"),
-        F.max(F.struct("label", "v")).alias("p2"),
-        F.min(F.struct(order.alias("o"), "v", "label")).alias("p3"),
-    )
+        F.min(F.struct("label", order, "v")).alias("p0"), F.max(F.struct("label", order, "v")).alias("p1"),
+        F.min(F.struct(order, "v", "label")).alias("p2"), F.max(F.struct(order, "v", "label")).alias("p3"),
+    )
     four = F.array(*[F.struct(F.col(f"p{k}.v").alias("c"), F.col(f"p{k}.label").alias("c_label")) for k in range(4)])
-    return picked.select("key", F.explode(F.array_distinct(four)).alias("x")).select("key", "x.c", "x.c_label")
+    return picked.select("key", F.explode(F.array_distinct(four)).alias("x")).select("key", "x.c", "x.c_label", F.lit(0).alias("block"))
 
 
-def near_components(scratch: Scratch, vertices: DataFrame, sets_of, percent: int, registers_: int) -> DataFrame | None:
-    """(v, label) of the vertices that share a bucket, or None. vertices: (v, n, sketch, keys); sets_of(ids) gives
-    (v, grams) for a table of v.
+def near_components(scratch: Scratch, vertices: DataFrame, sets_for, percent: int, bands: int, rows: int) -> DataFrame | None:
+    """(v, label) of the vertices that share a bucket, or None. vertices: (v, n, sketch); sets_for(ids) gives (v, grams)
+    for the rows (v) of a table.
 
-    The first round is over a few bands. A bucket of at most SMALL members is compared in full, once. In a larger one, up
-    to four centres meet all members. Then, over all bands, all members outside the bucket's largest component are centres, if they are few: after that no pair of the
-    bucket across components is left. If they are many, four centres go on, and what counts as few grows fourfold.
-    Pairs whose estimate is under the threshold's margin are not links and go no further."""
-    members = bucket_members(scratch, vertices)
+    The first round is over a few bands, and pairs a small bucket's members with one of them only; most members of a family
+    are joined there, at few comparisons. Then all bands and all pairs follow. A bucket that has been compared in full leaves; so does one whose members are in one component."""
+    every = vertices.select("v", F.posexplode(band_keys("sketch", bands, rows)).alias("band", "key"))
+    members = shared_keys(scratch, every.select("key", "band", F.lit(1).alias("level"), F.lit(0).alias("age"), "v"))
     if members.isEmpty():
         return None
     ids = scratch.table(members.select("v").distinct())
-    sets = scratch.table(sets_of(ids))
+    sets = scratch.table(sets_for(ids))
     sketched = scratch.table(vertices.join(ids, "v", "left_semi").select("v", "n", "sketch"))
-    labels = ids.select("v", F.col("v").alias("label"))
-    # The first round is over a few bands: most members of a family are joined there, at few comparisons.
-    state = members.where(F.col("band") < FIRST_BANDS).select("key", "v", F.col("v").alias("label"), F.lit(0).cast("long").alias("links"))
-    every: list[DataFrame] = []
-    step, few = 0, 0
+    labels = scratch.table(ids.select("v", F.col("v").alias("label")))
+    state, step = members.where(F.col("band") < FIRST_BANDS), 0
+    written: list[DataFrame] = []
     while True:
-        parts = state.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
-        parts = parts.agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("n"))
-        parts = scratch.table(parts.where("n > 1").select("key", "size", F.col("top.label").alias("big"), (F.col("size") - F.col("top.c")).alias("minor")))
-        open_ = scratch.table(state.join(parts, "key"))
+        few = FEW[min(step, len(FEW) - 1)]
+        wide = state.join(labels, "v").join(sketched.select("v", "n"), "v")
+        wide = scratch.table(wide)
+        parts = wide.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("items")).groupBy("key")
+        parts = parts.agg(F.sum("c").alias("size"), F.sum("items").alias("items"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
+        parts = parts.where("labels > 1").select("key", "size", "items", F.col("top.label").alias("big"), (F.col("size") - F.col("top.c")).alias("minor"))
+        parts = scratch.table(parts)
+        open_ = scratch.table(wide.drop("n").join(parts, "key"))
+        scratch.release(wide, parts, *written)
         if open_.isEmpty() and step:
-            break
+            scratch.release(open_, sets, sketched, members, ids)
+            return labels
         small = open_.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("v", "label")).alias("m"))
         mates = F.filter("m", lambda y: (F.col("x.v") < y["v"]) & (F.col("x.label") != y["label"]))
-        cross = small.select(F.explode("m").alias("x"), "m").select("x.v", F.explode(mates).alias("y")).select(F.col("v").alias("a"), F.col("y.v").alias("b"))
-        large = open_.where(F.col("size") > SMALL)
-        last, going = large.where(F.col("minor") <= few), large.where(F.col("minor") > few)
-        centres = last.where("label <> big").select("key", F.col("v").alias("c"), F.col("label").alias("c_label"))
-        centres = scratch.table(centres.union(pick_centres(going, step)))
-        star = pairs_with_centres(large.select("key", "v", "label", "size"), centres, sketched, percent / 100, registers_)
-        near = estimate_at_least(at_ends(scratch.table(cross.distinct()), sketched, {"n": "n", "sketch": "s"}), percent / 100, registers_)
-        pairs = scratch.table(near.union(star).distinct())
-        found = scratch.table(verified(pairs, sets, percent))
-        every.append(found)
+        if step:
+            cross = small.select(F.explode("m").alias("x"), "m").select("x", F.explode(mates).alias("y"))
+        else:
+            cross = small.select(F.sort_array("m").alias("m")).select(F.get("m", F.lit(0)).alias("x"), F.explode(F.slice("m", 2, SMALL)).alias("y"))
+        cross = cross.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+        cross = scratch.table(cross.distinct())
+        near = estimate_at_least(at_ends(cross, sketched, {"n": "n", "sketch": "s"}), percent / 100, bands * rows)
+        whole = (F.col("minor") <= few) | (F.col("band") == bands - 1)
+        mean = F.col("items") / F.col("size")
+        parts_of = lambda n: F.ceil(F.greatest(n / CHUNK, n * mean / CHUNK_ITEMS)).cast("int")
+        large = open_.where(F.col("size") > SMALL).withColumn("whole", whole).withColumn("parts", parts_of(F.col("size")))
+        large = large.withColumn("blocks", F.when(F.col("whole"), parts_of(F.col("minor"))).otherwise(1))
+        going = large.where("not whole")
+        block = F.pmod(F.xxhash64("v", F.lit(6)), F.col("blocks")).cast("int")
+        centres = large.where("whole and label <> big").select("key", F.col("v").alias("c"), F.col("label").alias("c_label"), block.alias("block"))
+        centres = scratch.table(centres.unionByName(pick_centres(going.where(F.col("age") < AGED), step)))
+        met = large.where(F.col("whole") | (F.col("age") < AGED))
+        met = met_in_buckets(met, centres, sketched, percent / 100, bands, rows)
+        near = scratch.table(near)
+        met = scratch.table(met.union(as_met(near)))
+        found = scratch.table(star_links(met, sets, percent).distinct())
         # Components of the links' labels, a small graph, carry the labels on.
-        at = found
-        for end in "ab":
-            at = at.join(labels.select(F.col("v").alias(end), F.col("label").alias(f"l{end}")), end)
-        joined = components(scratch, at.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
-        labels = labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
-        labels = scratch.table(labels.select("v", F.coalesce("to", "label").alias("label")))
-        ends = reduce(DataFrame.union, [x.select(F.col(k).alias("v")) for x in every for k in "ab"]).groupBy("v").agg(F.count("*").alias("links"))
-        # A centre has met all others of its bucket and leaves it.
-        rest = going.select("key", "v").join(centres.select("key", F.col("c").alias("v")), ["key", "v"], "left_anti")
-        rest = rest if step else members.select("key", "v")
-        rest = rest.join(labels, "v").join(scratch.table(ends), "v", "left")
-        state = scratch.table(rest.select("key", "v", "label", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
-        step, few = step + 1, min(MOST_CENTRES, 64 << (2 * step))
-    return labels
+        if not found.isEmpty():
+            joined = components(scratch, found.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            fresh = labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
+            fresh = scratch.table(fresh.select("v", F.coalesce("to", "label").alias("label")))
+            scratch.release(joined, labels)
+            labels = fresh
+        keep = going.where(F.col("age") < AGED).select("key", "band", "level", F.col("age") + 1, "v")
+        if not step:
+            keep = keep.union(open_.where(F.col("size") <= SMALL).select("key", "band", "level", "age", "v"))
+            keep = keep.union(members.where(F.col("band") >= FIRST_BANDS).select("key", "band", "level", "age", "v"))
+        split = scratch.table(going.where(F.col("age") >= AGED).select("key", "band", "level", "v"))
+        written = [open_, split]
+        if step >= AGED and not split.isEmpty():
+            finer = split.join(sketched.select("v", "sketch"), "v").select("key", "band", "level", "v", F.posexplode(band_keys("sketch", bands, rows)).alias("later", "also"))
+            finer = finer.where("later > band").select(F.xxhash64("key", "also").alias("key"), F.col("later").alias("band"), F.col("level") + 1, F.lit(1).alias("age"), "v")
+            finer = shared_keys(scratch, finer.toDF("key", "band", "level", "age", "v"))
+            keep, written = keep.union(finer), [*written, finer]
+        state, step = keep.toDF("key", "band", "level", "age", "v"), step + 1
+        scratch.release(cross, near, centres, met, found)
 
 
 def near_groups(
@@ -321,33 +439,36 @@ def near_groups(
     scratch = Scratch(spark)
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    sketched = sketches(document_sets(docs, "doc", "text", width), bands, rows)
-    sketched = scratch.table(sketched.withColumn("v", F.monotonically_increasing_id()))
+    sketched = scratch.table(sketches(docs, width, bands * rows).withColumn("v", F.monotonically_increasing_id()))
     light = sketched.select("doc", "sha", "n", "v").withColumn("__salt", salt(spark, "v"))
     first = F.struct(F.col("doc").isNull().alias("no"), "doc", "v")
     partial = light.groupBy("sha", "__salt").agg(F.min(first).alias("f"), F.max("n").alias("n"))
     groups = partial.groupBy("sha").agg(F.min("f").alias("f"), F.max("n").alias("n"))
     groups = scratch.table(groups.select("sha", F.col("f.doc").alias("rep"), "f.v", "n"))
-    vertices = scratch.table(
-        sketched.join(groups.where("n > 0 and rep is not null").select("v"), "v", "left_semi").select("v", "n", "sketch", "keys")
-    )
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = scratch.table(groups.join(ids, "v", "left_semi").select(F.col("rep").alias("doc"), F.col("sha").alias("of"), "v"))
+    # Sketches stay where they are, as long as those that are not to be vertices (copies, empty texts) are few.
+    chosen = groups.where("n > 0 and rep is not null").select("v")
+    others = scratch.table(light.select("v").join(chosen, "v", "left_anti"))
+    few_others = others.count() <= BROADCAST_IDS
+    vertices = sketched.join(F.broadcast(others), "v", "left_anti") if few_others else sketched.join(chosen, "v", "left_semi")
+    vertices = scratch.table(vertices.select("v", "n", "sketch"))
+
+    def sets_for(ids: DataFrame) -> DataFrame:
+        wanted = scratch.table(groups.join(ids, "v", "left_semi").select(F.col("rep").alias("doc"), "sha", "v"))
         few = wanted.count() <= BROADCAST_IDS
-        held = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc")
-        found = held.select("v", "of", words(lower_ascii(text_or_empty("text"))).alias("ws"))
-        found = found.where(F.sha2(F.concat_ws(" ", "ws"), 256) == F.col("of"))
-        return found.select("v", shingle_hashes(F.col("ws"), width).alias("grams"))
+        once = sets_of(docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc"), width)
+        return once.dropDuplicates(["v"]) if repeated else once
 
-    labels = near_components(scratch, vertices, sets_of, percent, bands * rows)
+    # Ids of several rows: a text may be found more than once.
+    repeated = not docs.where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty()
+    labels = near_components(scratch, vertices, sets_for, percent, bands, rows)
+    scratch.release(vertices, others)
     if labels is None:
         named = groups.select("sha", F.col("rep").alias("component"))
     else:
         # A component's id is the least document id of its groups.
-        linked = groups.select("sha", "rep", "v").join(labels, "v")
+        linked = scratch.table(groups.select("sha", "rep", "v").join(labels, "v"))
         least = scratch.table(linked.groupBy("label").agg(F.min("rep").alias("least")))
-        linked = scratch.table(linked.select("sha", "label")).join(least, "label").select("sha", "least")
+        linked = linked.select("sha", "label").join(least, "label").select("sha", "least")
         named = groups.join(linked, "sha", "left").select("sha", F.coalesce("least", "rep").alias("component"))
     out = spread(light, scratch.table(named), "sha", "__salt")
     component = F.when((F.col("n") == 0) | F.col("doc").isNull(), F.col("doc")).otherwise(F.col("component"))
