@@ -13,6 +13,7 @@ from inkveil.llm.exact_dedup import exact_groups
 from inkveil.llm.maxent_lm import score
 from inkveil.llm.near_dedup import near_groups
 from inkveil.llm.packing import pack
+from inkveil.llm.prefix_trie import prefix_trie
 from inkveil.llm.quality import STOP_WORDS, quality
 from inkveil.llm.secret_scan import scan
 from inkveil.llm.sharding import document_shards
@@ -64,6 +65,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cutting_stock_packing": op1_cutting_stock_packing,
     "op2_url_filter": op2_url_filter,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,4 +132,23 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT arcs.b, r.m FROM r JOIN arcs ON arcs.a = r.v),
         c AS (SELECT v, min(m) AS component_id FROM r GROUP BY v)
         SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.v = n.doc_id""",
+    "op11_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, sha256(strlen(r)::VARCHAR || ':' || r || x)) AS ts FROM t GROUP BY conv_id),
+        b AS (SELECT DISTINCT conv_id, flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i:
+                     list_transform(range(0, 8), lambda j: (ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT >> j) & 1))) AS bits FROM o),
+        h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda c, k:
+                     xor(c >> 1, 3988292384::BIGINT * (xor(c, k) & 1))), 4294967295) % 9 AS h FROM b),
+        s AS (SELECT o.conv_id, list_concat(coalesce(f.ts, [])[1:h.h], o.ts[h.h + 1:]) AS ts
+              FROM o JOIN h USING (conv_id) LEFT JOIN o f ON f.conv_id = o.conv_id - o.conv_id % 5),
+        p AS (SELECT conv_id, unnest(range(0, len(ts) + 1)) AS d, ts FROM s),
+        n AS MATERIALIZED (SELECT ts[1:d] AS v, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+              sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ts) = d), '')) AS ends_sha256 FROM p GROUP BY ALL),
+        k AS (SELECT v[1:d - 1] AS v, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+        m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * strlen(n.v[n.d].x) ELSE 0 END AS saved
+              FROM n LEFT JOIN k ON k.d = n.d AND k.v = n.v),
+        u AS (SELECT v[1:e] AS v, e AS d, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+              FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM m) GROUP BY ALL)
+        SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens, m.ends_sha256
+        FROM m JOIN u ON u.d = m.d AND u.v = m.v LEFT JOIN m q ON q.d = m.d - 1 AND q.v = m.v[1:m.d - 1]""",
 }
