@@ -17,6 +17,7 @@ from inkveil.llm.prefix_trie import prefix_trie
 from inkveil.llm.quality import STOP_WORDS, quality
 from inkveil.llm.secret_scan import scan
 from inkveil.llm.sharding import document_shards
+from inkveil.llm.substring_dedup import substring_dedup
 from inkveil.llm.url_filter import judge_urls
 from inkveil.llm.warc import archived_pages
 
@@ -69,6 +70,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cutting_stock_packing": op1_cutting_stock_packing,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,4 +157,13 @@ ORACLE_SQL: dict[str, str] = {
               FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM m) GROUP BY ALL)
         SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens, m.ends_sha256
         FROM m JOIN u ON u.d = m.d AND u.v = m.v LEFT JOIN m q ON q.d = m.d - 1 AND q.v = m.v[1:m.d - 1]""",
+    "op12_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, r, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+        m AS (SELECT r, i FROM g QUALIFY coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY win)),
+        c AS (SELECT DISTINCT r, i + k AS i FROM m, (SELECT unnest(range(0, 13)) AS k)),
+        w AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+        k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN c USING (r, i) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (r)""",
 }
