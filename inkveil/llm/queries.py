@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkveil.llm.bpe import round_trip
+from inkveil.llm.collocations import collocations
 from inkveil.llm.common import table
 from inkveil.llm.exact_dedup import exact_groups
 from inkveil.llm.maxent_lm import score
@@ -74,6 +75,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cutting_stock_packing": op1_cutting_stock_packing,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -166,4 +172,21 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN c USING (r, i) GROUP BY r)
         SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (r)""",
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+        u AS (SELECT lang, ws, count(*) AS times FROM p GROUP BY ALL),
+        t AS (SELECT lang, sum(len(ws) * times)::BIGINT AS n FROM u GROUP BY lang),
+        x AS (SELECT lang, ws, times, n, unnest(range(1, len(ws) - n + 2)) AS i FROM u, (SELECT unnest([1, 2, 3, 4]) AS n)),
+        f AS MATERIALIZED (SELECT lang, ws[i:i + n - 1] AS ws, n, sum(times)::BIGINT AS f FROM x GROUP BY ALL HAVING sum(times) >= 30),
+        c AS (SELECT lang, ws, n, f AS a, unnest(range(1, n)) AS k FROM f WHERE n > 1),
+        s AS (SELECT c.lang, c.ws, c.a, c.k, l.f AS l, r.f AS r, (2000000 * c.a::HUGEINT) // (l.f::HUGEINT + r.f) AS score
+              FROM c JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:k] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[k + 1:]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+        i AS (SELECT lang, ws[j:j + m - 1] AS ws, max(f) AS longer FROM (SELECT *, unnest(range(1, n - m + 2)) AS j
+              FROM f, (SELECT unnest([2, 3]) AS m) WHERE m < n) GROUP BY ALL),
+        o AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.ws = b.ws
+              WHERE NOT coalesce(100 * longer::HUGEINT >= 80 * a::HUGEINT, false)),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM z JOIN t USING (lang) WHERE rank <= 2000""",
 }
