@@ -161,9 +161,9 @@ class Sweep:
         wide = np.flatnonzero(opened[j])
         yield self._batch("open", part, [path_key(j[x], at[x]) for x in wide], [path_key(j[x], at[x] - 1) if at[x] else None for x in wide], least[j][wide], at[wide],
                           pa.nulls(len(wide), pa.int64()), members[wide], np.where(deep, kids[j], 1)[wide], leaves[j][wide], all_summed[wide], all_dist[wide], None)
-        last = [(path_key(k, int(depth[k])), c) for k in np.flatnonzero(opened) for c in own[k]]
+        last = [k for k in np.flatnonzero(opened) if own[k]]
         if last:
-            yield self._batch("end", part, [k for k, _ in last], None, np.array([c for _, c in last]))
+            yield self._batch("end", part, [path_key(k, int(depth[k])) for k in last], None, *[None] * 8, [",".join(map(str, own[k])) for k in last])
         edge = self._batch("edge", part, [self.keys[0]], [self.keys[-1]], sizes=[self.flat[: lens[0]].tolist()])
         yield edge
 
@@ -211,20 +211,20 @@ def shared_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ends_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 over the ids of each key as a stream of sorted rows; no group is held."""
+    """SHA-256 over the ids of each key as a stream of the partitions' shares, in their order; no group is held."""
     key, state = None, None
 
     def told() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([state.hexdigest()])], names=["key", "ends"])
 
     for batch in batches:
-        for k, c in zip(batch["key"].to_pylist(), batch["conv_id"].to_pylist(), strict=True):
+        for k, ids in zip(batch["key"].to_pylist(), batch["ends"].to_pylist(), strict=True):
             if k != key:
                 if key is not None:
                     yield told()
-                key, state = k, hashlib.sha256(str(c).encode())
+                key, state = k, hashlib.sha256(ids.encode())
             else:
-                state.update(f",{c}".encode())
+                state.update(f",{ids}".encode())
     if key is not None:
         yield told()
 
@@ -244,7 +244,7 @@ def prefix_trie(df: DataFrame) -> DataFrame:
     shares = opens.unionByName(edges.mapInArrow(shared_edges, SWEPT))
     merged = shares.groupBy("key", "depth").agg(F.min("conv_id").alias("conv_id"), F.max("parent_key").alias("parent_key"), *sums)
     merged = scratch.table(merged)
-    own = swept.where("kind = 'end'").select("key", "conv_id").repartition("key").sortWithinPartitions("key", "conv_id")
+    own = swept.where("kind = 'end'").select("key", "part", "ends").repartition("key").sortWithinPartitions("key", "part")
     own = own.mapInArrow(ends_digest, "key binary, ends string")
     ids = merged.select("key", "conv_id")
     wide = merged.join(own, "key", "left").join(ids.toDF("parent_key", "parent_conv_id"), "parent_key", "left")
