@@ -1,7 +1,7 @@
 """All queries of the engine and their SQL, by name."""
 
-from inkveil.plans import documents, operations, records
+from inkveil.plans import documents, files, operations, records
 
-MODULES = (documents, operations, records)
+MODULES = (documents, operations, records, files)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

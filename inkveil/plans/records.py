@@ -8,7 +8,6 @@ from inkveil.functions import scalars as S
 from inkveil.operators import records as K
 from inkveil.plans.documents import DETECTED, KEY, _hmac_sql, pages_of, rule_detections
 from inkveil.plans.operations import JOBS_SQL, _jobs, _utc, now
-from inkveil.sources.documents import TextReader, load, probe
 from inkveil.sources.tables import split_words, table
 
 ACTIONS = ("submit", "finalize", "manifest", "result")
@@ -235,27 +234,6 @@ def q_newest_days(spark, sf_dir):
     return days.orderBy(F.desc("date")).limit(31).withColumn("place", F.row_number().over(Window.orderBy(F.desc("date"))))
 
 
-def _files(spark, sf_dir):
-    """Documents as files of a few pages (the first sixty words, thirty to a page), and files that cannot be taken."""
-    k, ws = F.col("doc_id"), split_words(F.col("text"))
-    two = F.concat(F.array_join(F.slice(ws, 1, 30), " "), F.lit("\f"), F.array_join(F.slice(ws, 31, 30), " "))
-    way = k % 8
-    content = F.when(way == 1, F.lit(b"")).when(way == 2, F.concat(F.lit(b"LOCKED"), two.cast("binary"))).when(way == 3, F.lit(b"\xff\xfe"))
-    content = content.when(way == 4, F.concat(two, F.lit("\f"), two).cast("binary")).when(way == 5, F.lit(b"\f")).when(way == 6, F.concat(F.lit("\f"), two).cast("binary"))
-    name = F.concat(F.lit("in/"), k.cast("string"), F.when(way == 0, ".exe").when(way == 7, ".TXT").otherwise(".txt"))
-    return table(spark, sf_dir, "documents").select(name.alias("path"), content.otherwise(two.cast("binary")).alias("content"))
-
-
-def q_load_documents(spark, sf_dir):
-    rows = load(_files(spark, sf_dir), {".txt": TextReader()}, max_pages=3)
-    ends = F.element_at("words", -1)["box"]
-    return rows.select("path", "page_index", "width", "height", F.size("words").alias("n_words"), F.when(F.size("words") > 0, ends["x2"]).alias("x2"), F.when(F.size("words") > 0, ends["y2"]).alias("y2"), "error_code")
-
-
-def q_probe_documents(spark, sf_dir):
-    return probe(_files(spark, sf_dir), {".txt": TextReader()})
-
-
 QUERIES = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
 
 NOW = "TIMESTAMP '1998-06-01 12:00:00'"
@@ -263,19 +241,7 @@ RESULTS = """results AS (SELECT left(sha256(doc_id::VARCHAR), 16) AS evaluation_
     (doc_id % 1000) / 8 AS elapsed_seconds, doc_id % 3 AS rd, doc_id % 5 % 2 AS rm, doc_id % 17 = 0 AS failed FROM documents)"""
 PAGES = "p AS (SELECT doc_id, unnest(range(greatest(1, ceil(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) / 600)::BIGINT))) AS page_index FROM documents)"
 
-FILES = """f AS (SELECT doc_id % 8 AS way, 'in/' || doc_id || CASE doc_id % 8 WHEN 0 THEN '.exe' WHEN 7 THEN '.TXT' ELSE '.txt' END AS path,
-        least(30, len(ws)) AS a, least(30, greatest(0, len(ws) - 30)) AS b FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
-    g AS (SELECT *, CASE way WHEN 4 THEN [a, b, a, b] WHEN 5 THEN [0, 0] WHEN 6 THEN [0, a, b] WHEN 7 THEN [a, b] ELSE [] END AS ns,
-                 CASE way WHEN 0 THEN 'unsupported_file_type' WHEN 1 THEN 'document_empty' WHEN 2 THEN 'pdf_password_protected' WHEN 3 THEN 'pdf_unreadable' WHEN 4 THEN 'too_many_pages' END AS error_code FROM f)"""
-
 ORACLE_SQL = {
-    "load_documents": f"""WITH {FILES}, p AS (SELECT path, unnest(range(len(ns)))::INT AS page_index, unnest(ns)::INT AS n FROM g WHERE error_code IS NULL)
-        SELECT path, page_index, 612 AS width, 792 AS height, n AS n_words, CASE WHEN n > 0 THEN round_even(1000 * (51.0::DOUBLE * ((n - 1) % 12) + 45) / 612, 0)::INT END AS x2,
-               CASE WHEN n > 0 THEN round_even(1000 * (12.0::DOUBLE * ((n - 1) // 12) + 9) / 792, 0)::INT END AS y2, NULL::VARCHAR AS error_code FROM p
-        UNION ALL SELECT path, NULL, NULL, NULL, 0, NULL, NULL, error_code FROM g WHERE error_code IS NOT NULL""",
-    "probe_documents": f"""WITH {FILES}, h AS (SELECT path, way, ns, list_distinct([ns[1] > 0, ns[least(2, len(ns))] > 0, ns[len(ns)] > 0]) AS seen FROM g)
-        SELECT path, CASE WHEN way IN (0, 2, 3) THEN NULL ELSE len(ns) END::INT AS page_count,
-               CASE WHEN len(ns) = 0 THEN 'unknown' WHEN len(seen) > 1 THEN 'mixed' WHEN seen[1] THEN 'digital' ELSE 'scanned' END AS text_kind FROM h""",
     "status_gates": f"""WITH {JOBS_SQL}, a AS (SELECT unnest(['submit', 'finalize', 'manifest', 'result']) AS action),
         g AS (SELECT action, CASE action
             WHEN 'submit' THEN CASE WHEN status = 'awaiting_upload' THEN 'do' WHEN status IN ('failed', 'deleted', 'expired') THEN 'job_not_submittable' ELSE 'same' END

@@ -299,23 +299,29 @@ def test_documents_by_adapter(spark):
     from inkveil.sources import documents as L
 
     class Picture:
-        def pages(self, content):
+        def page_count(self, content):
             if content == b"bad":
                 raise L.DocumentError("image_unreadable")
-            yield L.Page(100, 50 if content else 10**9, needs_ocr=True)
+            return len(content)
+
+        def page(self, content, numbers):
+            return [L.Page(100, 50 if content != b"w" else 10**9, needs_ocr=True) for _ in numbers]
+
+        def pages(self, content):
+            yield from self.page(content, range(len(content)))
 
     class Ocr:
         def words(self, content, page):
-            return [("seen", 0.0, 0.0, 50.0, 25.0)]
+            return [(("seen", 0.0, 0.0, 50.0, 25.0), 50.0)]
 
-    rows = [("a.PNG", b"x"), ("b.png", b"bad"), ("c.png", b""), ("d.txt", b"one two\fthree"), ("e.txt", None), ("none", b"x"), ("f.txt", b"a\fb\fc")]
+    rows = [("a.PNG", b"x"), ("b.png", b"bad"), ("c.png", b"w"), ("e.png", None), ("none", b"x"), ("f.png", b"abc")]
     files_ = spark.createDataFrame(rows, "path string, content binary")
-    readers = {".png": Picture(), ".txt": L.TextReader()}
+    readers = {".png": Picture()}
     got = {(r.path, r.page_index): r for r in L.load(files_, readers, Ocr(), max_pages=2).collect()}
     errors = {p: r.error_code for (p, k), r in got.items() if k is None}
-    assert errors == {"b.png": "image_unreadable", "c.png": "page_dimensions_too_large", "e.txt": "document_empty", "none": "unsupported_file_type", "f.txt": "too_many_pages"}
+    assert errors == {"b.png": "image_unreadable", "c.png": "page_dimensions_too_large", "e.png": "document_empty", "none": "unsupported_file_type", "f.png": "too_many_pages"}
     (w,) = got["a.PNG", 0].words
-    assert (w.text, w.source, tuple(w.box)) == ("seen", "ocr", (0, 0, 500, 500)) and [x.text for x in got["d.txt", 0].words] == ["one", "two"]
+    assert (w.text, w.source, tuple(w.box)) == ("seen", "ocr", (0, 0, 500, 500))
     assert {r.error_code for r in L.load(files_.where("path = 'a.PNG'"), readers).collect()} == {"ocr_unavailable"}
     kinds = {r.path: (r.page_count, r.text_kind) for r in L.probe(files_, readers).collect()}
-    assert kinds["a.PNG"] == (1, "scanned") and kinds["d.txt"] == (2, "digital") and kinds["b.png"] == (None, "unknown") and kinds["e.txt"] == (0, "unknown")
+    assert kinds["a.PNG"] == (1, "scanned") and kinds["b.png"] == (None, "unknown") and kinds["e.png"] == (0, "unknown")
