@@ -103,7 +103,7 @@ ITEM = ("doc_id", "page_index", "item_ord", "text", "category")
 
 def on_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Items with their page's words. Items that were made from pages carry them (`ws`, `norms`) and need no join."""
-    rows = items if "ws" in items.columns else items.select(*ITEM).join(pages, ["doc_id", "page_index"])
+    rows = items if "ws" in items.columns else items.select(*ITEM).join(pages.select("doc_id", "page_index", "ws", "norms"), ["doc_id", "page_index"])
     return rows.select(*ITEM, "ws", "norms", once(value=target(F.col("text"))).alias("t")).select(*ITEM, "t.value", "ws", "norms")
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.scalars import detection_id, let, ssn_like, ssn_token, touches
-from inkveil.operators.anchor import anchor, anchored_boxes, page_words
+from inkveil.functions.scalars import detection_id, fragments, let, ssn_like, ssn_token, target, touches
+from inkveil.operators.anchor import SIMILAR, anchor, anchored_boxes, page_words
 from inkveil.schemas import CATEGORY_OF_ANSWER, PROPAGATED, TAXPAYER_IDS
+from inkveil.sources.scratch import written
 from inkveil.sources.tables import gathered
 
 #: Fixed patterns of the rule provider, by category.
@@ -125,11 +128,47 @@ def anchor_counts(anchored: DataFrame, sources: DataFrame | None = None) -> Data
     return out.join(from_text, ["doc_id", "page_index"]).withColumn("read_again", F.col("read_again") & F.col("__pdf")).drop("__pdf")
 
 
+def value_pieces(value: str) -> list[str]:
+    """Pieces of a value, one of which stands whole in any run of words that is SIMILAR to it: such a run differs by an edit
+    in each 4.5 letters at most, and there is one piece more than edits."""
+    edits = int(len(value) * (200 - 2 * SIMILAR) / SIMILAR + 1e-9)
+    at = [k * len(value) // (edits + 1) for k in range(edits + 2)]
+    return [value[i:j] for i, j in zip(at, at[1:], strict=False) if j > i]
+
+
+def possible_pages(values: pa.Table, pages: pa.Table) -> pa.Table:
+    """A document's values on the pages that could hold them: one pass of an automaton of all values' pieces over each page."""
+    automaton, of_piece = ahocorasick.Automaton(), {}
+    for k, parts in enumerate(values["parts"].to_pylist()):
+        for part in parts:
+            for piece in value_pieces(part):
+                of_piece.setdefault(piece, set()).add(k)
+    for piece, own in of_piece.items():
+        automaton.add_word(piece, own)
+    automaton.make_automaton()
+    at_page, at_value = [], []
+    for row, norms in enumerate(pages["norms"]):
+        hits = set().union(*(own for _, own in automaton.iter("".join(norms.as_py())))) if of_piece else set()
+        at_page += [row] * len(hits)
+        at_value += sorted(hits)
+    where, what = pa.array(at_page, pa.int64()), pa.array(at_value, pa.int64())
+    number = pa.array([0] * len(at_page), pa.int32())
+    columns = [pages["doc_id"].take(where), pages["page_index"].take(where), number, values["text"].take(what), values["category"].take(what)]
+    return pa.table(columns, names=["doc_id", "page_index", "item_ord", "text", "category"])
+
+
 def propagated_items(items: DataFrame, pages: DataFrame, categories=PROPAGATED) -> DataFrame:
-    """Each different value of the spreading categories, as an item of every page of its document."""
+    """Each different value of the spreading categories, as an item of the pages of its document that could hold it. A
+    document's pages, of which there are `MAX_PAGES` at most, meet its values once; a page and a value that share no piece
+    make no row."""
     values = items.where(F.col("category").isin(*categories)).select("doc_id", "text", "category").distinct()
-    out = values.join(pages.select("doc_id", "page_index"), "doc_id")
-    return out.select("doc_id", "page_index", F.lit(0).alias("item_ord"), "text", "category")
+    parts = F.filter(F.concat(F.array(target(F.col("text"))), F.transform(fragments(F.col("text")), target)), lambda t: F.length(t) > 1)
+    values = values.where(F.length(target(F.col("text"))) > 1).withColumn("parts", parts)
+    own = pages.select("doc_id", "page_index", "norms").join(values.select("doc_id").distinct(), "doc_id", "left_semi")
+    kinds = dict(own.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, page_index {kinds['page_index']}, item_ord int, text string, category string"
+    told = values.select(F.col("doc_id").alias("of_doc"), "text", "category", "parts")
+    return told.groupBy("of_doc").cogroup(own.groupBy("doc_id")).applyInArrow(possible_pages, schema)
 
 
 def ssn_net(words: DataFrame) -> DataFrame:
@@ -175,15 +214,36 @@ def merged(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "c.id", "page_index", "category", F.struct("c.x1", "c.y1", "c.x2", "c.y2").alias("box"), "c.confidence", "c.source", "c.members")
 
 
-def detect(words: DataFrame, provider: ItemProvider) -> DataFrame:
+def second_look(pages: DataFrame, provider: ItemProvider, read_again: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(pages, anchored) after pages that hold under half of their items were read again, by OCR say: `read_again` makes new
+    pages (doc_id, page_index, words) of those alone, which alone go to the provider once more; what they had is replaced."""
+    read = read_pages(pages)
+    first = written(anchor(provider.items(read), read))
+    flagged = written(anchor_counts(first, pages).where("read_again").select("doc_id", "page_index"))
+    key = ["doc_id", "page_index"]
+    again = written(read_again(pages.join(flagged, key, "left_semi")).select(*key, "words"))
+    seen = read_pages(again)
+    second = written(anchor(provider.items(seen), seen))
+    kept = pages.select(*key, "words").join(flagged, key, "left_anti").unionByName(again)
+    return kept, first.join(flagged, key, "left_anti").unionByName(second)
+
+
+def detect(words: DataFrame, provider: ItemProvider, read_again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The whole chain: items, anchors, propagation over the document, the identifier net, merging. `words` may be pages
-    (`text_pages`). A provider that names its `categories`, none of which spreads, saves the propagation."""
+    (`text_pages`). A provider that names its `categories`, none of which spreads, saves the propagation. With `read_again`,
+    pages whose text layer does not hold what was found are looked at once more (`second_look`)."""
     pages = gathered(words)
-    read = read_pages(pages)
-    items = provider.items(read)
-    found = detections(anchored_boxes(anchor(items, read)), 0.9, "model")
-    if set(getattr(provider, "categories", PROPAGATED)) & set(PROPAGATED):
-        spread = anchor(propagated_items(items, read), read.drop("text"))
+    spreads = bool(set(getattr(provider, "categories", PROPAGATED)) & set(PROPAGATED))
+    if read_again is not None:
+        pages, anchored = second_look(pages, provider, read_again)
+    else:
+        read = read_pages(pages)
+        anchored = anchor(provider.items(read), read)
+        anchored = written(anchored) if spreads else anchored
+    found = detections(anchored_boxes(anchored), 0.9, "model")
+    if spreads:
+        read = page_words(pages)
+        spread = anchor(propagated_items(anchored, read), read)
         found = found.unionByName(detections(anchored_boxes(spread), 0.85, "model"))
     return merged(found.unionByName(detections(ssn_net(pages), 0.95, "regex")))
 

@@ -295,6 +295,42 @@ def q_propagate(spark, sf_dir):
     return out.groupBy(F.col("doc_id").alias("conv_id"), F.col("page_index").alias("turn")).agg(F.count("*").alias("boxes"), F.countDistinct("word_idx").alias("n_words"))
 
 
+def q_detect_spreading(spark, sf_dir):
+    """The whole chain over conversations, a page a turn, by a provider of names (each turn's first words), which spread
+    over the conversation."""
+
+    class Titles:
+        categories = ("person_name",)
+
+        def items(self, pages):
+            first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+            rows = pages.where("size(ws) > 0")
+            return rows.select("doc_id", "page_index", F.lit(0).alias("item_ord"), first.alias("text"), F.lit("person_name").alias("category"))
+
+    found = D.detect(_turns(spark, sf_dir), Titles())
+    return found.groupBy(F.col("doc_id").alias("conv_id"), "category", "confidence").agg(F.count("*").alias("findings"), F.countDistinct("page_index").alias("turns"))
+
+
+def q_second_detection(spark, sf_dir):
+    """Every third document's text layer says something else than its pages show, where the provider finds its items all the same.
+    Such pages are read again; what is found then are the boxes of all documents."""
+    true = pages_of(spark, sf_dir)
+    rules = D.RuleProvider()
+    items = rules.items(D.read_pages(true)).drop("ws", "norms")
+
+    class Seen(D.TableProvider):
+        categories = rules.categories
+
+    wrong = F.transform("words", lambda w: F.when(F.col("doc_id") % 3 == 0, w.withField("text", F.lit("zz"))).otherwise(w))
+
+    def by_ocr(pages):
+        shown = true.withColumn("words", F.transform("words", lambda w: w.withField("source", F.lit("ocr"))))
+        return shown.join(pages.select("doc_id", "page_index"), ["doc_id", "page_index"], "left_semi")
+
+    found = D.detect(true.withColumn("words", wrong), Seen(items), by_ocr)
+    return found.groupBy("doc_id", "category").agg(F.count("*").alias("findings"), F.countDistinct("page_index").alias("pages"))
+
+
 def customer_words(spark, sf_dir):
     """Words with identifiers in all shapes, made of customers' keys."""
     k = F.col("c_custkey")
@@ -522,6 +558,7 @@ ORACLE_SQL = {
         e AS (SELECT doc_id, page_index, category, unnest(cs) AS c FROM (SELECT doc_id, page_index, category, max_by(cs, rn) AS cs FROM f GROUP BY ALL))
         SELECT doc_id, page_index, category, c.confidence AS confidence, c.members AS members, c.x1 AS x1, c.y1 AS y1, c.x2 AS x2, c.y2 AS y2 FROM e""",
     "detect_document": f"""WITH {DETECTED} SELECT doc_id, category, 'model' AS source, count(*) AS findings, count(DISTINCT page_index) AS pages, 0.9::DOUBLE AS confidence FROM det GROUP BY ALL""",
+    "second_detection": f"""WITH {DETECTED} SELECT doc_id, category, count(*) AS findings, count(DISTINCT page_index) AS pages FROM det GROUP BY ALL""",
     "fail_closed_tin": f"""WITH {CUSTOMER}, lost AS (SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 5 = 0)
         SELECT doc_id, 1::BIGINT AS unanchored, CASE WHEN doc_id IN (SELECT doc_id FROM net) THEN 0 ELSE 1 END::BIGINT AS unanchored_ids,
                CASE WHEN doc_id NOT IN (SELECT doc_id FROM net) THEN 'detection_unanchored' END AS error_code FROM lost""",
