@@ -1,11 +1,12 @@
 """Collocations: phrases of two to four words that occur more often than their parts let expect, per language.
 
 Texts are cut into pieces at punctuation and line ends; identical pieces become one with a multiplicity, so that copies are
-counted and not read again. Tasks read chunks of pieces and code each chunk's n-grams by pairs (an n-gram is the code of its
-first n - 1 words and its last word), so that only a chunk's different n-grams become strings, with their summed weights.
-These go, packed, to the partition of their hash, where duckdb sums them out of core: it aggregates from a stream, under a
-memory limit, and spills to the task's own temporary folder. What occurs fewer than `MIN_COUNT` times is no candidate nor part of one
-and ends there.
+counted and not read again. Tasks read chunks of pieces and number each chunk's words, so that n-grams are numbers and only a
+chunk's different ones become strings, with their summed weights. These go, packed, to the partition of their hash, where
+duckdb sums them out of core: it aggregates from a stream, under a memory limit, and spills to the task's own temporary folder. What
+occurs fewer than `MIN_COUNT` times is no candidate nor part of one and ends there. Words and pairs of words are counted
+first; three and four words only where every pair in them is frequent, which a bit map of bounded size tells. It may let too many
+pass, never too few.
 
 A candidate asks for the counts of the parts of each of its cuts: requests are shuffled to the part's count by (part, salt),
 so a part that very many candidates share is answered in many places. Products are decimals of 38 digits.
@@ -20,11 +21,14 @@ from __future__ import annotations
 import shutil
 import tempfile
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,10 +36,11 @@ from pyspark.sql.window import Window
 from inkveil.llm.common import Scratch, lower_ascii, salt, salts, spread, text_or_empty
 
 CUTS = "[.,;:!?\\x0A-\\x0D]"
-LONGEST = 4
 MIN_COUNT = 30
 TOP = 2000
 CHUNK_WORDS = 1_000_000
+#: The bit map of frequent pairs has at most 2 ** 28 bits, 32 MB.
+PAIR_BITS = 28
 PART_BYTES = 16 << 20
 DUCKDB_MEMORY = "256MB"
 
@@ -54,86 +59,156 @@ def pieces(df: DataFrame) -> DataFrame:
     return rows.select("lang", piece.alias("piece")).where("piece != ''").groupBy("lang", "piece").agg(F.count("*").alias("times"))
 
 
-def _summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different codes as numbers from 0: a place of each, its weight, and the number at each place."""
-    _, first, number = np.unique(codes, return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, number, weights)
-    return first, total, number
+class Words(dict):
+    """A language's words in a chunk, numbered over all its languages as they come."""
+
+    def __init__(self, chunk: Chunk, lang: str):
+        super().__init__()
+        self.chunk, self.place, self.seed = chunk, len(chunk.langs), zlib.crc32(lang.encode())
+        chunk.langs.append(lang)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.chunk.words)
+        self.chunk.words.append(word)
+        self.chunk.lang_of.append(self.place)
+        self.chunk.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
+        return number
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64 bits over all 64 (splitmix64's finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of n-grams from those of their words, one array for each place."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
 
 
 class Chunk:
-    """Words of pieces, held until there are enough of them to be counted together."""
+    """Numbers of the words of pieces, held until there are enough of them to be counted together."""
 
-    def __init__(self, parts: int):
-        self.parts, self.langs, self.units = parts, {}, {}
+    def __init__(self) -> None:
+        self.langs: list[str] = []
+        self.by_lang: dict[str, Words] = {}
         self.words: list[bytes] = []
-        self.codes: list[int] = []
-        self.ends: list[int] = []
-        self.times: list[int] = []
+        self.lang_of: list[int] = []
+        self.hashes: list[int] = []
+        self.codes, self.ends, self.times = array("i"), array("q"), array("q")
 
     def add(self, lang: str, piece: bytes, times: int) -> None:
-        units = self.units.setdefault(lang, {})
-        own = self.langs.setdefault(lang, len(self.langs))
-        words = piece.split(b" ")
-        # a word of a language is one unit, so that n-grams of different languages have different codes
-        self.codes += [units.setdefault(w, (own << 32) + len(units)) for w in words]
-        self.words += words
-        self.ends.append(len(self.words))
+        words = self.by_lang.get(lang)
+        if words is None:
+            words = self.by_lang[lang] = Words(self, lang)
+        self.codes.extend(map(words.__getitem__, piece.split(b" ")))
+        self.ends.append(len(self.codes))
         self.times.append(times)
 
-    def packed(self) -> Iterator[pa.RecordBatch]:
-        """The chunk's different n-grams with their weights, one row for each length and partition."""
-        ends = np.array(self.ends)
+    def packed(self, parts: int, pairs: Pairs | None) -> Iterator[pa.RecordBatch]:
+        """The chunk's different n-grams with their weights, a row for each length and partition: words and pairs of words,
+        or, of known `pairs`, the longer ones that are made of them."""
+        ends, codes = np.array(self.ends), np.array(self.codes, np.int64)
         sizes = np.diff(ends, prepend=0)
-        left = np.repeat(ends, sizes) - np.arange(len(self.words))
-        times = np.repeat(np.array(self.times, np.int64), sizes)
-        codes = np.array(self.codes, np.int64)
-        lang_at = codes >> 32
-        langs = pa.array(list(self.langs), pa.string())
-        seeds = [zlib.crc32(x.encode()) for x in self.langs]
-        _, first = np.unique(codes, return_inverse=True)
-        width = int(first.max()) + 1
-        longer = first
-        for n in range(1, LONGEST + 1):
+        left = np.repeat(ends, sizes) - np.arange(len(codes))
+        times = np.repeat(np.array(self.times), sizes)
+        hashes, width = np.array(self.hashes, np.uint64), len(self.words)
+        shorter = codes
+        known = None
+        for n in (1, 2) if pairs is None else (2, 3, 4):
             at = np.flatnonzero(left >= n)
+            if n == 2 and pairs is not None:
+                known = np.zeros(len(codes) + 1, bool)
+                known[at] = pairs.may_hold(gram_hashes([hashes[codes[at]], hashes[codes[at + 1]]]))
+                at = np.flatnonzero(known)
+                shorter = np.zeros(len(codes), np.int64)
+                shorter[at] = np.unique(codes[at] * width + codes[at + 1], return_inverse=True)[1] if len(at) else 0
+                continue
+            if known is not None:
+                at = at[np.logical_and.reduce([known[at + k] for k in range(n - 1)])]
             if not len(at):
-                return
-            some, total, number = _summed(longer[at] if n == 1 else longer[at] * width + first[at + n - 1], times[at])
-            some = at[some]
-            grams = [b" ".join(self.words[k : k + n]) for k in some.tolist()]
-            of_lang = lang_at[some]
-            part = np.fromiter((zlib.crc32(g, seeds[x]) for g, x in zip(grams, of_lang.tolist(), strict=True)), np.int64, len(grams)) % self.parts
-            order = np.argsort(part, kind="stable")
-            table = pa.RecordBatch.from_arrays(
-                [pa.DictionaryArray.from_arrays(pa.array(of_lang, pa.int32()), langs), pa.array(grams, pa.binary()).cast(pa.string()),
-                 pa.array(np.full(len(grams), n, np.int32)), pa.array(total)], schema=PAYLOAD,
-            ).take(pa.array(order))
-            del grams
-            edges = np.flatnonzero(np.diff(part[order], prepend=-1))
-            for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, PAYLOAD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-                    to.write_batch(table.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array([part[order[a]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
-            longer = np.zeros(len(self.words), np.int64)
-            longer[at] = number
-
-
-def send_grams(parts: int):
+                continue
+            told = codes if n == 1 else shorter[at] * width + codes[at + n - 1]
+            _, first, number = np.unique(told, return_index=True, return_inverse=True)
+            total = np.zeros(len(first), np.int64)
+            np.add.at(total, number, times[at])
+            yield from self._sent(n, at[first], total, codes, hashes, parts)
+            shorter = np.zeros(len(codes), np.int64)
+            shorter[at] = number
+
+    def _sent(self, n: int, places: np.ndarray, total: np.ndarray, codes: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+        own = [codes[places + k] for k in range(n)]
+        part = (gram_hashes([hashes[c] for c in own]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, langs = part[order], pa.array(self.langs, pa.string())
+        of_lang = np.array(self.lang_of, np.int32)[own[0]][order]
+        grams = list(map(b" ".join, zip(*(map(self.words.__getitem__, c[order].tolist()) for c in own), strict=True)))
+        table = pa.RecordBatch.from_arrays(
+            [pa.DictionaryArray.from_arrays(pa.array(of_lang), langs), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(np.full(len(grams), n, np.int32)), pa.array(total[order])],
+            schema=PAYLOAD,
+        )
+        del grams
+        edges = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(edges, np.append(edges[1:], len(part)), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, PAYLOAD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_batch(table.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
+
+
+class Pairs:
+    """Frequent pairs of words as bits at their hashes: what is not held is none, what is held may be one."""
+
+    def __init__(self, bits: np.ndarray, log2: int):
+        self.bits, self.log2 = bits, log2
+
+    @staticmethod
+    def place(hashes: np.ndarray, log2: int) -> np.ndarray:
+        return (hashes >> np.uint64(64 - log2)).astype(np.int64)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.place(hashes, self.log2)
+        return (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def frequent_pairs(grams: DataFrame) -> Pairs:
+    """The pairs among counted n-grams. Sixteen bits a pair, up to 2 ** `PAIR_BITS` in all: with more pairs more n-grams are
+    sent for nothing, and the counts stay the same."""
+    rows = grams.where("n_words = 2").select("lang", "gram")
+    log2 = min(PAIR_BITS, max(10, (16 * rows.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = [zlib.crc32(x.encode()) for x in batch["lang"].to_pylist()]
+            words = [g.split(b" ") for g in batch["gram"].cast(pa.binary()).to_pylist()]
+            hashes = [np.array([xxhash.xxh3_64_intdigest(w[k], s) for w, s in zip(words, seeds, strict=True)], np.uint64) for k in range(2)]
+            at = Pairs.place(gram_hashes(hashes), log2)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    told = rows.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (log2 - 6), np.uint64)
+    bits[told["word"].to_numpy()] = told["bits"].to_numpy().view(np.uint64)
+    return Pairs(bits, log2)
+
+
+def send_grams(parts: int, pairs: Broadcast[Pairs] | None):
     """Arrow batches of pieces to packed n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(parts)
+        chunk, known = Chunk(), pairs.value if pairs else None
         for batch in batches:
             pieces = batch["piece"].cast(pa.large_binary()).to_pylist()
             for lang, piece, times in zip(batch["lang"].to_pylist(), pieces, batch["times"].to_pylist(), strict=True):
                 chunk.add(lang, piece, times)
-                if len(chunk.words) >= CHUNK_WORDS:
-                    yield from chunk.packed()
-                    chunk = Chunk(parts)
-        if chunk.words:
-            yield from chunk.packed()
+                if len(chunk.codes) >= CHUNK_WORDS:
+                    yield from chunk.packed(parts, known)
+                    chunk = Chunk()
+        if chunk.codes:
+            yield from chunk.packed(parts, known)
 
     return run
 
@@ -175,10 +250,22 @@ def count_grams(min_count: int):
 def gram_counts(df: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """lang, gram, n_words, f of all n-grams of up to four words that occur `min_count` times or more in a language;
     in rows without a gram the words of a language that a partition counted."""
+    spark = df.sparkSession
+    scratch = Scratch(spark)
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(salts(df.sparkSession), -(-size // PART_BYTES))
-    packed = pieces(df).mapInArrow(send_grams(parts), PACKED_DDL)
-    return packed.repartitionById(parts, "part").mapInArrow(count_grams(min_count), GRAMS_DDL)
+    parts = max(salts(spark), -(-size // PART_BYTES))
+    held = scratch.table(pieces(df))
+
+    def counted(pairs: Broadcast[Pairs] | None) -> DataFrame:
+        packed = held.mapInArrow(send_grams(parts, pairs), PACKED_DDL)
+        return scratch.table(packed.repartitionById(parts, "part").mapInArrow(count_grams(min_count), GRAMS_DDL))
+
+    short = counted(None)
+    pairs = spark.sparkContext.broadcast(frequent_pairs(short))
+    long = counted(pairs)
+    pairs.destroy()
+    scratch.release(held)
+    return short.unionByName(long)
 
 
 def _key(gram: Column) -> Column:
@@ -227,8 +314,7 @@ def top_phrases(rows: DataFrame, top: int) -> DataFrame:
 
 def collocations(df: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """Each language's first phrases: lang, rank, phrase, a, l, r, n, score."""
-    scratch = Scratch(df.sparkSession)
-    counted = scratch.table(gram_counts(df, min_count))
+    counted = gram_counts(df, min_count)
     grams = counted.where("gram is not null")
     totals = counted.where("gram is null").groupBy("lang").agg(F.sum("f").alias("n"))
     rows = scored(grams).withColumn("key", _key(F.col("phrase"))).join(longest_within(grams), "key", "left")
