@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkveil.functions.scalars import page_band
-
-
-#: Of one split of a sample.
-MOST_ENTRIES = 100_000
+from inkveil.sources.scratch import written
 
 
 def corpus(files: DataFrame, seed: str) -> DataFrame:
@@ -44,35 +46,74 @@ def take_first(rows: DataFrame, taken: DataFrame, order: str) -> DataFrame:
 
 
 def sample(rows: DataFrame, count: int, tuning: int) -> DataFrame:
-    """`count` rows in proportion to their strata, `tuning` of which are for tuning, in proportion too."""
+    """`count` rows in proportion to their strata, `tuning` of which are for tuning, in proportion too. The rows are read
+    once, into a table; the sample, which is small, is a table too before it is split."""
+    rows = written(rows)
     chosen = take_first(rows, allocation(rows, count, "path_order"), "evaluation_id")
     places = rows.groupBy("stratum").agg(F.min("path_order").alias("place"))
-    chosen = chosen.join(F.broadcast(places), "stratum")
+    chosen = written(chosen.join(F.broadcast(places), "stratum"))
     tuned = take_first(chosen, allocation(chosen, tuning, "place"), "evaluation_id").select("evaluation_id", F.lit("tuning").alias("split"))
     return chosen.drop("place").join(tuned, "evaluation_id", "left").withColumn("split", F.coalesce("split", F.lit("holdout")))
 
 
-def lpt_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """(evaluation_id, page_count, shard): largest first, each to the shard with the fewest pages so far. For one split of
-    a sample, which is small by construction; the fold, each step of which needs the one before, runs in one row. More
-    than MOST_ENTRIES entries are an error."""
-    if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-        raise ValueError(f"a split of more than {MOST_ENTRIES} entries is not a sample")
-    item = F.struct((-F.col("page_count")).alias("p"), F.col("evaluation_id").alias("id"))
-    gathered = rows.agg(F.sort_array(F.collect_list(item)).alias("xs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["sums"], F.array_min(acc["sums"])).cast("int") - 1
-        sums = F.transform(acc["sums"], lambda v, k: F.when(k == at, v - x["p"]).otherwise(v))
-        row = F.struct(x["id"].alias("id"), (-x["p"]).alias("p"), at.alias("shard"))
-        return F.struct(sums.alias("sums"), F.concat(acc["out"], F.array(row)).alias("out"))
+def _places(values: np.ndarray, loads: np.ndarray, step: int) -> np.ndarray:
+    """Where the n-th entries of a class go, n counted from 0: entries of `step` pages each, each to the least loaded shard, the
+    first of equals. That is the n-th smallest of all (load + k * step, shard), k = 0, 1, .., found by halving."""
+    low, high = np.full(len(values), loads.min()), np.full(len(values), loads.max() + step * (values.max() + 1))
+    taken = lambda t: np.maximum((t[:, None] - loads) // step + 1, 0)
+    while (low < high).any():
+        middle = (low + high) // 2
+        enough = taken(middle).sum(axis=1) > values
+        low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
+    at_level = (low[:, None] >= loads) & ((low[:, None] - loads) % step == 0)
+    nth = values - taken(low - 1).sum(axis=1)
+    return np.argmax(np.cumsum(at_level, axis=1) > nth[:, None], axis=1)
+
+
+def _leveled(loads: np.ndarray, step: int, count: int) -> np.ndarray:
+    """Loads after `count` entries of `step` pages."""
+    low, high = int(loads.min()), int(loads.max()) + step * (count + 1)
+    taken = lambda t: np.maximum((t - loads) // step + 1, 0)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if taken(middle).sum() >= count else (middle + 1, high)
+    under = taken(low - 1)
+    at_level = (low >= loads) & ((low - loads) % step == 0)
+    return loads + step * (under + (at_level & (np.cumsum(at_level) <= count - under.sum())))
 
+
+def lpt_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """(evaluation_id, page_count, shard): largest first, each to the shard with the fewest pages so far, equals by id.
+
+    Entries of equal page counts are a class, and there are few classes (`MAX_PAGES`): the driver levels the loads class by
+    class, from the classes' sizes alone. Within its class an entry's shard follows from its number, which it has from a global
+    sort and its part's place in it. No task holds a class, however many entries it has."""
+    ordered = written(rows.select("evaluation_id", "page_count").orderBy(F.desc("page_count"), "evaluation_id").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = sorted(map(tuple, ordered.groupBy("page_count", "part").agg(F.count("*"), F.min("at")).collect()), key=lambda r: (-r[0], r[1]))
+    loads, starts, before = np.zeros(shards, np.int64), [], {}
+    for pages, own in groupby(sizes, key=lambda r: r[0]):
+        counted = 0
+        before[pages] = loads.copy()
+        for _, part, n, first in own:
+            starts.append((pages, part, counted - first))
+            counted += n
+        loads = _leveled(loads, pages, counted)
     kind = dict(rows.dtypes)["page_count"]
-    init = F.struct(
-        F.array_repeat(F.lit(0).cast(kind), shards).alias("sums"), F.array().cast(f"array<struct<id:string,p:{kind},shard:int>>").alias("out")
-    )
-    out = gathered.select(F.explode(F.aggregate("xs", init, step)["out"]).alias("r"))
-    return out.select(F.col("r.id").alias("evaluation_id"), F.col("r.p").alias("page_count"), "r.shard")
+    base = rows.sparkSession.createDataFrame(starts, f"page_count {kind}, part int, base long") if starts else None
+    if base is None:
+        return ordered.select("evaluation_id", "page_count", F.lit(0).alias("shard"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, number = batch.column("page_count").to_numpy(), batch.column("number").to_numpy()
+            shard = np.zeros(len(pages), np.int64)
+            for size in np.unique(pages):
+                own = np.flatnonzero(pages == size)
+                shard[own] = _places(number[own], before[int(size)], int(size))
+            yield pa.RecordBatch.from_arrays([batch.column("evaluation_id"), batch.column("page_count"), pa.array(shard, pa.int32())], names=["evaluation_id", "page_count", "shard"])
+
+    numbered = ordered.join(base, ["page_count", "part"]).select("evaluation_id", "page_count", (F.col("at") + F.col("base")).alias("number"))
+    return numbered.mapInArrow(run, f"evaluation_id string, page_count {kind}, shard int")
 
 
 def results(found: DataFrame, residual: DataFrame, docs: DataFrame) -> DataFrame:
