@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection of Spark expressions.
 
-Each rule is a row (name, measure, least, most). The measures are lengths, symbol ratios, the number of different
-stop words and line ratios of a whole text; `compile_rules` turns the table into one boolean expression, so a document
+Each rule is a row (name, measure, least, most). The measures are lengths, symbol ratios, the ratio of stop words and
+line ratios of a whole text; `compile_rules` turns the table into one boolean expression, so a document
 is read once and judged where it lies: no user function, no shuffle.
 
 Defined results: a null text has no words and fails; an empty text likewise. A ratio whose divisor is zero
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import WS, WS_CHARS, text_or_empty, words
+from inkveil.llm.common import WS, WS_CHARS, quoted, text_or_empty, words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -43,7 +43,7 @@ RULES = (
     Rule("repeated_windows", "repeat_percent", most=50),
     Rule("word_length", "mean_word_length", least=2, most=15),
     Rule("symbols", "symbols_per_word", most=0.3),
-    Rule("stop_words", "n_stop_words", least=2),
+    Rule("stop_words", "stop_word_ratio", least=0.01),
     Rule("repeated_lines", "dup_line_ratio", most=0.5),
 )
 BASE_RULES = ("enough_words", "repeated_windows")
@@ -101,7 +101,7 @@ def measures(text: Column, ws: Column) -> dict[str, Column]:
         "n_lines": F.size(lines).cast("long"),
         "n_distinct_lines": F.size(F.array_distinct(lines)).cast("long"),
         "n_repeat_words": repeated_window_words(ws).cast("long"),
-        "n_stop_words": F.size(F.array_intersect(ws, F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
+        "n_stop_words": F.size(F.filter(ws, lambda w: w.isin(*STOP_WORDS))).cast("long"),
     }
 
 
@@ -114,6 +114,7 @@ RATIOS = {
     "n_dup_lines": lambda m: m["n_lines"] - m["n_distinct_lines"],
     "mean_word_length": lambda m: _ratio(m["word_chars"], m["n_words"]),
     "symbols_per_word": lambda m: _ratio(m["n_symbols"], m["n_words"]),
+    "stop_word_ratio": lambda m: _ratio(m["n_stop_words"], m["n_words"]),
     "dup_line_ratio": lambda m: _ratio(m["n_lines"] - m["n_distinct_lines"], m["n_lines"]),
     "repeat_percent": lambda m: _ratio(100 * m["n_repeat_words"], m["n_words"]),
 }
@@ -148,10 +149,10 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
             compile_rules(m, rules).alias("kept"),
         )
 
-    rows = df.select(F.col(id_col), let(measured(text_or_empty(text_col)), judged).alias("q"))
-    return rows.select(id_col, "q.m.*", *[f"q.{k}" for k in (*RATIOS, "base_failed", "kept")])
+    rows = df.select(F.col(quoted(id_col)), let(measured(text_or_empty(quoted(text_col))), judged).alias("q"))
+    return rows.select(quoted(id_col), "q.m.*", *[f"q.{k}" for k in (*RATIOS, "base_failed", "kept")])
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `df` that pass, with their own columns only."""
-    return df.where(let(measured(text_or_empty(text_col)), lambda m: compile_rules(m, rules)))
+    return df.where(let(measured(text_or_empty(quoted(text_col))), lambda m: compile_rules(m, rules)))

@@ -126,13 +126,13 @@ ORACLE_SQL: dict[str, str] = {
                      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                      (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
                      coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-                     len(list_intersect(ws, string_split('{stop}', ' '))) AS n_stop
+                     len(list_filter(ws, lambda w: w IN ({stop}))) AS n_stop
               FROM w LEFT JOIN p USING (doc_id)),
         b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.3 AND n_stop >= 2
+               NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.3 AND n_stop / n_words >= 0.01
                AND n_dup_lines <= 0.5 * n_lines AS kept
-        FROM b""".replace("{stop}", " ".join(STOP_WORDS)),
+        FROM b""".replace("{stop}", ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))),
     "op10_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS s FROM w),
