@@ -84,6 +84,22 @@ def spread(rows: DataFrame, groups: DataFrame, key: str, salt_col: str) -> DataF
     return rows.join(slots.join(groups, key), [key, salt_col])
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, or longer ones where `df` has columns that are called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

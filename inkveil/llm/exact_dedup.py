@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import WS, Scratch, salt, spread, text_or_empty
+from inkveil.llm.common import Scratch, WS, free_names, quoted, salt, spread, text_or_empty
 
 LEAST, MOST = 1024, 8192
 CUTS = "(?:[.!?;:,\\u3002\\u061f]\\x20(?=[a-dA-D])|[\\u3001\\u3002\\uff01\\uff0c\\uff1b\\uff1f](?=[\\u4e00-\\u4e7f])|[aeio13][bdfh24][ckCK])"
@@ -103,16 +103,19 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stays if its text is on no other row; rows repeated under one id come down to one. Texts stay where they are: the
     ids that go are taken out. Only rows whose id is null or on several rows are found by their text as well."""
     scratch = Scratch(df.sparkSession)
-    groups = scratch.table(exact_groups(df, id_col, text_col).select(F.col(id_col).alias("__at"), "kept", "text_sha256"))
-    again = scratch.table(groups.groupBy("__at").count().where("count > 1 or __at is null").select(F.col("__at").alias("__again")))
-    gone = scratch.table(groups.where("not kept").select("__at").distinct())
+    at, again_at, kept, sha, mark = free_names(df, "__at", "__again", "__kept", "__sha", "__mark")
+    own = F.col(quoted(id_col))
+    told = exact_groups(df.select(quoted(id_col), quoted(text_col)), id_col, text_col)
+    groups = scratch.table(told.select(F.col(quoted(id_col)).alias(at), F.col("kept").alias(kept), F.col("text_sha256").alias(sha)))
+    again = scratch.table(groups.groupBy(at).count().where(f"count > 1 or {at} is null").select(F.col(at).alias(again_at)))
+    gone = scratch.table(groups.where(f"not {kept}").select(at).distinct())
     few = gone.count() <= BROADCAST_IDS
-    out = df.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__at"), "left_anti")
+    out = df.join(F.broadcast(gone) if few else gone, own == F.col(at), "left_anti")
     if again.isEmpty():
         return out
-    same = F.col(id_col).eqNullSafe(F.col("__again"))
-    marked = df.join(again, same, "left_semi").withColumn("__mark", F.sha2(normalised(text_or_empty(text_col)), 256))
-    stays = groups.where("kept").join(again, F.col("__at").eqNullSafe(F.col("__again")), "left_semi")
-    once = marked.join(stays, F.col(id_col).eqNullSafe(F.col("__at")) & (F.col("__mark") == F.col("text_sha256")), "left_semi")
-    once = once.dropDuplicates([id_col, "__mark"]).select(*df.columns)
+    same = own.eqNullSafe(F.col(again_at))
+    marked = df.join(again, same, "left_semi").withColumn(mark, F.sha2(normalised(text_or_empty(quoted(text_col))), 256))
+    stays = groups.where(kept).join(again, F.col(at).eqNullSafe(F.col(again_at)), "left_semi")
+    once = marked.join(stays, own.eqNullSafe(F.col(at)) & (F.col(mark) == F.col(sha)), "left_semi")
+    once = once.dropDuplicates([id_col, mark]).select(*map(quoted, df.columns))
     return out.join(again, same, "left_anti").unionByName(once)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, byte_slices, salt, spread
+from inkveil.llm.common import Scratch, byte_slices, free_names, quoted, salt, spread
 
 BANDS, ROWS = 48, 6
 MANTISSA = 11
@@ -484,5 +484,7 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of `df` but those that are near-duplicates of a row with a smaller id, with their own columns. Rows
     repeated under the id that stays all stay."""
     scratch = Scratch(df.sparkSession)
-    gone = scratch.table(near_groups(df, id_col, text_col, width, percent).where("not kept").select(F.col(id_col).alias("__gone")).distinct())
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    (out,) = free_names(df, "__gone")
+    told = near_groups(df.select(quoted(id_col), quoted(text_col)), id_col, text_col, width, percent)
+    gone = scratch.table(told.where("not kept").select(F.col(quoted(id_col)).alias(out)).distinct())
+    return df.join(gone, F.col(quoted(id_col)) == F.col(out), "left_anti")

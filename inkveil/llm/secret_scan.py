@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import text_or_empty
+from inkveil.llm.common import free_names, quoted, text_or_empty
 from inkveil.llm.quality import let
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -294,15 +294,16 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
 
     fresh = let(all_spans(whole), lambda s: let(joined(s), cut))
     names = df.columns
-    out = df.withColumn("__fresh", fresh)
-    changed = F.col("__fresh") != text
+    (made,) = free_names(df, "__fresh")
+    out = df.withColumn(made, fresh)
+    changed = F.col(made) != text
 
     def column(name: str) -> Column:
         if name == text_col:
-            return F.col("__fresh").alias(name)
+            return F.col(made).alias(name)
         if name == length_col:
             kind = dict(df.dtypes)[name]
-            return F.when(changed, F.length("__fresh").cast(kind)).otherwise(F.col(name)).alias(name)
-        return F.col(name)
+            return F.when(changed, F.length(made).cast(kind)).otherwise(F.col(quoted(name))).alias(name)
+        return F.col(quoted(name))
 
     return out.select(*[column(n) for n in names])
