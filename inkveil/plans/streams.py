@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.operators import anchor as A
+from inkveil.operators import detect as D
+from inkveil.operators import redact as R
+from inkveil.plans.documents import DETECTED, W
 from inkveil.sources.scratch import removed_at_end, shared_folder
-from inkveil.sources.tables import table
+from inkveil.sources.tables import split_words, table, text_pages
+from inkveil.streaming.evaluation import evaluation_run
 from inkveil.streaming.queue import enqueue, message_stream
 from inkveil.streaming.streams import event_stream, run_to_end
 from inkveil.streaming.timers import Lease, Retention, rocksdb, timed_stream
@@ -44,6 +49,35 @@ def q_stream_queue(spark, sf_dir):
     return rows.groupBy("job_id", "task", "error_code").agg(F.count("*").alias("n"))
 
 
+def evaluate_texts(batch: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) of an evaluation: found, masked, and looked through again."""
+    docs = batch.select("doc_id", "text")
+    pages = D.read_pages(text_pages(docs))
+    found = D.detections(A.anchored_boxes(A.anchor_exact(D.RuleProvider().items(pages), pages)), 0.9, "model").dropDuplicates(["id"])
+    left = R.residual(R.masked_text(docs.select("doc_id", split_words(F.col("text")).alias("words")), found), D.RULES, "redacted_text")
+    counted = found.groupBy("doc_id").agg(F.count("*").alias("finding_count"))
+    rows = batch.join(left.select("doc_id", F.col("residual").alias("residual_deterministic"), "passed"), "doc_id").join(counted, "doc_id", "left")
+    return rows.withColumns({
+        "finding_count": F.coalesce("finding_count", F.lit(0)), "residual_model": F.lit(0).cast("long"), "elapsed_seconds": F.lit(None).cast("double"),
+        "error_code": F.lit(None).cast("string"),
+    })
+
+
+def evaluation_entries(spark, sf_dir) -> DataFrame:
+    words = F.size(split_words(F.col("text")))
+    return table(spark, sf_dir, "documents").select(
+        F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(16)).alias("evaluation_id"), F.when(F.col("doc_id") % 4 == 0, "tuning").otherwise("holdout").alias("split"),
+        F.greatest(F.lit(1), F.ceil(words / 600)).cast("int").alias("page_count"), "doc_id", "text",
+    )
+
+
+def q_evaluation_run(spark, sf_dir):
+    """The holdout of the documents, evaluated shard by shard by a run that could be taken up again."""
+    path = removed_at_end(spark, shared_folder(spark, "e"))
+    rows = evaluation_run(evaluation_entries(spark, sf_dir), evaluate_texts, path, "holdout", shards=4, config={"provider": "rules", "version": 1})
+    return rows.select("evaluation_id", "split", "page_count", "finding_count", "residual_deterministic", "passed", "error_code")
+
+
 QUERIES = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
 
 
@@ -95,6 +129,9 @@ RETENTION_EVENT = f"""CASE WHEN status IS NULL THEN CASE WHEN kind = 'create' TH
     CASE WHEN status IS NULL OR (status = 'live' AND kind = 'delete') THEN 0 ELSE receipts END::INT,
     list_concat(told, CASE WHEN status = 'live' AND kind = 'delete' THEN {_said('now', 'deleted', '0')} WHEN status = 'deleted' AND kind = 'cleaned' THEN {_said('now', 'expired', 'receipts')} ELSE [] END)"""
 ORACLE_SQL = {
+    "evaluation_run": f"""WITH {DETECTED}, n AS (SELECT doc_id, count(*) AS n FROM det GROUP BY doc_id)
+        SELECT left(sha256(doc_id::VARCHAR), 16) AS evaluation_id, 'holdout' AS split, greatest(1, ceil(len(regexp_extract_all(coalesce(text, ''), '{W}')) / 600))::INT AS page_count,
+               coalesce(n, 0) AS finding_count, 0::BIGINT AS residual_deterministic, true AS passed, NULL::VARCHAR AS error_code FROM documents LEFT JOIN n USING (doc_id) WHERE doc_id % 4 > 0""",
     "stream_leases": _machine_sql(MESSAGE_KINDS, LEASE_FIRES, LEASE_EVENT),
     "stream_retention": _machine_sql(JOB_KINDS, RETENTION_FIRES, RETENTION_EVENT),
     "stream_queue": """SELECT CASE WHEN good THEN job_id END AS job_id, CASE WHEN good THEN task END AS task, CASE WHEN NOT good THEN 'message_malformed' END AS error_code, count(*) AS n

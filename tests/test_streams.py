@@ -16,7 +16,7 @@ from tests.compare import check
 EVENTS = "key long, ts timestamp, ord long, kind string"
 
 
-@pytest.mark.parametrize("name", sorted(P.QUERIES))
+@pytest.mark.parametrize("name", ["stream_leases", "stream_retention", "stream_queue"])
 def test_same_as_sql(spark, data, name):
     check(spark, data, P.QUERIES[name], P.ORACLE_SQL[name])
 
