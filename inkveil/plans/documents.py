@@ -48,6 +48,13 @@ def _exact_sql(items: str, out: str = "hits") -> str:
         JOIN runs r ON i.doc_id = r.doc_id AND i.page_index = r.page_index AND length(v) >= 2 AND r.n <> '' AND left(r.n, 1) = left(v, 1)) WHERE k >= 0)"""
 
 
+def _held(sql: str, *names: str) -> str:
+    """The same, with the named tables computed once."""
+    for name in names:
+        sql = sql.replace(f"{name} AS (", f"{name} AS MATERIALIZED (", 1)
+    return sql
+
+
 BOXES = """boxes AS (SELECT h.doc_id, h.page_index, h.item_ord, h.category, w.word_idx, w.x1, w.y1, w.x2, w.y2
     FROM (SELECT *, unnest(range(s, s + k + 1)) AS pos FROM hits) h JOIN words w ON h.doc_id = w.doc_id AND h.pos = w.word_idx)"""
 RULE_BOXES = f"{WORDS}, {TEXTS}, {NORMS}, {ITEMS}, {_exact_sql('items')}, {BOXES}"
@@ -530,14 +537,14 @@ ORACLE_SQL = {
     "answer_errors": """SELECT doc_id, CASE doc_id % 11 WHEN 7 THEN 'model_output_truncated' WHEN 3 THEN 'model_output_invalid' WHEN 5 THEN 'model_output_invalid' END AS error_code FROM documents""",
     "rule_items": f"WITH {WORDS}, {TEXTS}, {ITEMS} SELECT doc_id, page_index, item_ord, text, category FROM items",
     "anchor_exact": f"WITH {WORDS}, {TEXTS}, {NORMS}, {TITLES}, {_exact_sql('titles')} SELECT doc_id, page_index, item_ord, s AS first_word, (k + 1)::INT AS n_words FROM hits",
-    "anchor_fragments": f"""WITH {WORDS}, {TEXTS}, {NORMS}, ws AS (SELECT doc_id, page_index, string_split(t, ' ') AS l FROM texts),
+    "anchor_fragments": _held(f"""WITH {WORDS}, {TEXTS}, {NORMS}, ws AS (SELECT doc_id, page_index, string_split(t, ' ') AS l FROM texts),
         whole AS (SELECT doc_id, page_index, 0 AS item_ord, 'street_address' AS category,
                   array_to_string(l[1:2], ' ') || ',  ' || array_to_string(l[21:22], ' ') AS text FROM ws WHERE len(l) >= 22),
         {_exact_sql("whole", "direct")},
         parts AS (SELECT doc_id, page_index, item_ord, category, list_filter(list_transform(regexp_split_to_array(text, '\\s{{2,}}|,|\\n'), lambda x: trim(x)), lambda x: length(x) >= 5) AS ps
                   FROM whole ANTI JOIN direct USING (doc_id, page_index)),
         frags AS (SELECT doc_id, page_index, item_ord, category, unnest(ps) AS text FROM parts WHERE len(ps) > 1), {_exact_sql("frags")}
-        SELECT doc_id, page_index, item_ord, s AS first_word, (k + 1)::INT AS n_words FROM hits""",
+        SELECT doc_id, page_index, item_ord, s AS first_word, (k + 1)::INT AS n_words FROM hits""", "words", "norms", "runs", "direct", "frags"),
     "propagate": f"""WITH words AS (SELECT doc_id, page_index, i::INT AS word_idx, ws[i + 1] AS text FROM (SELECT conv_id AS doc_id, turn::INT AS page_index, ws, unnest(range(len(ws))) AS i
             FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{W}') AS ws FROM conversations))),
         {TEXTS}, {NORMS}, {TITLES}, vals AS (SELECT DISTINCT doc_id, text FROM titles), pages AS (SELECT DISTINCT doc_id, page_index FROM words),
