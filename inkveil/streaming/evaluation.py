@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from inkveil.operators.evaluate import lpt_shards, same_run
 from inkveil.operators.records import checkpoint_error, run_summary
-from inkveil.sinks.pdf import _store
+from inkveil.sinks.staged import store_of
 
 #: What an evaluation gives for each entry, besides what it has of its own.
 RESULT = ("evaluation_id", "split", "page_count", "elapsed_seconds", "finding_count", "residual_deterministic", "residual_model", "passed", "error_code")
@@ -27,7 +27,7 @@ class RunFolder:
     """Small control files of a run; each is there whole or not at all."""
 
     def __init__(self, path: str):
-        self.store, self.root = _store(path.rstrip("/"))
+        self.store, self.root = store_of(path.rstrip("/"))
 
     def write(self, name: str, value: Any) -> None:
         folder = f"{self.root}/{name}".rpartition("/")[0]

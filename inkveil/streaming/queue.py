@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-from inkveil.sinks.pdf import _store
+from inkveil.sinks.staged import store_of
 
 ROWS = "file string, line int, body string"
 ROW_FIELDS = pa.schema([("file", pa.string()), ("line", pa.int32()), ("body", pa.string())])
@@ -40,7 +40,7 @@ class FolderQueue:
     """The folder: messages in `new`, the lists of handed-out files in `batches`."""
 
     def __init__(self, path: str):
-        self.store, root = _store(path.rstrip("/"))
+        self.store, root = store_of(path.rstrip("/"))
         self.new, self.lists = f"{root}/new", f"{root}/batches"
 
     def names(self, folder: str) -> list[str]:
