@@ -132,34 +132,44 @@ def anchor_fragments(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def anchor(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """(item.., mode, spans, ws) of all items: mode exact, fragments, similar or none, the first that finds something."""
-    rows = on_pages(items, pages)
-    done = anchor_exact(items, pages)
-    rest = rows.where(F.size(exact_spans(F.col("value"), F.col("norms"))) == 0).select(*ITEM, "value", "norms", _parts().alias("parts"), "ws")
+    """(item.., mode, spans, ws) of all items: mode exact, fragments, similar or none, the first that finds something. Items are
+    searched for exactly once, where their page lies; those that this leaves are looked at in the same pass."""
+    exact = once(e=exact_spans(F.col("value"), F.col("norms")))
+    rows = on_pages(items, pages).select(*ITEM, "value", "norms", "ws", exact.alias("x")).select(*ITEM, "value", "norms", "ws", "x.e")
+    rest = F.when(F.size("e") == 0, F.struct("value", "norms", _parts().alias("parts")))
+    rows = rows.select(*ITEM, "e", rest.alias("rest"), "ws")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         for batch in batches:
             modes, spans = [], []
-            for value, norms, parts in zip(*(batch.column(k).to_pylist() for k in ("value", "norms", "parts")), strict=True):
-                mode, found = "none", []
-                if len(value) >= 2:
-                    if parts and len(parts) > 1:
-                        for p in parts:
-                            if len(p["t"]) >= 2:
-                                similar = None if p["spans"] else best_span(p["t"], norms)
-                                found += [(x["s"], x["e"]) for x in p["spans"]] or ([similar] if similar else [])
-                        mode = "fragments" if found else mode
-                    if not found and (similar := best_span(value, norms)):
-                        mode, found = "similar", [similar]
+            for found, left in zip(batch.column("e").to_pylist(), batch.column("rest"), strict=True):
+                mode, spot = "exact", found
+                if left.is_valid:
+                    mode, spot = near_spans(**left.as_py())
                 modes.append(mode)
-                spans.append([{"s": s, "e": e} for s, e in found])
+                spans.append(spot)
             kept = [batch.column(k) for k in ITEM]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(modes), pa.array(spans, kind), batch.column("ws")], names=[*ITEM, "mode", "spans", "ws"])
 
-    kinds = dict(rest.dtypes)
+    kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in ITEM), "mode string, spans array<struct<s:int,e:int>>", f"ws {kinds['ws']}"])
-    return done.unionByName(rest.mapInArrow(run, schema))
+    return rows.mapInArrow(run, schema)
+
+
+def near_spans(value: str, norms: list[str], parts: list[dict] | None) -> tuple[str, list[dict[str, int]]]:
+    """How a value is found that is not there exactly: by its fragments, if it has some, or by the most similar run."""
+    found: list[tuple[int, int]] = []
+    if len(value) < 2:
+        return "none", []
+    for p in parts if parts and len(parts) > 1 else ():
+        if len(p["t"]) >= 2:
+            similar = None if p["spans"] else best_span(p["t"], norms)
+            found += [(x["s"], x["e"]) for x in p["spans"]] or ([similar] if similar else [])
+    mode = "fragments" if found else "none"
+    if not found and (similar := best_span(value, norms)):
+        mode, found = "similar", [similar]
+    return mode, [{"s": s, "e": e} for s, e in found]
 
 
 def anchored_boxes(anchored: DataFrame) -> DataFrame:

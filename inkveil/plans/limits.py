@@ -16,9 +16,9 @@ from inkveil.plans.documents import q_page_grid as _grids
 from inkveil.plans.operations import _NAMES_SQL, NAMES, _batch
 from inkveil.schemas import CATEGORY_OF_ANSWER
 from inkveil.sinks.archive import archive_errors, write_archives
-from inkveil.sinks.staged import deleted_prefixes
+from inkveil.sinks.staged import deleted_prefixes, write_files
 from inkveil.sources.scratch import removed_at_end, shared_folder, written
-from inkveil.sources.tables import files, table
+from inkveil.sources.tables import file_digests, file_heads, files, table
 
 CATEGORIES = tuple(sorted(set(CATEGORY_OF_ANSWER.values())))
 
@@ -119,6 +119,18 @@ def q_batch_archives(spark, sf_dir):
     return read.select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "name", lines.alias("lines"), digest.alias("sha256"))
 
 
+def q_corpus_files(spark, sf_dir):
+    """Documents as files of mixed suffixes, written, and the PDFs among them found again: size, first bytes and digest."""
+    path = removed_at_end(spark, shared_folder(spark, "f"))
+    k = F.col("doc_id")
+    name = F.concat(F.lit("doc-"), k.cast("string"), F.when(k % 4 == 0, ".PDF").when(k % 4 == 1, ".txt").otherwise(".pdf"))
+    write_files(table(spark, sf_dir, "documents").select(name.alias("name"), F.encode("text", "utf-8").alias("content")), path)
+    found = files(spark, path, content=True)
+    leaf = F.regexp_extract("path", "[^/]+$", 0).alias("name")
+    heads = file_heads(found, 5).select("path", leaf, "size_bytes", F.hex("head").alias("head"))
+    return heads.join(file_digests(found).drop("size_bytes"), "path").drop("path")
+
+
 def q_blob_cleanup(spark, sf_dir):
     """Archives are written, and their folders deleted, twice; prefixes that lead elsewhere are refused. What each step did."""
     path = removed_at_end(spark, shared_folder(spark, "b"))
@@ -159,6 +171,8 @@ ORACLE_SQL = {
         FROM p GROUP BY emission HAVING bool_and(ok)""",
     "batch_archives": """SELECT 'batch-' || doc_id % 20 || '.zip' AS archive, 'doc-' || doc_id || '.txt' AS name, NULL::BIGINT AS lines, sha256(coalesce(text, '')) AS sha256 FROM documents
         UNION ALL SELECT 'batch-' || doc_id % 20 || '.zip', 'index.csv', count(*), NULL FROM documents WHERE doc_id % 20 % 3 > 0 GROUP BY 1""",
+    "corpus_files": """SELECT 'doc-' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.PDF' ELSE '.pdf' END AS name, strlen(coalesce(text, ''))::BIGINT AS size_bytes,
+        left(hex(encode(coalesce(text, ''))), 10) AS head, sha256(coalesce(text, '')) AS content_sha256 FROM documents WHERE doc_id % 4 <> 1""",
     "blob_cleanup": """SELECT 'first' AS step, count(DISTINCT doc_id % 20)::BIGINT AS files, 0::BIGINT AS errors FROM documents WHERE doc_id % 20 < 8 UNION ALL SELECT 'second', 0, 0 UNION ALL SELECT 'odd', 0, 2""",
     "staged_inputs": """SELECT left(sha256(doc_id::VARCHAR), 16) AS evaluation_id, CASE doc_id % 6 WHEN 1 THEN 'private_manifest_key_mismatch' WHEN 2 THEN 'private_source_integrity_failed'
         WHEN 3 THEN 'private_source_integrity_failed' END AS error_code FROM documents""",

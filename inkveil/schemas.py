@@ -3,20 +3,11 @@
 from __future__ import annotations
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
-WORDS = f"doc_id bigint, page_index int, word_idx int, text string, box {BOX}, source string"
-ITEMS = "doc_id bigint, page_index int, item_ord int, text string, category string"
-DETECTIONS = f"doc_id bigint, id string, page_index int, category string, box {BOX}, confidence double, source string, fingerprint string"
 MANIFEST = (
     f"schema_version int, job_id string, page_count int, detections array<struct<id:string,page_index:int,category:string,"
     f"box:{BOX},confidence:double,source:string,fingerprint:string>>, detector_version string, prompt_version string, "
     "model_id string, created_at timestamp, rotation int"
 )
-MESSAGE = "schema_version int, job_id string, task string"
-JOBS = (
-    "job_id string, status string, created_at timestamp, expires_at timestamp, updated_at timestamp, client_hash string, "
-    "expected_bytes bigint, actual_bytes bigint, page_count int, pages_completed int, finding_count int, error_code string, "
-    "auto_finalize boolean, completed_once boolean, version int"
-)
 
 # Fixed values.
 ACTIVE = ("awaiting_upload", "queued_detection", "detecting", "review_required", "queued_redaction", "redacting")

@@ -77,13 +77,18 @@ def gathered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(item)).alias("words"))
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*.pdf", content: bool = False) -> DataFrame:
+def files(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][fF]", content: bool = False) -> DataFrame:
     """Files below `path`, in the order of their lower-cased paths; their bytes only if asked for."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     columns = ["path", "length", "modificationTime", *["content"] * content]
     return found.select(*columns).orderBy(F.lower("path"), "path")
 
 
+def file_heads(found: DataFrame, size: int = 16) -> DataFrame:
+    """(path, size_bytes, head): the first bytes of files with content."""
+    return found.select("path", F.col("length").alias("size_bytes"), F.substring("content", 1, size).alias("head"))
+
+
 def file_digests(found: DataFrame) -> DataFrame:
     return found.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_sha256"))
 

@@ -66,3 +66,13 @@ def test_prefixes_are_deleted_once(spark, tmp_path):
     got = {r.prefix: (r.files, r.error) for r in staged.deleted_prefixes(df, str(tmp_path)).collect()}
     assert got == {"jobs/0": (1, None), "jobs/1": (1, None), "jobs/9": (0, None), "../x": (0, "invalid_prefix"), "/etc": (0, "invalid_prefix"), None: (0, "invalid_prefix")}
     assert [p.name for p in (tmp_path / "jobs").iterdir()] == ["2"] and (tmp_path / "other").exists()
+
+
+def test_files_are_written_all_or_none(spark, tmp_path):
+    rows = [("a.pdf", b"x" * 10), ("B.PDF", None), ("c.txt", b"y")]
+    staged.write_files(spark.createDataFrame(rows, "name string, content binary").repartition(2), f"{tmp_path}/in")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "in").rglob("*") if p.is_file() and not p.name.startswith(".")} == {"a.pdf": b"x" * 10, "B.PDF": b"", "c.txt": b"y"}
+    twice = spark.createDataFrame([*rows, ("a.pdf", b"z")], "name string, content binary").coalesce(1)
+    with pytest.raises(Exception, match="more than one content"):
+        staged.write_files(twice, f"{tmp_path}/bad")
+    assert not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]
