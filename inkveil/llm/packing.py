@@ -1,8 +1,10 @@
 """Packing by cutting-stock column generation.
 
 Each document becomes token ids and an end id. Its ids are cut into full pieces of the sequence length and one
-rest; pieces are graded into length classes of `grain` tokens. The numbers of pieces per class, a histogram of
-at most length/grain numbers, are all that the driver sees. Over it a linear program chooses how often to use
+rest; pieces are graded into length classes of `grain` tokens. Pieces under `SMALL` tokens have a class for each length; as
+many of a length as fit `BUNDLE` tokens make a bundle, which is packed like a piece of its length, so that short texts lose next to
+nothing to the grain. The numbers of pieces per class, a histogram of at most length/grain + SMALL numbers, are all that
+the driver sees. Over it a linear program chooses how often to use
 each pattern (a multiset of classes that fits a sequence): the simplex method holds a basis of patterns, and a
 knapsack dynamic program over the classes' prices finds the pattern to enter, until none pays or the bound of
 Farley shows that the rest is under `gap`. Pattern counts are rounded down, and the few pieces left over are
@@ -10,8 +12,9 @@ packed first-fit-decreasing. The plan's size depends on the number of classes al
 
 Pieces are ranked within their class and find pattern, sequence and place by their rank. They are numbered where
 they are cut, by class and partition; the counts per (class, partition), which are broadcast, make ranks of these
-numbers. So the only exchange of token ids is that to their sequences, however many pieces a class holds. A
-sequence holds length/grain pieces at most; offsets are sums within it. Token ids go with their pieces throughout, so
+numbers: partitions are merged down to `MAX_PARTS` before, so these are MAX_PARTS * (length/grain + SMALL) numbers at most. So
+the only exchange of token ids is that to their sequences, however many pieces a class holds. A
+sequence holds as many pieces as tokens at most; offsets are sums within it. Token ids go with their pieces throughout, so
 the rows of a sequence in the order of their offsets are the packed sequence.
 
 Defined results: a null or empty text is its end id alone. Repeated rows are packed each for itself. An empty
@@ -34,9 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import Scratch, byte_slices
+from inkveil.llm.common import Scratch, byte_slices, quoted
 
 LENGTH, GRAIN, END_ID = 4096, 16, 2
+#: Pieces of fewer tokens are bundled by their exact length, into about so many tokens.
+SMALL, BUNDLE = 128, 512
+#: The most partitions that pieces are numbered in.
+MAX_PARTS = 4096
 CACHE_ENTRIES = 300_000
 #: Longer words are not kept: texts without spaces are one word each.
 KEPT_LETTERS = 64
@@ -151,8 +158,9 @@ def pieces(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, start, length, doc_tokens, ids, __cls, __part, __at): each document's full pieces and its rest, numbered
-    within their class and partition."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    within their class and partition. The class of a small piece is its length, negated."""
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).coalesce(MAX_PARTS)
+    small = min(SMALL, length)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +179,7 @@ def pieces(
                         size.append(len(piece) // 4)
                         total.append(n)
                         ids.append(piece)
-                        cls.append(-(-size[-1] // grain))
+                        cls.append(-size[-1] if size[-1] < small else -(-size[-1] // grain))
                         place.append(seen[cls[-1]])
                         seen[cls[-1]] += 1
                 columns = [part.column("id").take(pa.array(row, pa.int64()))]
@@ -289,6 +297,21 @@ def plan(demand: dict[int, int], room: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["cls", "first", "last", "each", "sequence"])
 
 
+def bundled(counts: dict[int, int], length: int, grain: int) -> tuple[dict[int, int], list[tuple[int, ...]]]:
+    """Numbers of pieces and bundles per class, and for each small length (class, pieces to a bundle, whole bundles, their
+    class, their first rank, the class of the last bundle, its rank)."""
+    demand, out = Counter({c: n for c, n in counts.items() if c > 0}), []
+    for cls in sorted(c for c in counts if c < 0):
+        each = max(1, min(BUNDLE, length) // -cls)
+        whole, rest = divmod(counts[cls], each)
+        full, last = -(each * cls // grain), -(rest * cls // grain)
+        first = demand[full]
+        demand[full] += whole
+        out.append((cls, each, whole, full, first, last, demand[last]))
+        demand[last] += rest > 0
+    return {c: n for c, n in demand.items() if n}, out
+
+
 def assign(ranked: DataFrame, layout: pd.DataFrame) -> DataFrame:
     """Adds sequence_id to rows with __cls and __rank. `layout` is bounded by the number of classes. The rows stay in
     the JVM, as they hold token ids."""
@@ -310,13 +333,23 @@ def pack(
     scratch = Scratch(spark)
     rows = scratch.table(pieces(df, tokenizer, length, grain, end_id, id_col, text_col))
     counts = scratch.table(rows.groupBy("__cls", "__part").agg(F.count("*").alias("__n")))
-    demand = {r[0]: r[1] for r in counts.groupBy("__cls").agg(F.sum("__n")).collect()}
+    found = {r[0]: r[1] for r in counts.groupBy("__cls").agg(F.sum("__n")).collect()}
+    demand, bundles = bundled(found, length, grain)
     layout = plan(demand, length // grain)
     before = Window.partitionBy("__cls").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__cls", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     ranked = rows.join(F.broadcast(base), ["__cls", "__part"]).withColumn("__rank", F.col("__base") + F.col("__at"))
-    placed = assign(ranked.select(id_col, "start", "length", "doc_tokens", "ids", "__cls", "__rank"), layout)
-    within = Window.partitionBy("sequence_id").orderBy(F.desc("__cls"), "__rank")
+    names = ("__cls", "__each", "__whole", "__full", "__first", "__last", "__rest")
+    small = spark.createDataFrame(bundles, ", ".join(f"{n} bigint" for n in names))
+    ranked = ranked.join(F.broadcast(small), "__cls", "left")
+    bundle, is_small = F.floor(F.col("__rank") / F.col("__each")), F.col("__cls") < 0
+    whole = bundle < F.col("__whole")
+    cls = F.when(is_small, F.when(whole, F.col("__full")).otherwise(F.col("__last"))).otherwise(F.col("__cls"))
+    rank = F.when(is_small, F.when(whole, F.col("__first") + bundle).otherwise(F.col("__rest"))).otherwise(F.col("__rank"))
+    inner = F.when(is_small, F.col("__rank") % F.col("__each")).otherwise(F.lit(0))
+    ranked = ranked.select(F.col(quoted(id_col)), "start", "length", "doc_tokens", "ids", cls.alias("__cls"), rank.alias("__rank"), inner.alias("__inner"))
+    placed = assign(ranked, layout)
+    within = Window.partitionBy("sequence_id").orderBy(F.desc("__cls"), "__rank", "__inner")
     offset = F.coalesce(F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("offset", offset.cast("long"))
-    return placed.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
+    return placed.select(quoted(id_col), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

@@ -226,3 +226,27 @@ def test_stages_give_every_column_back(spark, data, tmp_path):
 
 def stage_count(cp, spark, docs, data):
     return cp.STAGES[-1][1](spark, docs, data).select("doc_id").distinct().count()
+
+
+# ------------------------------------------------------------------ packing of short texts
+def test_short_texts_lose_next_to_nothing(spark):
+    """Twenty thousand empty texts take five sequences, as many of eight tokens forty; mixed lengths a few per cent more than
+    their tokens. Each sequence is gapless and no longer than it may be."""
+    import public_tokenizers
+
+    from inkveil.llm.packing import bundled, pack
+
+    rng = random.Random(4)
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    empty = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    eight = empty.withColumn("text", F.lit("one two three four five six seven"))
+    mixed = spark.createDataFrame([(k, " ".join(["one"] * rng.randint(0, 300))) for k in range(3000)], "doc_id long, text string").repartition(3)
+    for df, least, most in ((empty, 5, 5), (eight, 40, 40), (mixed, 1, None)):
+        at, total = collections.defaultdict(int), 0
+        for r in pack(df, tokenizer).select("sequence_id", "offset", "length").orderBy("sequence_id", "offset").collect():
+            assert r.offset == at[r.sequence_id]
+            at[r.sequence_id] += r.length
+            total += r.length
+        assert least <= len(at) <= (most or 1.05 * total / 4096 + 1) and max(at.values()) <= 4096
+    demand, rows = bundled({-8: 130, -100: 6, 32: 7}, 4096, 16)
+    assert demand == {32: 7 + 2 + 1, 1: 1, 7: 1} and rows == [(-100, 5, 1, 32, 7, 7, 0), (-8, 64, 2, 32, 8, 1, 0)]
