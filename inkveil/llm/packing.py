@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -44,11 +43,11 @@ LENGTH, GRAIN, END_ID = 4096, 16, 2
 SMALL, BUNDLE = 128, 512
 #: The most partitions that pieces are numbered in.
 MAX_PARTS = 4096
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Longer words are not kept: texts without spaces are one word each.
 KEPT_LETTERS = 64
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Marks that are looked up apart from the word before them.
 MARKS = tuple(".,;:!?")
 
@@ -262,9 +261,11 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, m
     return basis, use
 
 
-def plan(demand: dict[int, int], room: int) -> pd.DataFrame:
+def plan(demand: dict[int, int], room: int):
     """The rounded plan for `demand` (class: pieces): rows (cls, first, last, each, sequence). Ranks first to last - 1
     of a class go to sequences from `sequence` on, `each` of them to a sequence. No class's ranks are left over."""
+    import pandas as pd  # the driver's; the workers that encode do not load it
+
     classes = sorted(demand)
     sizes, need = np.array(classes, dtype=np.int64), np.array([demand[c] for c in classes], dtype=np.int64)
     uses: list[tuple[np.ndarray, int]] = []
@@ -312,7 +313,7 @@ def bundled(counts: dict[int, int], length: int, grain: int) -> tuple[dict[int,
     return {c: n for c, n in demand.items() if n}, out
 
 
-def assign(ranked: DataFrame, layout: pd.DataFrame) -> DataFrame:
+def assign(ranked: DataFrame, layout) -> DataFrame:
     """Adds sequence_id to rows with __cls and __rank. `layout` is bounded by the number of classes. The rows stay in
     the JVM, as they hold token ids."""
     spans = [(int(c), list(zip(*(g.sort_values("first")[k].tolist() for k in ("first", "each", "sequence")), strict=True))) for c, g in layout.groupby("cls")]
