@@ -16,7 +16,7 @@ def scans(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
 
 
-@pytest.mark.parametrize("name, most", [("anchor_cascade", 1), ("anchor_exact", 1), ("anchor_fuzzy", 1)])
+@pytest.mark.parametrize("name, most", [("anchor_cascade", 1), ("anchor_exact", 1), ("anchor_fuzzy", 1), ("ocr_routing", 2)])
 def test_documents_are_read_once(spark, data, name, most):
     assert scans(P.QUERIES[name](spark, data)) <= most
 
@@ -50,3 +50,20 @@ def test_identifier_in_two_words_is_kept(spark):
     text = "a 123-45-6789 b (987-65- 4321), 11-22-33 c 123 -45-6789 x ***-**. -4321"
     docs = spark.createDataFrame([(1, text), (2, "no 12-34 here")], "doc_id long, text string")
     assert sorted((r.doc_id, r.word_idx) for r in D.ssn_net(plain_pages(docs)).collect()) == [(1, 1), (1, 3), (1, 4), (1, 7), (1, 8), (1, 10), (1, 11)]
+
+
+@pytest.mark.parametrize("name", ["page_grid", "prompts", "grid_rows"])
+def test_rows_are_folded_once(spark, data, name):
+    """A page's rows are made by one Python step, which no filter on its result doubles, and not word by word in a projection."""
+    from inkveil.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "aggregate(" not in plan
+
+
+def test_row_sizes_are_those_of_rows(spark, data):
+    words = P._uneven(spark, data)
+    from inkveil.operators import pages as G
+
+    few = sorted((r.doc_id, r.page_index, [(x.c, x.n) for x in r.rows]) for r in G.row_sizes(words).collect())
+    assert few == sorted((r.doc_id, r.page_index, [(x.c, len(x.ws)) for x in r.rows]) for r in G.page_rows(words).collect()) and len(few) > 100
