@@ -23,6 +23,7 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -43,107 +44,118 @@ LENGTH, GRAIN, END_ID = 4096, 16, 2
 SMALL, BUNDLE = 128, 512
 #: The most partitions that pieces are numbered in.
 MAX_PARTS = 4096
-CACHE_ENTRIES = 150_000
-#: Longer words are not kept: texts without spaces are one word each.
-KEPT_LETTERS = 64
+#: About so many different strings are kept with their ids; longer ones are not: texts without spaces are one word each.
+KEPT, KEPT_LETTERS = 250_000, 64
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 2 << 20
-#: Marks that are looked up apart from the word before them.
-MARKS = tuple(".,;:!?")
-
-
-def _letters(word: str) -> bool:
-    """Letters only, in lower case too (a dotted capital I turns into a letter and a mark)."""
-    return word.isalpha() and (word.isascii() or word.lower().isalpha())
-
-
-class Kept(dict):
-    """A dictionary of at most two generations of CACHE_ENTRIES: entries that are used again come back from the elder."""
-
-    elder: dict = {}
-
-    def room(self, more: int) -> None:
-        if len(self) + more > CACHE_ENTRIES:
-            self.elder = dict(self)
-            self.clear()
-
-    def unknown(self, words) -> list[str]:
-        """Those of `words` that are in neither generation; the others are in this one afterwards."""
-        new = [w for w in words if w not in self]
-        out, elder = [], self.elder
-        for w in new:
-            ids = elder.get(w)
-            if ids is None:
-                out.append(w)
-            else:
-                self[w] = ids
-        return out
+#: Letters that lower-case one by one and take part in no composition, and marks that may stand behind them.
+SHAPE = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?#*$%&|]*)$"
+
+
+def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, .. of all runs, one run behind the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Known:
+    """Ids of different strings: those that came before are looked up, the others encoded and kept. They lie in Arrow and numpy
+    arrays, some 40 bytes each, as two workers of an executor hold them at once and for good."""
+
+    def __init__(self, encode):
+        self.encode, self.names = encode, pa.array([], pa.string())
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def of(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each string lie in `ids`: the first, and how many."""
+        at = pc.index_in(strings, value_set=self.names)
+        unknown = pc.is_null(at)
+        new = strings.filter(unknown)
+        if len(new):
+            if len(self.names) + len(new) > KEPT:  # of the others only those stay that are used now
+                used = at.drop_null().to_numpy()
+                self.names, ids = self.names.take(pa.array(used)), self.ids[runs(self.first[used], self.size[used])]
+                self.size, self.ids = self.size[used], ids
+                at = pc.index_in(strings, value_set=self.names)
+            ids, size = self.encode(new.to_pylist())
+            at = np.where(unknown, len(self.names) + np.cumsum(unknown) - 1, pc.fill_null(at, 0))
+            self.names = pa.concat_arrays([self.names, new])
+            self.size, self.ids = np.r_[self.size, size], np.r_[self.ids, ids]
+            self.first = np.cumsum(self.size) - self.size
+        at = np.asarray(at)
+        return self.first[at], self.size[at]
 
 
 class WordIds:
     """White-space separated words to ids as little-endian 32-bit numbers. The tokenizer drops white space and never joins
     across it, so a text's ids are those of its words; it lower-cases, and parts letters from other signs, so a
-    word of letters with a mark behind it has the ids of the letters and those of the mark."""
+    word of letters with marks behind it has the ids of the letters and those of the marks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.cores = Kept(), Kept()
-
-    def _encode_plain(self, cores: list[str]) -> None:
-        for c, e in zip(cores, self.tokenizer.encode_batch(cores, add_special_tokens=False), strict=True):
-            self.cores[c] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _encode_cores(self, cores: list[str]) -> None:
-        """Words of letters only are encoded many at a time; each is one pre-token, by which their ids are told apart."""
-        letters, plain = [c for c in cores if _letters(c)], [c for c in cores if not _letters(c)]
-        groups = [letters[k : k + 200] for k in range(0, len(letters), 200)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids, owner = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            if len(first) == len(group):
-                data, ends = ids.tobytes(), (4 * np.r_[first, len(ids)]).tolist()
-                self.cores.update(zip(group, [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True))
-            else:
-                plain += group
-        self._encode_plain(plain)
-
-    def ids_of(self, every: list[str]) -> list[bytes]:
-        """The ids of different words."""
-        self.words.room(len(every))
-        split = {}
-        for w in self.words.unknown(every):
-            c = w.lower() if w.isascii() else w
-            split[w] = (c[:-1], c[-1]) if c[-1:] in MARKS and _letters(c[:-1]) else (c,)
-        cores = {c for parts in split.values() for c in parts}
-        self.cores.room(len(cores))
-        self._encode_cores(self.cores.unknown(cores))
-        core = self.cores
-        self.words.update((w, core[parts[0]] if len(parts) == 1 else core[parts[0]] + core[parts[1]]) for w, parts in split.items())
-        out = list(map(self.words.__getitem__, every))
-        for held, names in ((self.words, split), (core, cores)):
-            for w in names:
-                if len(w) > KEPT_LETTERS:
-                    del held[w]
-        return out
+        self.quick = Tokenizer(self.tokenizer.model)  # the same model, not another
+        self.quick.normalizer = normalizers.Sequence([])
+        self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[k for w, k in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        self.cores, self.tails, self.others = Known(self._encode_letters), Known(self._encode_plain), Known(self._encode_plain)
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), "<u4", size.sum()), size
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of lower-case letters, which need no preparation, are encoded many at a time; their last ids tell them apart."""
+        groups = [" ".join(words[k : k + 200]) for k in range(0, len(words), 200)]
+        found = [e.ids for e in self.quick.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(found), "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode_plain(words)
+        return ids, np.diff(ends, prepend=0)
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different words: all of them, where each word's begin, and how many they are."""
+        short = pc.less_equal(pc.utf8_length(words), KEPT_LETTERS)
+        shape = pc.extract_regex(words, SHAPE)
+        lettered = pc.and_(short, pc.is_valid(shape))
+        shape = shape.filter(lettered)
+        long, first, size = Known(self._encode_plain), np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        of_letters, base, every = np.flatnonzero(lettered), 0, []
+        for known, rows, column, strings in (
+            (self.cores, of_letters, 0, pc.utf8_lower(shape.field("core"))),
+            (self.tails, of_letters, 1, shape.field("tail")),
+            (self.others, np.flatnonzero(pc.and_not(short, lettered)), 0, words.filter(pc.and_not(short, lettered))),
+            (long, np.flatnonzero(pc.invert(short)), 0, words.filter(pc.invert(short))),
+        ):
+            coded = strings.dictionary_encode()
+            at, n = known.of(coded.dictionary)
+            which = coded.indices.to_numpy()
+            first[rows, column], size[rows, column] = at[which] + base, n[which]
+            base += len(known.ids)
+            every.append(known.ids)
+        ids = np.concatenate(every)[runs(first.ravel(), size.ravel())]
+        size = size.sum(axis=1)
+        return ids, np.cumsum(size) - size, size
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of texts. Only space, newline and tab part words here; other white space stays inside a word, for the
         tokenizer. Each different word is looked up once; its places are filled in numpy."""
-        plain = pc.fill_null(texts, "")
+        plain = pc.fill_null(texts, "").cast(pa.string())
         for mark in "\n\t":
             plain = pc.replace_substring(plain, mark, " ")
         lists = pc.split_pattern(plain, " ")
         coded = lists.flatten().dictionary_encode()
-        found = self.ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        first, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
-        sizes = sizes[at]
-        ends = np.r_[0, np.cumsum(sizes)]
-        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        bounds = ends[lists.offsets.to_numpy()].tolist()
+        found, first, size = self.ids_of(coded.dictionary)
+        at = coded.indices.to_numpy()
+        ids = found[runs(first[at], size[at])]
+        bounds = np.r_[0, np.cumsum(size[at])][lists.offsets.to_numpy()].tolist()
         return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 

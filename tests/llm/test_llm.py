@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -344,6 +345,30 @@ def test_packing(spark, docs, none):
     check_packing(odd, packing.pack(spark.createDataFrame(list(odd.items()), "doc_id long, text string"), WORDS).collect())
 
 
+def test_word_ids_are_the_tokenizers(monkeypatch):
+    """Words of all shapes, with the few that are kept dropped time and again; upper-cased special tokens are none."""
+    words, known = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    texts = [
+        "", None, "Hello, WORLD!! it's 12,5 % of x**2 &&& Ñandú, ÉTÉ... Straße ΣΊΣΥΦΟΣ Ⅷ", "<|ENDOFTEXT|> a<|endoftext|>b <|EndOfText|>.", "a\x0bb c \r\n d\te",
+        "H̱ello H̊ W̊ Kelvin Ångstrom İstanbul été", "x" * 5000 + " " + "déjà" * 40 + "!", "日本語テキスト。 привет, мир!", "$$$ #word |a| 'twas don't '", "Hello Hello, hello.",
+    ]
+    for most in (packing.KEPT, 3):
+        monkeypatch.setattr(packing, "KEPT", most)
+        for _ in range(3):
+            for part in (texts, texts[::-1], texts[2:3], [t for t in texts if t] * 2):
+                got = [np.frombuffer(b, dtype="<u4").tolist() for b in words.encode(pa.array(part, pa.string()))]
+                assert got == [known.encode(t or "", add_special_tokens=False).ids for t in part]
+
+
+def test_kept_words_are_few():
+    """What a worker keeps stays within its bound, some 40 bytes a word, whatever comes."""
+    words = packing.WordIds(WORDS)
+    for k in range(8):
+        words.encode(pa.array([" ".join(f"w{a:x} {chr(97 + k)}{chr(97 + a % 26)}{np.base_repr(a, 26).lower().translate(str.maketrans('0123456789', 'qrstuvwxyz'))}," for a in range(60_000))]))
+    held = words.cores, words.tails, words.others
+    assert all(len(x.names) <= packing.KEPT for x in held) and sum(x.names.nbytes + x.ids.nbytes + x.first.nbytes + x.size.nbytes for x in held) < 60 << 20
+
+
 def test_long_words_are_packed(spark):
     """Texts without a space, of many tokens, and null ids."""
     texts = {1: "日本語テキスト" * 3000, 2: "QUJDRA9+/" * 2000, None: "x y"}
