@@ -67,3 +67,10 @@ def test_row_sizes_are_those_of_rows(spark, data):
 
     few = sorted((r.doc_id, r.page_index, [(x.c, x.n) for x in r.rows]) for r in G.row_sizes(words).collect())
     assert few == sorted((r.doc_id, r.page_index, [(x.c, len(x.ws)) for x in r.rows]) for r in G.page_rows(words).collect()) and len(few) > 100
+
+
+@pytest.mark.parametrize("name", ["fail_closed_tin", "ssn_net"])
+def test_customers_are_dealt_over_the_cores(spark, data, name):
+    """A table in one part, as its reader gives it, would be one task's work."""
+    assert P.customer_words(spark, data).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert "REPARTITION_BY_NUM" in P.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
