@@ -22,8 +22,12 @@ from inkveil.sinks.staged import store_of
 
 ROWS = "file string, line int, body string"
 ROW_FIELDS = pa.schema([("file", pa.string()), ("line", pa.int32()), ("body", pa.string())])
-#: Files that one task of a batch reads.
-FILES_PER_TASK = 32
+#: Files that one task of a batch reads, and about how many bytes of them at most.
+FILES_PER_TASK, TASK_BYTES = 32, 32 << 20
+#: A task's messages go to a new file after so many bytes.
+FILE_BYTES = 8 << 20
+#: Bytes of a file that are read, and lines that are handed on, at a time.
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass
@@ -33,7 +37,7 @@ class Files(InputPartition):
 
 @dataclass
 class Sent(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class FolderQueue:
@@ -54,6 +58,18 @@ class FolderQueue:
             to.write(data)
         self.store.move(f"{folder}/.{name}", f"{folder}/{name}")
 
+    def lines(self, path: str) -> Iterator[list[bytes]]:
+        """A file's whole lines, some at a time."""
+        rest = b""
+        with self.store.open_input_stream(path) as of:
+            while block := of.read(BLOCK_BYTES):
+                *lines, last = block.split(b"\n")
+                if lines:
+                    lines[0], rest = rest + lines[0], last
+                    yield lines
+                else:
+                    rest += last
+
     def get(self, path: str) -> bytes:
         with self.store.open_input_stream(path) as of:
             return of.read()
@@ -91,13 +107,25 @@ class QueueReader(DataSourceStreamReader):
         there = set(queue.names(queue.lists))
         names = [n for k in range(start["batch"] + 1, end["batch"] + 1) if f"{k:012d}" in there for n in self._list(queue, k)]
         self.last = max(end["batch"], getattr(self, "last", 0))
-        return [Files(names[k : k + FILES_PER_TASK]) for k in range(0, len(names), FILES_PER_TASK)]
+        sizes = {f.base_name: f.size or 0 for f in queue.store.get_file_info(pafs.FileSelector(queue.new, allow_not_found=True))}
+        parts, room = [], 0
+        for name in names:
+            size = sizes.get(name, 0)
+            if not parts or size > room or len(parts[-1].names) == FILES_PER_TASK:
+                parts.append(Files([]))
+                room = TASK_BYTES
+            parts[-1].names.append(name)
+            room -= size
+        return parts  # type: ignore[return-value]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         queue = FolderQueue(self.path)
         for name in partition.names:
-            lines = queue.get(f"{queue.new}/{name}").decode(errors="replace").split("\n")[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.string())], schema=ROW_FIELDS)
+            first = 0
+            for lines in queue.lines(f"{queue.new}/{name}"):
+                bodies = pa.array([x.decode(errors="replace") for x in lines], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(range(first, first + len(lines)), pa.int32()), bodies], schema=ROW_FIELDS)
+                first += len(lines)
 
     def commit(self, end: dict) -> None:
         """Acknowledges: the files of all lists up to `end` go, then the lists but the last, which keeps the count."""
@@ -115,27 +143,41 @@ class QueueWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Sent:
-        """One task's messages as one file, which nobody sees before the commit. A body's line breaks are blanks."""
-        bodies = [b for batch in iterator for b in batch.column("body").to_pylist()]
-        if not bodies:
-            return Sent(None)
-        queue, name = FolderQueue(self.path), f"m-{uuid.uuid4().hex}"
-        lines = "".join(f"{(b or '').replace('\r', ' ').replace('\n', ' ')}\n" for b in bodies)
-        queue.put(f"{queue.new}-staging", name, lines.encode())
-        return Sent(name)
+        """One task's messages as files, which nobody sees before the commit, written as they come. A body's line breaks are blanks."""
+        queue, names, to, room = FolderQueue(self.path), [], None, 0
+        try:
+            for batch in iterator:
+                for at in range(0, batch.num_rows, 10_000):
+                    bodies = batch.column("body")[at : at + 10_000].to_pylist()
+                    lines = "".join(f"{(b or '').replace('\r', ' ').replace('\n', ' ')}\n" for b in bodies).encode()
+                    if to is None or room < len(lines):
+                        if to is not None:
+                            to.close()
+                        names.append(f"m-{uuid.uuid4().hex}")
+                        queue.store.create_dir(f"{queue.new}-staging", recursive=True)
+                        to, room = queue.store.open_output_stream(f"{queue.new}-staging/{names[-1]}"), FILE_BYTES
+                    to.write(lines)
+                    room -= len(lines)
+        except BaseException:
+            self.abort([Sent(names)])
+            raise
+        finally:
+            if to is not None:
+                to.close()
+        return Sent(names)
 
     def commit(self, messages: list[Sent | None]) -> None:
         queue = FolderQueue(self.path)
         queue.store.create_dir(queue.new, recursive=True)
         for m in messages:
-            if m and m.name:
-                queue.store.move(f"{queue.new}-staging/{m.name}", f"{queue.new}/{m.name}")
+            for name in m.names if m else ():
+                queue.store.move(f"{queue.new}-staging/{name}", f"{queue.new}/{name}")
 
     def abort(self, messages: list[Sent | None]) -> None:
         queue = FolderQueue(self.path)
         for m in messages:
-            if m and m.name:
-                queue.drop(f"{queue.new}-staging/{m.name}")
+            for name in m.names if m else ():
+                queue.drop(f"{queue.new}-staging/{name}")
 
 
 class QueueSource(DataSource):

@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,24 @@ def test_queue_folder_by_itself(tmp_path):
     assert queue.names(queue.new) == ["m-0"] and [p.names for p in again.partitions({"batch": 1}, {"batch": 2})] == [["m-0"]]
     again.commit({"batch": 2})
     assert queue.names(queue.new) == [] and Q.QueueReader(str(tmp_path)).latestOffset() == {"batch": 2}
+
+
+def test_queue_moves_in_small_pieces(spark, tmp_path, monkeypatch):
+    """A task's messages go to many files, a file is read in blocks, and no batch of rows holds a whole file."""
+    monkeypatch.setattr(Q, "FILE_BYTES", 1000)
+    monkeypatch.setattr(Q, "TASK_BYTES", 2500)
+    monkeypatch.setattr(Q, "BLOCK_BYTES", 7)
+    sent = [f"é{k} " + "x" * (k % 5) for k in range(400)] + ["", None, "a\nb\rc", "y" * 5000]
+    rows = [pa.RecordBatch.from_arrays([pa.array(sent[k : k + 20], pa.string())], names=["body"]) for k in range(0, len(sent), 20)]
+    queue = Q.QueueWriter(str(tmp_path))
+    told = queue.write(iter(rows))
+    queue.commit([told, None, queue.write(iter([]))])
+    assert len(told.names) > 3 and sum(1 for x in (tmp_path / "new").iterdir()) == len(told.names)
+    reader = Q.QueueReader(str(tmp_path))
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) > 2 and sorted(n for p in parts for n in p.names) == sorted(told.names)
+    got = [(r["file"], r["line"], r["body"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(x[2] for x in got) == sorted((b or "").replace("\n", " ").replace("\r", " ") for b in sent)
+    for name in told.names:
+        assert [x[1] for x in got if x[0] == name] == list(range(sum(x[0] == name for x in got)))
+    assert max(b.num_rows for p in parts for b in reader.read(p)) < 20
