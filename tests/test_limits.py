@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inkveil.operators import limits as L
 from inkveil.plans import limits as P
 from inkveil.sinks import archive, staged
+from inkveil.sources.tables import files
 from tests.compare import check
 
 
@@ -57,6 +58,19 @@ def test_archives(spark, tmp_path):
     assert not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]
 
 
+def test_large_archives_are_whole(spark, tmp_path):
+    """More files than a plain archive holds, written as ZIP64 and read back in spans, each entry once."""
+    n = archive.MOST_FILES + 10
+    rows = spark.range(n).select(F.lit("m.zip").alias("archive"), F.col("id").alias("position"), F.concat(F.lit("f"), "id").alias("name"), F.col("id").cast("string").cast("binary").alias("content"), F.lit("x").alias("listed"))
+    assert archive.archive_errors(rows, True, wide=True).where("error_code is not null").isEmpty()
+    archive.write_archives(rows, f"{tmp_path}/out")
+    read = archive.archive_entries(files(spark, f"{tmp_path}/out", "*.zip"))
+    assert read.where("name = 'index.csv'").select(F.length("content")).first()[0] == 3 * n
+    found = read.where("name <> 'index.csv'")
+    assert found.count() == n and found.where("name <> 'f' || cast(content as string)").isEmpty() and found.select("name").distinct().count() == n
+    assert read.groupBy(F.spark_partition_id()).count().count() > 3
+
+
 def test_prefixes_are_deleted_once(spark, tmp_path):
     for k in range(3):
         (tmp_path / "jobs" / str(k) / "deep").mkdir(parents=True)
