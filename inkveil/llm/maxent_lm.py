@@ -41,7 +41,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, byte_slices, text_or_empty
+from inkveil.llm.common import Scratch, byte_slices, keep_freed_memory, text_or_empty
 
 #: Most words of the head; rarer words are looked up by a join.
 HEAD = 1 << 17
@@ -61,6 +61,10 @@ FIRST_SQUARE, FIRST_CELL = 1e-3, 1.0
 FAR = 30.0
 #: Levels of the tree that share a block of cells; tokens whose steps are taken at a time.
 LEVELS, STEPS = 4, 512
+#: Stretches of the tree that are scored at a time, so that what is at work stays in a core's cache.
+STRETCHES = 2048
+#: What is laid out of each stretch; the bias where a path has ended before its last stretch does: such a step costs nothing.
+LAID, NO_STEP = 3 * LEVELS + 1, -200.0
 
 
 def table_sizes(tokens: int) -> tuple[int, int]:
@@ -183,8 +187,9 @@ class Model:
     size: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    groups: np.ndarray  # of each step: the node at which its levels begin, and its place in them
-    slots: np.ndarray
+    first_stretch: np.ndarray  # each id's first stretch of LEVELS steps, and how many it has
+    stretches: np.ndarray
+    laid: np.ndarray  # (stretches, LAID): of each stretch what its steps need, in one place of memory; see `laid_out`
     bias: np.ndarray  # of classes
     node_bias: np.ndarray
     weights: np.ndarray  # (rows, CLASSES)
@@ -230,6 +235,23 @@ def tree(mass: list[float]) -> tuple[list[list[tuple[int, int]]], list[float]]:
     return paths[:n], odds
 
 
+def laid_out(nodes: np.ndarray, sides: np.ndarray, depth: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Paths by stretches of LEVELS steps: of each step the bias of the side that is not taken, its sign (1 where side 0 is taken,
+    -1 where side 1 is) and its place in the block, then a hash of the stretch's first node. Where a path ends before its last
+    stretch does, the bias is NO_STEP, the sign 0, and the place 0, a cell that no step has."""
+    level = depth % LEVELS
+    stretch = np.cumsum(level == 0) - 1
+    out = np.zeros((int(np.sum(level == 0)), LAID), dtype=np.int32)
+    lean, signs, slots = out[:, :LEVELS].view(np.float32), out[:, LEVELS : 2 * LEVELS].view(np.float32), out[:, 2 * LEVELS : -1]
+    lean[:] = NO_STEP
+    signs[stretch, level] = 1 - 2 * sides
+    lean[stretch, level] = bias[nodes] * signs[stretch, level]
+    for k in range(LEVELS):  # a step's place is told by the sides taken before it in its stretch
+        slots[:, k] = np.where(signs[:, k] == 0, 0, 2 * slots[:, k - 1] + (signs[:, k - 1] < 0) if k else 1)
+    out[:, -1] = (nodes[level == 0].astype(np.uint32) * np.uint32(0xB66859FD)).view(np.int32)
+    return out
+
+
 def fresh_model(n: Counts) -> Model:
     head = len(n.head)
     by_suffix = np.full(65536 + 256, OTHER, dtype=np.int64)
@@ -252,19 +274,14 @@ def fresh_model(n: Counts) -> Model:
     size = np.array([len(x) for x in paths], dtype=np.int64)
     steps = np.array([x for path in paths for x in path], dtype=np.int64).reshape(-1, 2)
     depth = np.arange(len(steps)) - np.repeat(np.cumsum(size) - size, size)
-    groups, slots = steps[:, 0].copy(), np.ones(len(steps), dtype=np.int64)
-    for _ in range(LEVELS - 1):  # a step's levels begin where the one before it began, unless it begins them itself
-        inside = np.flatnonzero(depth % LEVELS > 0)
-        groups[inside] = groups[inside - 1]
-    for level in range(1, LEVELS):
-        inside = np.flatnonzero(depth % LEVELS == level)
-        slots[inside] = 2 * slots[inside - 1] + steps[inside - 1, 1]
+    bias, stretches = np.array(odds, dtype=np.float32), -(-size // LEVELS)
+    laid = laid_out(steps[:, 0], steps[:, 1], depth, bias)
     of_class = np.bincount(cls, weights=mass, minlength=CLASSES)
     base = np.log((np.array([*[c for _, c in n.head], n.ends]) + 0.5) / n.whole)
     rows, cells = table_sizes(n.tokens)
     return Model(
-        words, by_suffix, cls, base, np.cumsum(size) - size, size, steps[:, 0].astype(np.int32), steps[:, 1].astype(np.float32), groups.astype(np.uint32), slots.astype(np.int64),
-        np.log(of_class / of_class.sum()).astype(np.float32), np.array(odds, dtype=np.float32), np.zeros((rows, CLASSES), dtype=np.float32), np.zeros(cells, dtype=np.float32),
+        words, by_suffix, cls, base, np.cumsum(size) - size, size, steps[:, 0].astype(np.int32), steps[:, 1].astype(np.int8), np.cumsum(stretches) - stretches, stretches, laid,
+        np.log(of_class / of_class.sum()).astype(np.float32), bias, np.zeros((rows, CLASSES), dtype=np.float32), np.zeros(cells, dtype=np.float32),
     )
 
 
@@ -283,55 +300,90 @@ def class_rows(hashes: np.ndarray, rows: int) -> np.ndarray:
 
 
 def class_logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logits of the classes, each token's less its largest where that is needed to keep exp() in range."""
     out = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         out += weights.take(r, axis=0)
     out += bias
-    out -= out.max(axis=1, keepdims=True)
+    if out.max(initial=0) > FAR or out.min(initial=0) < -FAR:
+        out -= out.max(axis=1, keepdims=True)
     return out
 
 
-def tree_steps(m: Model, cells: int, hashes: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The steps to the ids `now`: (token, place in the model's steps, (features, steps) cells)."""
-    size = m.size.take(now)
-    token = np.repeat(np.arange(len(now)), size)
-    at = np.arange(len(token))
-    at += np.repeat(m.start.take(now) - (np.cumsum(size) - size), size)
-    mixed = hashes.take(token, axis=1)
-    mixed ^= m.groups.take(at) * np.uint32(0xB66859FD)
-    mixed *= np.uint32(0x9E3779B1)
-    mixed >>= np.uint32(33 + LEVELS - cells.bit_length())
-    cell = mixed.astype(np.int64)
-    cell <<= LEVELS
-    cell |= m.slots.take(at)
-    return token, at, cell
+def cell_of(row: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
+    at = row * width
+    at += column
+    return at
+
+
+class Steps:
+    """The steps of a tree to the ids `now`, by stretches of LEVELS. A stretch has one block of cells for each feature, so that
+    is hashed once."""
+
+    def __init__(self, m: Model, cells: int, hashes: np.ndarray, now: np.ndarray):
+        size = m.stretches.take(now)
+        self.ends = np.cumsum(size)
+        self.token = np.repeat(np.arange(len(now)), size)
+        at = (m.first_stretch.take(now) - self.ends + size).take(self.token)
+        at += np.arange(len(at))
+        self.laid = m.laid.take(at, axis=0)
+        mixed = hashes.take(self.token, axis=1)
+        mixed ^= self.laid[:, -1].view(np.uint32)
+        mixed *= np.uint32(0x9E3779B1)
+        mixed >>= np.uint32(33 + LEVELS - cells.bit_length())
+        self.block = mixed.astype(np.int64)
+        self.block <<= LEVELS
+
+    def some(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the stretches a to b: (features, LEVELS, stretches) cells, (LEVELS, stretches) biases and signs."""
+        laid = self.laid[a:b].T
+        kinds = laid[:LEVELS].view(np.float32), laid[LEVELS : 2 * LEVELS].view(np.float32)
+        return self.block[:, None, a:b] | laid[2 * LEVELS : -1].astype(np.int64, order="C"), *kinds
 
 
 def tree_scores(m: Model, hashes: np.ndarray, now: np.ndarray) -> np.ndarray:
     """Natural log-probability of each id within its class."""
-    token, at, cell = tree_steps(m, len(m.cells), hashes, now)
-    odds = m.cells.take(cell).sum(axis=0)
-    odds += m.node_bias.take(m.nodes.take(at))
-    np.negative(odds, out=odds, where=m.bits.take(at) > 0)
-    return np.bincount(token, weights=-np.logaddexp(0, odds), minlength=len(now))
+    steps = Steps(m, len(m.cells), hashes, now)
+    loss = np.empty(len(steps.token), dtype=np.float32)
+    for a in range(0, len(loss), STRETCHES):
+        cell, lean, signs = steps.some(a, a + STRETCHES)
+        odds = m.cells.take(cell).sum(axis=0)  # of the side that is not taken
+        odds *= signs
+        odds += lean
+        worst = np.maximum(odds, 0).sum(axis=0)
+        np.abs(odds, out=odds)
+        np.negative(odds, out=odds)
+        np.exp(odds, out=odds)
+        odds += 1
+        worst += np.log(odds.prod(axis=0))
+        loss[a : a + STRETCHES] = worst
+    return np.bincount(steps.token, weights=-loss, minlength=len(now))
 
 
 def train_tree(m: Model, pairs: np.ndarray, hashes: np.ndarray, now: np.ndarray) -> None:
-    """A step of Adagrad on the cells, in place. `pairs`: weight and sum of squares as one complex number, so that both are
-    in one place."""
-    _, at, cell = tree_steps(m, len(pairs), hashes, now)
-    cell = cell.ravel()
-    held = pairs.take(cell).reshape(len(hashes), -1)
-    odds = held.real.sum(axis=0)
-    odds += m.node_bias.take(m.nodes.take(at))
-    np.clip(odds, -FAR, FAR, out=odds)
-    slope = 1 / (1 + np.exp(-odds))
-    slope -= m.bits.take(at)
-    square = slope * slope
-    change = np.empty(held.shape, dtype=np.complex64)
-    change.real = -CELL_RATE * slope / np.sqrt(held.imag + square)
-    change.imag = square
-    np.add.at(pairs, cell, change.ravel())
+    """A step of Adagrad on the cells for every STEPS tokens, in place. `pairs`: weight and sum of squares as one complex number,
+    so that both are in one place."""
+    steps = Steps(m, len(pairs), hashes, now)
+    a = 0
+    for b in [*steps.ends[STEPS - 1 : -1 : STEPS].tolist(), len(steps.token)]:
+        cell, lean, signs = steps.some(a, b)
+        held = pairs.take(cell)
+        odds = held.real.sum(axis=0)  # of the side that is not taken
+        odds *= signs
+        odds += lean
+        np.clip(odds, -FAR, FAR, out=odds)
+        np.negative(odds, out=odds)
+        np.exp(odds, out=odds)
+        odds += 1
+        slope = signs / odds
+        square = slope * slope
+        change = np.empty(held.shape, dtype=np.complex64)
+        root = np.sqrt(held.imag + square)
+        slope *= -CELL_RATE
+        np.divide(slope, root, out=change.real)
+        change.imag = square
+        np.add.at(pairs, cell.ravel(), change.ravel())
+        a = b
 
 
 def folded(hashes: np.ndarray) -> np.ndarray:
@@ -345,13 +397,16 @@ def row_gradients(z: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ordered = flat.take(order)
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     n = np.diff(np.r_[first, len(order)])
-    alone, more = n == 1, n[n > 1]
-    owner = order % len(z)
+    alone, several = first[n == 1], first[n > 1]
+    order %= len(z)
     grad = np.empty((len(first), z.shape[1]), dtype=z.dtype)
-    grad[alone] = z.take(owner.take(first[alone]), axis=0)
-    if len(more):
-        grad[~alone] = np.add.reduceat(z.take(owner[np.repeat(~alone, n)], axis=0), np.cumsum(more) - more, axis=0)
-    return ordered.take(first).astype(np.int64), grad
+    z.take(order.take(alone), axis=0, out=grad[: len(alone)], mode="clip")
+    if len(several):
+        more = n[n > 1]
+        summed = z.take(order[np.repeat(n > 1, n)], axis=0)
+        # two columns are added at once, as one complex number
+        grad[len(alone) :] = np.add.reduceat(summed.view(np.complex64), np.cumsum(more) - more, axis=0).view(z.dtype)
+    return ordered.take(np.concatenate([alone, several])).astype(np.int64), grad
 
 
 def token_scores(m: Model, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -361,10 +416,8 @@ def token_scores(m: Model, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         here = places[at : at + BATCH]
         hashes, now = feature_hashes(ids, here), ids[here]
         z = class_logits(m.bias, m.weights, class_rows(hashes, len(m.weights)))
-        out[at : at + BATCH] = z[np.arange(len(here)), m.cls[now]] - np.log(np.exp(z).sum(axis=1))
-        small = folded(hashes)
-        for k in range(0, len(here), STEPS):
-            out[at + k : at + k + STEPS][: len(here) - k] += tree_scores(m, small[:, k : k + STEPS], now[k : k + STEPS])
+        taken = z.ravel().take(cell_of(np.arange(len(here)), m.cls.take(now), CLASSES))
+        out[at : at + BATCH] = taken - np.log(np.einsum("ij->i", np.exp(z, out=z))) + tree_scores(m, folded(hashes), now)
     return out
 
 
@@ -400,15 +453,14 @@ def train_batch(m: Model, weights: np.ndarray, squares: np.ndarray, pairs: np.nd
     z = class_logits(m.bias, weights, rows)
     np.maximum(z, -FAR, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(here)), m.cls[now]] -= 1
+    z /= np.einsum("ij->i", z)[:, None]
+    z.ravel()[cell_of(np.arange(len(here)), m.cls.take(now), CLASSES)] -= 1
     hit, grad = row_gradients(z, rows)
     square = squares.take(hit) + np.einsum("ij,ij->i", grad, grad) / CLASSES
     squares[hit] = square
-    weights[hit] = weights.take(hit, axis=0) - grad * (RATE / np.sqrt(square))[:, None]
-    small = folded(hashes)
-    for k in range(0, len(here), STEPS):
-        train_tree(m, pairs, small[:, k : k + STEPS], now[k : k + STEPS])
+    grad *= (RATE / np.sqrt(square))[:, None]
+    weights[hit] = np.subtract(weights.take(hit, axis=0), grad, out=grad)
+    train_tree(m, pairs, folded(hashes), now)
 
 
 def local_updates(held: Broadcast, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,6 +468,7 @@ def local_updates(held: Broadcast, turn: int, batches: Iterator[pa.RecordBatch])
     part = TaskContext.get().partitionId()
     if part % ROUNDS != turn:
         return
+    keep_freed_memory()
     m: Model = held.value
     weights, squares = m.weights.copy(), np.full(len(m.weights), FIRST_SQUARE, dtype=np.float32)
     pairs = (m.cells + np.float32(FIRST_CELL) * np.complex64(1j)).astype(np.complex64)
@@ -524,6 +577,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
     final = scratch.spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         m: Model = final.value
         for batch in batches:
             for at in range(0, batch.num_rows, TRAINED):

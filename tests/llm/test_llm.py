@@ -724,6 +724,44 @@ def test_scores_against_the_definition():
         assert abs(want - have) < 1e-3
 
 
+def test_a_stretch_of_the_tree_is_hashed_once():
+    """One block for each feature and stretch of four levels, not for each step; training changes the cells of the steps as
+    one step after another would, and leaves alone the cell that stands for no step."""
+    m, ids = small_model(random.Random(6))
+    rng = np.random.default_rng(2)
+    m.cells[:] = rng.normal(size=len(m.cells)) / 4
+    m.cells[::16] = 0
+    here = np.arange(3, 403)
+    hashes, now = maxent_lm.folded(maxent_lm.feature_hashes(ids, here)), ids[here]
+    steps = maxent_lm.Steps(m, len(m.cells), hashes, now)
+    assert steps.block.shape == (4, int((-(-m.size[now] // 4)).sum())) and m.size[now].max() > 4
+    pairs = (m.cells + 1j).astype(np.complex64)
+    maxent_lm.train_tree(m, pairs, hashes, now)
+    want = m.cells.astype(complex) + 1j
+    for h, w in zip(hashes.T.tolist(), now.tolist()):
+        begin, slot = None, 1
+        for depth in range(m.size[w]):
+            node, side = int(m.nodes[m.start[w] + depth]), int(m.bits[m.start[w] + depth])
+            if depth % 4 == 0:
+                begin, slot = node, 1
+            bits = len(m.cells).bit_length() - 1
+            cells = [16 * (((x ^ (begin * 0xB66859FD % 2**32)) * 0x9E3779B1 % 2**32) >> (36 - bits)) + slot for x in h]
+            slope = 1 / (1 + math.exp(-float(m.node_bias[node]) - sum(float(m.cells[c]) for c in cells))) - side
+            for c in cells:
+                want[c] += -maxent_lm.CELL_RATE * slope / math.sqrt(1 + slope * slope) + 1j * slope * slope
+            slot = 2 * slot + side
+    assert np.abs(pairs - want).max() < 1e-4 and (pairs[::16] == 1j).all() and np.abs(want.real - m.cells).max() > 0.01
+
+
+def test_row_gradients_are_sums():
+    rng = np.random.default_rng(3)
+    z, rows = rng.normal(size=(300, maxent_lm.CLASSES)).astype(np.float32), rng.integers(0, 500, (4, 300)) ** 2 // 500
+    hit, grad = maxent_lm.row_gradients(z, rows)
+    want = np.zeros((500, maxent_lm.CLASSES))
+    np.add.at(want, rows.ravel(), np.tile(z, (4, 1)))
+    assert sorted(hit.tolist()) == np.unique(rows).tolist() and np.abs(grad - want[hit]).max() < 1e-4
+
+
 def test_history_goes_three_words_back():
     """Two words, their pair, and two skips; a step is taken for every 2,048 tokens."""
     ids = np.array([[5, 6, 7, 8], [9, 6, 7, 8]])
