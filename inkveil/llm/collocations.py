@@ -1,7 +1,7 @@
 """Collocations: phrases of two to four words that occur more often than their parts let expect, per language.
 
 Texts are cut into pieces at punctuation and line ends; identical pieces become one with a multiplicity, so that copies are
-counted and not read again. Tasks read chunks of pieces and number each chunk's words, so that n-grams are numbers and only a
+counted and not read again. Tasks read chunks of pieces as Arrow arrays and number each chunk's words, so that n-grams are numbers and only a
 chunk's different ones become strings, with their summed weights. These go, packed, to the partition of their hash, where
 duckdb sums them out of core: it aggregates from a stream, under a memory limit, and spills to the task's own temporary folder. What
 occurs fewer than `MIN_COUNT` times is no candidate nor part of one and ends there. Words and pairs of words are counted
@@ -21,19 +21,19 @@ from __future__ import annotations
 import shutil
 import tempfile
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import Scratch, lower_ascii, salt, salts, spread, text_or_empty
+from inkveil.llm.common import Scratch, keep_freed_memory, salt, salts, spread, text_or_empty
 
 CUTS = "[.,;:!?\\x0A-\\x0D]"
 MIN_COUNT = 30
@@ -52,27 +52,18 @@ GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n_words", pa.
 
 
 def pieces(df: DataFrame) -> DataFrame:
-    """Different pieces with their multiplicity: lang, piece (words joined by one space), times."""
-    cut = F.explode(F.split(lower_ascii(text_or_empty("text")), CUTS))
+    """Different pieces with their multiplicity: lang, piece (as written, without the space at its ends), times."""
+    cut = F.explode(F.split(text_or_empty("text"), CUTS))
     rows = df.select(F.coalesce("lang", F.lit("und")).alias("lang"), cut.alias("piece"))
-    piece = F.regexp_replace(F.btrim("piece", F.lit(" \t")), "[\\x20\\x09]+", " ")
-    return rows.select("lang", piece.alias("piece")).where("piece != ''").groupBy("lang", "piece").agg(F.count("*").alias("times"))
+    return rows.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece != ''").groupBy("lang", "piece").agg(F.count("*").alias("times"))
 
 
-class Words(dict):
-    """A language's words in a chunk, numbered over all its languages as they come."""
+def word_hashes(words: list[bytes], seeds: list[int]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, seeds), np.uint64, len(words))
 
-    def __init__(self, chunk: Chunk, lang: str):
-        super().__init__()
-        self.chunk, self.place, self.seed = chunk, len(chunk.langs), zlib.crc32(lang.encode())
-        chunk.langs.append(lang)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.chunk.words)
-        self.chunk.words.append(word)
-        self.chunk.lang_of.append(self.place)
-        self.chunk.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
-        return number
+def seed(lang: str) -> int:
+    return zlib.crc32(lang.encode())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,73 +81,95 @@ def gram_hashes(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Pieces of about CHUNK_WORDS words together; one piece at least."""
+    held, room = [], CHUNK_WORDS
+    for batch in batches:
+        ends = np.cumsum(pc.count_substring(batch["piece"], " ").to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = before = 0
+        while at < batch.num_rows:
+            to = min(batch.num_rows, int(np.searchsorted(ends, before + room)) + 1)
+            held.append(batch.slice(at, to - at))
+            room -= int(ends[to - 1]) - before
+            at, before = to, int(ends[to - 1])
+            if room <= 0:
+                yield pa.Table.from_batches(held)
+                held, room = [], CHUNK_WORDS
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbered(values: pa.Array | np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of equal values, and the values by number."""
+    coded = (pa.array(values) if isinstance(values, np.ndarray) else values).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 class Chunk:
-    """Numbers of the words of pieces, held until there are enough of them to be counted together."""
-
-    def __init__(self) -> None:
-        self.langs: list[str] = []
-        self.by_lang: dict[str, Words] = {}
-        self.words: list[bytes] = []
-        self.lang_of: list[int] = []
-        self.hashes: list[int] = []
-        self.codes, self.ends, self.times = array("i"), array("q"), array("q")
-
-    def add(self, lang: str, piece: bytes, times: int) -> None:
-        words = self.by_lang.get(lang)
-        if words is None:
-            words = self.by_lang[lang] = Words(self, lang)
-        self.codes.extend(map(words.__getitem__, piece.split(b" ")))
-        self.ends.append(len(self.codes))
-        self.times.append(times)
+    """Pieces, their words as numbers over all languages: a word of two languages has two."""
+
+    def __init__(self, rows: pa.Table):
+        of_piece, self.langs = numbered(rows["lang"].combine_chunks())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(rows["piece"].cast(pa.large_string()).combine_chunks()))
+        flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        real = pc.binary_length(flat).to_numpy() > 0
+        if not real.all():
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+            flat = flat.filter(pa.array(real))
+        self.codes, words = numbered(flat)
+        self.lang_of = np.zeros(len(words), np.int64)
+        if len(self.langs) > 1:
+            self.codes, both = numbered(self.codes * len(self.langs) + np.repeat(of_piece, sizes))
+            word, self.lang_of = np.divmod(both.to_numpy(), len(self.langs))
+            words = words.take(pa.array(word))
+        self.words = words.cast(pa.large_binary())
+        seeds = np.array([seed(x) for x in self.langs.to_pylist()], np.int64)
+        self.hashes = word_hashes(self.words.to_pylist(), seeds[self.lang_of].tolist())
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.codes))  # words from each to its piece's end
+        self.times = np.repeat(rows["times"].to_numpy(), sizes)
 
     def packed(self, parts: int, pairs: Pairs | None) -> Iterator[pa.RecordBatch]:
         """The chunk's different n-grams with their weights, a row for each length and partition: words and pairs of words,
         or, of known `pairs`, the longer ones that are made of them."""
-        ends, codes = np.array(self.ends), np.array(self.codes, np.int64)
-        sizes = np.diff(ends, prepend=0)
-        left = np.repeat(ends, sizes) - np.arange(len(codes))
-        times = np.repeat(np.array(self.times), sizes)
-        hashes, width = np.array(self.hashes, np.uint64), len(self.words)
+        codes, width = self.codes, len(self.words)
         shorter = codes
         known = None
         for n in (1, 2) if pairs is None else (2, 3, 4):
-            at = np.flatnonzero(left >= n)
+            at = np.flatnonzero(self.left >= n)
             if n == 2 and pairs is not None:
                 known = np.zeros(len(codes) + 1, bool)
-                known[at] = pairs.may_hold(gram_hashes([hashes[codes[at]], hashes[codes[at + 1]]]))
+                known[at] = pairs.may_hold(gram_hashes([self.hashes[codes[at]], self.hashes[codes[at + 1]]]))
                 at = np.flatnonzero(known)
                 shorter = np.zeros(len(codes), np.int64)
-                shorter[at] = np.unique(codes[at] * width + codes[at + 1], return_inverse=True)[1] if len(at) else 0
+                shorter[at] = numbered(codes[at] * width + codes[at + 1])[0]
                 continue
             if known is not None:
                 at = at[np.logical_and.reduce([known[at + k] for k in range(n - 1)])]
             if not len(at):
                 continue
-            told = codes if n == 1 else shorter[at] * width + codes[at + n - 1]
-            _, first, number = np.unique(told, return_index=True, return_inverse=True)
-            total = np.zeros(len(first), np.int64)
-            np.add.at(total, number, times[at])
-            yield from self._sent(n, at[first], total, codes, hashes, parts)
+            number, told = (codes, self.words) if n == 1 else numbered(shorter[at] * width + codes[at + n - 1])
+            place = np.zeros(len(told), np.int64)
+            place[number] = at  # one of its places tells an n-gram's words
+            total = np.zeros(len(told), np.int64)
+            np.add.at(total, number, self.times[at])
+            yield from self._sent(n, place, total, parts)
             shorter = np.zeros(len(codes), np.int64)
             shorter[at] = number
 
-    def _sent(self, n: int, places: np.ndarray, total: np.ndarray, codes: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-        own = [codes[places + k] for k in range(n)]
-        part = (gram_hashes([hashes[c] for c in own]) % np.uint64(parts)).astype(np.int64)
+    def _sent(self, n: int, places: np.ndarray, total: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+        own = [self.codes[places + k] for k in range(n)]
+        part = (gram_hashes([self.hashes[c] for c in own]) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
         order = np.argsort(part, kind="stable")
-        part, langs = part[order], pa.array(self.langs, pa.string())
-        of_lang = np.array(self.lang_of, np.int32)[own[0]][order]
-        grams = list(map(b" ".join, zip(*(map(self.words.__getitem__, c[order].tolist()) for c in own), strict=True)))
-        table = pa.RecordBatch.from_arrays(
-            [pa.DictionaryArray.from_arrays(pa.array(of_lang), langs), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(np.full(len(grams), n, np.int32)), pa.array(total[order])],
-            schema=PAYLOAD,
-        )
-        del grams
+        part, of_lang = part[order].astype(np.int64), pa.array(self.lang_of[own[0]][order].astype(np.int32))
+        grams = [self.words.take(pa.array(c[order])) for c in own]
+        gram = grams[0] if n == 1 else pc.binary_join_element_wise(*grams, pa.scalar(b" ", pa.large_binary()))
+        f = pa.array(total[order])
         edges = np.flatnonzero(np.diff(part, prepend=-1))
-        for a, b in zip(edges, np.append(edges[1:], len(part)), strict=True):
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, PAYLOAD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-                to.write_batch(table.slice(a, b - a))
+                lang = pa.DictionaryArray.from_arrays(of_lang[a:b], self.langs)
+                to.write_batch(pa.RecordBatch.from_arrays([lang, gram[a:b].cast(pa.binary()).cast(pa.string()), pa.array(np.full(b - a, n, np.int32)), f[a:b]], schema=PAYLOAD))
             yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
 
 
@@ -183,9 +196,9 @@ def frequent_pairs(grams: DataFrame) -> Pairs:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds = [zlib.crc32(x.encode()) for x in batch["lang"].to_pylist()]
+            seeds = [seed(x) for x in batch["lang"].to_pylist()]
             words = [g.split(b" ") for g in batch["gram"].cast(pa.binary()).to_pylist()]
-            hashes = [np.array([xxhash.xxh3_64_intdigest(w[k], s) for w, s in zip(words, seeds, strict=True)], np.uint64) for k in range(2)]
+            hashes = [word_hashes([w[k] for w in words], seeds) for k in range(2)]
             at = Pairs.place(gram_hashes(hashes), log2)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
 
@@ -199,16 +212,10 @@ def send_grams(parts: int, pairs: Broadcast[Pairs] | None):
     """Arrow batches of pieces to packed n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, known = Chunk(), pairs.value if pairs else None
-        for batch in batches:
-            pieces = batch["piece"].cast(pa.large_binary()).to_pylist()
-            for lang, piece, times in zip(batch["lang"].to_pylist(), pieces, batch["times"].to_pylist(), strict=True):
-                chunk.add(lang, piece, times)
-                if len(chunk.codes) >= CHUNK_WORDS:
-                    yield from chunk.packed(parts, known)
-                    chunk = Chunk()
-        if chunk.codes:
-            yield from chunk.packed(parts, known)
+        keep_freed_memory()
+        known = pairs.value if pairs else None
+        for rows in chunks(batches):
+            yield from Chunk(rows).packed(parts, known)
 
     return run
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,25 @@ def test_collocations_of_nothing_of_long_pieces_and_exact_products(spark, monkey
     assert row.score == 2_000_000 * big // (5 * big + 1)
 
 
+def test_chunks_are_counted_in_arrow(monkeypatch):
+    """Pieces reach a chunk as they are written; their words are lowered, parted and numbered there, for each language by itself."""
+    monkeypatch.setattr(collocations, "CHUNK_WORDS", 12)
+    rows = [("de", "A b\t b", 2), ("en", "a B", 3), ("de", "É a b", 1), ("en", "a", 5), ("de", "b  b b b b b b b b b b b b b", 1), ("en", "x \x1c", 1)]
+    table = pa.table({"lang": [r[0] for r in rows], "piece": [r[1] for r in rows], "times": [r[2] for r in rows]})
+    held = list(collocations.chunks(iter(table.to_batches(max_chunksize=4))))
+    assert [len(x) for x in held] == [5, 1] and pa.concat_tables(held).equals(table)
+    got, want = collections.Counter(), collections.Counter()
+    for part in collocations.send_grams(3, None)(iter(table.to_batches(max_chunksize=4))):
+        for own in pa.ipc.open_stream(part["payload"][0].as_py()):
+            got.update({(r["lang"], r["gram"], r["n_words"]): r["f"] for r in own.to_pylist()})
+    for lang, piece, times in rows:
+        w = re.findall("[^\x20\x09]+", lower(piece))
+        for n in (1, 2):
+            for k in range(len(w) - n + 1):
+                want[lang, " ".join(w[k : k + n]), n] += times
+    assert got == want
+
+
 def test_few_bits_let_too_many_pass_never_too_few(spark, monkeypatch):
     """A bit map that is too small for the pairs costs work, not results."""
     rng = random.Random(9)
